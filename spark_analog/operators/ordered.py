@@ -75,7 +75,16 @@ def value_pieces(df: DataFrame, keys, value: str, rows: int = PIECE_ROWS) -> Dat
 
 def running_by_value(df: DataFrame, keys, value: str, sums: dict[str, str],
                      rows: int = PIECE_ROWS, descending: bool = False) -> DataFrame:
-    """Cumulative sums in value order per key, for one row per (key, value)."""
+    """Cumulative sums in value order per key.
+
+    ``df`` is staged and has one row per (key, value).  Groups measured to fit a
+    task use a plain window, larger ones are cut into value pieces.
+    """
+    if largest_group(df, keys) <= rows:
+        order = F.col(value).desc() if descending else F.col(value).asc()
+        run = Window.partitionBy(*keys).orderBy(order).rangeBetween(
+            Window.unboundedPreceding, Window.currentRow)
+        return df.select("*", *[F.sum(c).over(run).alias(o) for o, c in sums.items()])
     src = df.withColumn("__v", -F.col(value) if descending else F.col(value))
     pieces = value_pieces(src, keys, "__v", rows)
     return running_sums(pieces, keys, ["__oct", "__sub"], ["__v"], sums).drop(
