@@ -51,16 +51,27 @@ def literal_array(values, kind: str = "double") -> Column:
     return F.array(*[F.lit(v).cast(kind) for v in values])
 
 
-def grid_structs(**axes) -> Column:
-    """ARRAY<STRUCT> with one entry per grid point in loop order (first axis slowest).
+def axis_values(index: Column, **axes) -> list[Column]:
+    """Values of grid point ``index`` in loop order (first axis slowest).
 
-    Exploding it multiplies rows by a constant without any join.
+    With ``explode(sequence(0, n - 1))`` it multiplies rows by a constant
+    without any join and without one literal per grid point.
     """
-    points = [[]]
-    for name, values in axes.items():
-        points = [p + [(name, v)] for p in points for v in values]
-    return F.array(*[
-        F.struct(F.lit(i).alias("grid_id"),
-                 *[F.lit(v).alias(n) for n, v in point])
-        for i, point in enumerate(points)
-    ])
+    out, below = [], 1
+    for name, values in reversed(list(axes.items())):
+        kind = "int" if all(isinstance(v, int) for v in values) else "double"
+        position = F.floor(index / below) % len(values) + 1
+        out.append(F.element_at(literal_array(values, kind), position.cast("int")).alias(name))
+        below *= len(values)
+    return out[::-1]
+
+
+def grid_size(**axes) -> int:
+    n = 1
+    for values in axes.values():
+        n *= len(values)
+    return n
+
+
+def grid_ids(**axes) -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(grid_size(**axes) - 1)))

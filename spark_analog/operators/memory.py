@@ -28,15 +28,29 @@ def eligible(windows: DataFrame, normal: DataFrame | None = None, keys=("entity"
     return kept
 
 
+def unspoiled(windows: DataFrame, labels: DataFrame, context: int, horizon: int,
+              keys=("entity",)) -> DataFrame:
+    """``(keys, w)`` of windows that touch no labelled anomaly.
+
+    Each anomalous step names the windows it spoils, which turns an overlap
+    join into an equi anti join.
+    """
+    bad = labels.where("label > 0").select(*keys, F.explode(F.sequence(
+        F.col("t") - horizon + 1, F.col("t") + context)).alias("w")).distinct()
+    return windows.select(*keys, "w").distinct().join(bad, [*keys, "w"], "left_anti")
+
+
 def empty_channels(all_windows: DataFrame, kept: DataFrame, group=GROUP) -> DataFrame:
     return all_windows.select(*group).distinct().join(
         kept.select(*group).distinct(), list(group), "left_anti")
 
 
-def feature_scale(windows: DataFrame, group=GROUP, floor: float = SCALE_FLOOR) -> DataFrame:
+def feature_scale(windows: DataFrame, group=GROUP, floor: float = SCALE_FLOOR,
+                  most: int | None = None) -> DataFrame:
     """Robust centre and scale of every feature dimension: ``group, dim, center, scale``."""
     flat = windows.select(*group, F.posexplode("feat").alias("dim", "v"))
-    q = quantiles(flat, [*group, "dim"], "v", [0.25, 0.5, 0.75], ["q1", "center", "q3"])
+    q = quantiles(flat, [*group, "dim"], "v", [0.25, 0.5, 0.75], ["q1", "center", "q3"],
+                  most=most)
     iqr = F.col("q3") - F.col("q1")
     return q.select(*group, "dim", "center",
                     F.when(iqr < floor, F.lit(1.0)).otherwise(iqr).alias("scale"))
@@ -141,15 +155,15 @@ def with_delta(windows: DataFrame) -> DataFrame:
 
 
 def build_bank(windows: DataFrame, size: int, selection: str = "boundary",
-               normal: DataFrame | None = None, normal_keys=("entity",), group=GROUP
-               ) -> tuple[DataFrame, DataFrame]:
+               normal: DataFrame | None = None, normal_keys=("entity",), group=GROUP,
+               most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(bank, packed scales) from feature windows of the memory role.
 
     ``bank``: ``group, slot, src_w, feat, delta``.
     """
     kept = stage(eligible(windows, normal, normal_keys).select(
         *group, "w", "last", "y", "feat"))
-    scales = stage(pack_scale(feature_scale(kept, group), group))
+    scales = stage(pack_scale(feature_scale(kept, group, most=most), group))
     chosen = SELECT[selection](scale_features(kept, scales, group), size, group)
     slot = F.row_number().over(Window.partitionBy(*group).orderBy("w"))
     bank = with_delta(chosen).select(*group, slot.alias("slot"), F.col("w").alias("src_w"),

@@ -91,18 +91,18 @@ def running_by_value(df: DataFrame, keys, value: str, sums: dict[str, str],
         "__oct", "__sub", "__v")
 
 
-def quantiles(df: DataFrame, keys, value: str, probs, out, direct_rows: int = 1_000_000
-              ) -> DataFrame:
+def quantiles(df: DataFrame, keys, value: str, probs, out, direct_rows: int = 1_000_000,
+              most: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per key, NULL values ignored.
 
     The built-in ``percentile`` keeps every distinct value of a group, so it is
-    used only when the measured largest group is at most ``direct_rows``.
-    Larger groups are bracketed by a bounded sketch; a second scan counts what
+    used only when the largest group (measured, or ``most`` where the caller
+    already knows a bound) is at most ``direct_rows``.  Larger groups are bracketed by a bounded sketch; a second scan counts what
     lies outside the brackets and keeps values inside, about 1e-4 of the rows.
     """
     keys, probs, out = list(keys), list(probs), list(out)
     kept = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    if largest_group(kept, keys) <= direct_rows:
+    if (largest_group(kept, keys) if most is None else most) <= direct_rows:
         grouped = kept.groupBy(*keys).agg(
             F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs])).alias("__q"))
         return grouped.select(*keys, *[F.col("__q")[i].alias(o) for i, o in enumerate(out)])

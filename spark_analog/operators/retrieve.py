@@ -71,10 +71,14 @@ def analogue(weights, horizon: int, candidates="candidates") -> Column:
 
 
 def divergence(weights, centre, horizon: int, candidates="candidates") -> Column:
-    """Weighted standard deviation of the candidates per step; 0 without neighbours."""
+    """Weighted standard deviation of the candidates per step; 0 without neighbours.
+
+    Rounded like the distances, so that equal spreads stay equal in rankings.
+    """
     square = _accumulate(weights, candidates, horizon, lambda p: F.zip_with(
         p["f"], centre, lambda f, m: p["w"] * (f - m) * (f - m)))
-    spread = F.transform(square, lambda v: F.sqrt(F.greatest(v, F.lit(0.0))))
+    spread = F.transform(square, lambda v: F.round(
+        F.sqrt(F.greatest(v, F.lit(0.0))), kernels.DISTANCE_DIGITS))
     return F.when(F.size(candidates) > 0, spread).otherwise(
         F.array_repeat(F.lit(0.0), horizon).cast("array<double>"))
 

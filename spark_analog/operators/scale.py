@@ -11,8 +11,8 @@ from spark_analog.operators.staging import attach
 
 
 def robust_fit(train: DataFrame, keys=("entity", "channel"), value: str = "value",
-               floor: float = SCALE_FLOOR) -> DataFrame:
-    q = quantiles(train, keys, value, [0.25, 0.5, 0.75], ["q1", "center", "q3"])
+               floor: float = SCALE_FLOOR, most: int | None = None) -> DataFrame:
+    q = quantiles(train, keys, value, [0.25, 0.5, 0.75], ["q1", "center", "q3"], most=most)
     iqr = F.col("q3") - F.col("q1")
     return q.select(*keys, "center",
                     F.when(iqr < floor, F.lit(1.0)).otherwise(iqr).alias("scale"))
@@ -80,7 +80,8 @@ def validation_period(fraction: float = 0.2) -> int:
 
 
 def roles(series: DataFrame, train_stop: int | Column, context: int, horizon: int,
-          block: int, fraction: float = 0.2, memory_source: str = "base_memory") -> DataFrame:
+          block: int, fraction: float = 0.2, memory_source: str = "base_memory",
+          n_all: DataFrame | None = None) -> DataFrame:
     """Which step serves what: one row per (step, role).
 
     ``start`` and ``length`` of the contiguous segment are known in closed form,
@@ -89,8 +90,7 @@ def roles(series: DataFrame, train_stop: int | Column, context: int, horizon: in
     later steps are interleaved blocks of ``score`` (labelled validation) and
     ``test``.
     """
-    n_all = lengths(series)
-    sized = attach(series, n_all, ["entity"])
+    sized = attach(series, lengths(series) if n_all is None else n_all, ["entity"])
     n = F.lit(train_stop).cast("bigint") if isinstance(train_stop, int) else train_stop
     t = F.col("t")
     (_, _, b1), (_, m0, m1), (_, a0, a1), (_, v0, v1) = four_way_bounds(n)

@@ -9,7 +9,7 @@ from spark_analog.defaults import (
     AGREEMENT_GRID, CDF_CLIP, DOUBLE_EPS, FALLBACK_PARAMETERS, FLOAT32_MAX, MAD_CONSISTENCY,
     MEMORY_GRID, SMOOTHING_GRID, TAIL_CAP, TOP_Q_GRID,
 )
-from spark_analog.functions.columns import array_mean, clip, col, grid_structs
+from spark_analog.functions.columns import array_mean, axis_values, clip, col, grid_ids
 from spark_analog.operators.evaluate import average_precision
 from spark_analog.operators.ordered import quantiles, running_by_value
 from spark_analog.operators.staging import attach, stage
@@ -34,13 +34,13 @@ def residual_steps(frame: DataFrame, keep=WINDOW, extra=(), kind: str = "absolut
                     *[F.col(f"__s.{e}").alias(e) for e in extra])
 
 
-def mad_stats(residuals: DataFrame, keys=CHANNEL, value: str = "r", floor: float = 1e-6
-              ) -> DataFrame:
+def mad_stats(residuals: DataFrame, keys=CHANNEL, value: str = "r", floor: float = 1e-6,
+              most: int | None = None) -> DataFrame:
     """Median and 1.4826 MAD per channel; mean absolute deviation, then ``floor``, if zero."""
-    centre = stage(quantiles(residuals, keys, value, [0.5], ["center"]))
+    centre = stage(quantiles(residuals, keys, value, [0.5], ["center"], most=most))
     away = residuals.join(centre, list(keys)).select(
         *keys, "center", F.abs(F.col(value) - F.col("center")).alias("__d"))
-    mad = quantiles(away, keys, "__d", [0.5], ["__mad"])
+    mad = quantiles(away, keys, "__d", [0.5], ["__mad"], most=most)
     mean = away.groupBy(*keys, "center").agg(F.avg("__d").alias("__mean"))
     m = F.lit(MAD_CONSISTENCY) * F.col("__mad")
     scale = F.when(m > floor, m).when(F.col("__mean") > floor, F.col("__mean")).otherwise(floor)
@@ -99,7 +99,7 @@ def calibrate(values: DataFrame, reference: DataFrame, value: str, out: str, tai
         *keys, F.col(value).alias("__x"), F.lit(0).cast("bigint").alias("__ref"))
     hist = stage(ref.unionByName(cur).groupBy(*keys, "__x").agg(F.sum("__ref").alias("__c")))
     run = running_by_value(hist, keys, "__x", {"__cum": "__c"})
-    size = stage(hist.groupBy(*keys).agg(F.sum("__c").alias("__n")))
+    size = hist.groupBy(*keys).agg(F.sum("__c").alias("__n"))
     upper = run.join(size, keys).where("__cum > __n div 2").groupBy(*keys, "__n").agg(
         F.min("__cum").alias("__mid"))
     ranked = run.select(*keys, "__x", "__cum").where("__x is not null")
@@ -203,11 +203,10 @@ def score_grid(parts: DataFrame, labels: DataFrame, group=POINT, top_q=TOP_Q_GRI
     """
     segment = [g for g in group if g != "t"]
     lists = channel_lists(parts, group)
-    weights = F.explode(grid_structs(memory=[float(m) for m in memory],
-                                     agreement=[float(a) for a in agreement])).alias("g")
-    mixed = lists.select(*group, "parts", weights).select(
-        *group, F.col("g.grid_id").alias("ma"),
-        combined(F.col("g.memory"), F.col("g.agreement")).alias("s"))
+    pair = dict(memory=[float(m) for m in memory], agreement=[float(a) for a in agreement])
+    mixed = lists.select("*", grid_ids(**pair).alias("ma")).select(
+        "*", *axis_values(F.col("ma"), **pair)).select(
+        *group, "ma", combined(F.col("memory"), F.col("agreement")).alias("s"))
     means = F.array(*[F.struct(F.lit(i).alias("qi"),
                                top_q_mean(F.col("s"), float(q), digits).alias("score"))
                       for i, q in enumerate(top_q)])
@@ -222,13 +221,13 @@ def score_grid(parts: DataFrame, labels: DataFrame, group=POINT, top_q=TOP_Q_GRI
         labels, ["entity", "t"])
 
 
-def grid_parameters(top_q=TOP_Q_GRID, memory=MEMORY_GRID, agreement=AGREEMENT_GRID,
-                    smoothing=SMOOTHING_GRID) -> Column:
-    """ARRAY of parameters in loop order, indexed by ``grid_id``."""
-    return grid_structs(top_q=[float(q) for q in top_q],
-                        memory_weight=[float(m) for m in memory],
-                        agreement_weight=[float(a) for a in agreement],
-                        smoothing=[int(s) for s in smoothing])
+def grid_parameters(grid_id: Column, top_q=TOP_Q_GRID, memory=MEMORY_GRID,
+                    agreement=AGREEMENT_GRID, smoothing=SMOOTHING_GRID) -> list[Column]:
+    """Parameters of a grid point in loop order."""
+    return axis_values(grid_id, top_q=[float(q) for q in top_q],
+                       memory_weight=[float(m) for m in memory],
+                       agreement_weight=[float(a) for a in agreement],
+                       smoothing=[int(s) for s in smoothing])
 
 
 def objectives(grid_scores: DataFrame, keys=("entity",), selection: str = "aggregate"
@@ -255,20 +254,16 @@ def select_parameters(grid_scores: DataFrame, keys=("entity",), selection: str =
     scored = objectives(grid_scores, keys, selection)
     best = F.max(F.when(F.col("objective").isNotNull(), F.struct(
         F.round("objective", digits).alias("objective"), (-F.col("grid_id")).alias("neg")))).alias("b")
-    params = grid_parameters(**axes)
     fall = FALLBACK_PARAMETERS
     w = 1.0 if use_retrieval else 0.0
-    fallback = F.struct(F.lit(-1).alias("grid_id"), F.lit(fall["top_q"]).alias("top_q"),
-                        F.lit(fall["memory_weight"] * w).alias("memory_weight"),
-                        F.lit(fall["agreement_weight"] * w).alias("agreement_weight"),
-                        F.lit(fall["smoothing"]).alias("smoothing"))
-    p = F.when(F.col("b").isNotNull(), F.element_at(params, (1 - F.col("b.neg")).cast("int"))
-               ).otherwise(fallback)
-    return scored.groupBy(*keys).agg(best).withColumn("p", p).select(
-        *keys, F.col("p.grid_id").alias("grid_id"), F.col("p.top_q").alias("top_q"),
-        F.col("p.memory_weight").alias("memory_weight"),
-        F.col("p.agreement_weight").alias("agreement_weight"),
-        F.col("p.smoothing").alias("smoothing"), F.col("b.objective").alias("objective"))
+    fixed = {"top_q": fall["top_q"], "memory_weight": fall["memory_weight"] * w,
+             "agreement_weight": fall["agreement_weight"] * w, "smoothing": fall["smoothing"]}
+    chosen = scored.groupBy(*keys).agg(best).select(
+        *keys, (-F.col("b.neg")).alias("grid_id"), F.col("b.objective").alias("objective"))
+    params = chosen.select("*", *grid_parameters(F.coalesce("grid_id", F.lit(0)), **axes))
+    return params.select(*keys, "grid_id", *[
+        F.when(F.col("grid_id").isNull(), F.lit(v)).otherwise(F.col(n)).alias(n)
+        for n, v in fixed.items()], "objective")
 
 
 def select_blend(objective_rows: DataFrame, keys=("entity",), amount: str = "blend",

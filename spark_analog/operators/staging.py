@@ -35,12 +35,15 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{staging_folder(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    read = spark.read.schema(df.schema).parquet(path)
+    read._staged = True
+    return read
 
 
 def attach(df: DataFrame, side: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Join a per-key table back; its measured size decides the join strategy."""
-    return df.join(stage(side), list(keys), how)
+    known = side if getattr(side, "_staged", False) else stage(side)
+    return df.join(known, list(keys), how)
 
 
 def largest_group(df: DataFrame, keys) -> int:

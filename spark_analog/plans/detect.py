@@ -43,12 +43,13 @@ def prepare(series: DataFrame, s: Settings) -> DataFrame:
     """Fill, scale, assign roles and block: one row per (entity, role, segment, channel, block)."""
     half = F.when(F.col("t") < s.train_stop, "train").otherwise("test")
     train = F.col("t") < s.train_stop
-    medians = clean.channel_medians(series.where(train))
-    filled = clean.causal_fill(series.withColumn("half", half), medians,
-                               restart=["half"]).drop("half")
-    scaled = scale.robust_transform(filled, scale.robust_fit(filled.where(train)))
+    medians = clean.channel_medians(series.where(train), most=s.train_stop)
+    filled = stage(clean.causal_fill(series.withColumn("half", half), medians,
+                                     restart=["half"]).drop("half"))
+    fitted = scale.robust_fit(filled.where(train), most=s.train_stop)
+    scaled = scale.robust_transform(filled, fitted)
     roles = scale.roles(scaled, s.train_stop, s.context, s.horizon, s.label_block,
-                        s.label_fraction, s.memory_source)
+                        s.label_fraction, s.memory_source, scale.lengths(filled))
     return stage(windows.blocks(roles, s.context, s.horizon, block=s.block))
 
 
@@ -57,7 +58,8 @@ def build_memory(blocked: DataFrame, s: Settings, role: str = "memory", size: in
     """Packed bank per entity and channel."""
     feats = windows.scan(blocked.where(F.col("role") == role), s.context, s.horizon,
                          features=True)
-    bank, scales = memory.build_bank(feats, size or s.size, selection or s.selection)
+    bank, scales = memory.build_bank(feats, size or s.size, selection or s.selection,
+                                     most=s.train_stop)
     return memory.pack_bank(bank, scales)
 
 
@@ -106,11 +108,11 @@ def global_windows(blocked: DataFrame, s: Settings, model: DataFrame | None,
 
 
 def scored_parts(frame: DataFrame, use_retrieval: bool, keys=("entity", "channel"),
-                 group=("entity", "role", "segment", "channel"), use_agreement: bool = True
-                 ) -> DataFrame:
+                 group=("entity", "role", "segment", "channel"), use_agreement: bool = True,
+                 most: int | None = None) -> DataFrame:
     """Point components of validation and test windows; every fit reads normal windows only."""
     normal = frame.where("role = 'normal'")
-    stats = score.mad_stats(score.residual_steps(normal, [*group, "w"]), keys)
+    stats = score.mad_stats(score.residual_steps(normal, [*group, "w"]), keys, most=most)
     rest = frame.where("role in ('score', 'test')")
     steps = score.signal_steps(rest, normal if use_retrieval else None, keys, group)
     if not use_agreement:
@@ -135,14 +137,13 @@ def choose_and_apply(parts: DataFrame, labels: DataFrame, s: Settings, use_retri
     return points, params
 
 
-def label_points(points: DataFrame, labels: DataFrame, series: DataFrame, s: Settings
-                 ) -> DataFrame:
-    """Every held-out test point, also the uncovered ones (NULL score)."""
-    every = scale.roles(series.select("entity", "t").distinct(), s.train_stop, s.context,
-                        s.horizon, s.label_block, s.label_fraction).where("role = 'test'")
-    return (every.select("entity", "segment", "t")
-            .join(points.select("entity", "segment", "t", "score"), ["entity", "segment", "t"],
-                  "left").join(labels, ["entity", "t"]))
+def label_points(points: DataFrame, labels: DataFrame, s: Settings, extra=()) -> DataFrame:
+    """Every labelled held-out point, also the uncovered ones (NULL score)."""
+    every = scale.roles(labels, s.train_stop, s.context, s.horizon, s.label_block,
+                        s.label_fraction).where("role = 'test'")
+    keys = ["entity", "segment", "t"]
+    return every.select(*keys, "label").join(
+        points.select(*keys, *extra, "score"), keys, "left")
 
 
 def detect(series: DataFrame, labels: DataFrame, s: Settings, condition: str = "retrieval"
@@ -157,9 +158,9 @@ def detect(series: DataFrame, labels: DataFrame, s: Settings, condition: str = "
     blocked = prepare(series, s)
     model = forecast.linear_forecaster(blocked.where("role = 'base'"), s.context, s.horizon)
     frame = forecast_frame(blocked, s, model, use)
-    parts = scored_parts(frame, use)
+    parts = scored_parts(frame, use, most=s.train_stop * s.horizon)
     points, _ = choose_and_apply(parts, labels, s, use)
-    return label_points(points, labels, series, s)
+    return label_points(points, labels, s)
 
 
 def forecast_frame(blocked: DataFrame, s: Settings, model: DataFrame | None, use: bool

@@ -47,3 +47,20 @@ def query(name: str, oracle: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_kept: dict = {}
+
+
+def memo(fn):
+    """Keep a staged frame per session and folder: many queries start from the same one."""
+    def wrapped(spark, sf):
+        key = (fn.__module__, fn.__name__, spark.sparkContext.applicationId, sf)
+        if key not in _kept:
+            _kept[key] = fn(spark, sf)
+        return _kept[key]
+    return wrapped
+
+
+def forget() -> None:
+    _kept.clear()
