@@ -1,3 +1,3 @@
 """Importing this package registers every query."""
 
-from spark_analog.queries import q_clean, q_detect, q_windows  # noqa: F401
+from spark_analog.queries import q_clean, q_detect, q_fusion, q_score, q_windows  # noqa: F401
