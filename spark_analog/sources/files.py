@@ -1,9 +1,117 @@
-"""Files to long tables."""
+"""Files to long tables, and staged results back to files."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import io
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from spark_analog.functions.columns import finite
+from spark_analog.operators.clean import number
+from spark_analog.operators.ordered import running_sums
+
+ENCODINGS = ("utf-8", "ISO-8859-1")
+BOM = "\ufeff"
+
+
+def read_wide_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+    """Header CSV with unknown encoding and ``,`` or ``;`` as separator; all columns text.
+
+    The separator comes from a header line alone.  Unless the caller names the
+    encoding, one pass looks for bytes that are not UTF-8.
+    """
+    lines = spark.read.text(path)
+    head = lines.limit(1).first()
+    line = (head[0] if head else "").lstrip(BOM)
+    if encoding is None:
+        encoding = ENCODINGS[lines.where(~F.is_valid_utf8("value")).limit(1).count()]
+    sep = ";" if ";" in line and "," not in line else ","
+    df = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
+          .option("mode", "PERMISSIVE").csv(path))
+    return df.toDF(*[c.lstrip(BOM) for c in df.columns])
+
+
+def row_number_in_file(df: DataFrame, out: str = "t") -> DataFrame:
+    """Row order of line files as time, for files of any size.
+
+    ``df`` still carries ``_metadata``.  Splits of a file are ranked by their
+    start offset, so one file is numbered by many tasks.
+    """
+    cols = [c for c in df.columns]
+    tagged = df.select(*cols, F.col("_metadata.file_path").alias("__f"),
+                       F.col("_metadata.file_block_start").alias("__p"),
+                       F.monotonically_increasing_id().alias("__i"),
+                       F.lit(1).cast("bigint").alias("__one"))
+    ranked = running_sums(tagged, ["__f"], ["__p"], ["__i"], {out: "__one"}, inclusive=False)
+    return ranked.select("__f", *cols, out)
+
+
+def read_headerless(spark: SparkSession, path: str, channels: int, entity_pattern: str
+                    ) -> DataFrame:
+    """Comma-separated numbers without a header, one series per file, long form.
+
+    The entity is group 1 of ``entity_pattern`` in the file's path; the row
+    number is time.
+    """
+    schema = T.StructType([T.StructField(f"channel_{i}", T.StringType()) for i in range(channels)])
+    rows = row_number_in_file(spark.read.schema(schema).csv(path))
+    named = rows.select(F.regexp_extract("__f", entity_pattern, 1).alias("entity"), "t",
+                        *[number(c).alias(c) for c in schema.names])
+    return named.unpivot(["entity", "t"], schema.names, "channel", "value")
+
+
+def orient(array: np.ndarray) -> np.ndarray:
+    """Time-major view of a 1-D or 2-D array; short and very wide ones are turned."""
+    a = np.asarray(array)
+    a = a[:, None] if a.ndim == 1 else a
+    if a.ndim != 2:
+        raise ValueError(f"array must be 1-D or 2-D, got {a.ndim}-D")
+    return a.T if len(a) <= 256 and a.shape[1] >= 4 * len(a) else a
+
+
+def decode_npy(files: DataFrame, entity_pattern: str, rows: int = 4096) -> DataFrame:
+    """``(path, content)`` of NPY files to ``entity, t, channel, value``, in bounded batches."""
+    named = files.select(F.regexp_extract("path", entity_pattern, 1).alias("entity"), "content")
+
+    def unpack(batches):
+        for pdf in batches:
+            for entity, content in zip(pdf["entity"], pdf["content"]):
+                a = orient(np.load(io.BytesIO(content), allow_pickle=False)).astype(float)
+                names = np.array([f"channel_{c}" for c in range(a.shape[1])])
+                for s in range(0, len(a), rows):
+                    part = a[s:s + rows]
+                    yield pd.DataFrame({
+                        "entity": entity,
+                        "t": np.repeat(np.arange(s, s + len(part)), a.shape[1]),
+                        "channel": np.tile(names, len(part)), "value": part.reshape(-1)})
+
+    long = named.mapInPandas(unpack, "entity string, t bigint, channel string, value double")
+    return long.withColumn("value", finite("value"))
+
+
+def read_npy(spark: SparkSession, path: str, entity_pattern: str) -> DataFrame:
+    """One task per file: an NPY file has no split points."""
+    return decode_npy(spark.read.format("binaryFile").load(path).select("path", "content"),
+                      entity_pattern)
+
+
+def discover(spark: SparkSession, path: str, pattern: str,
+             roles=("train", "test", "test_label")) -> DataFrame:
+    """Entities named by files below ``path`` and whether each has every role.
+
+    ``pattern`` has groups (role, entity).  Contents are never read.
+    """
+    paths = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+             .select("path"))
+    found = paths.select(F.regexp_extract("path", pattern, 1).alias("role"),
+                         F.regexp_extract("path", pattern, 2).alias("entity")).where(
+        F.col("role").isin(*roles)).distinct()
+    return found.groupBy("entity").agg(
+        F.count("*").alias("roles"), (F.count("*") == len(roles)).alias("complete"))
 
 
 def interval_labels(points: DataFrame, manifest: DataFrame, key: str = "entity") -> DataFrame:
@@ -18,3 +126,48 @@ def interval_labels(points: DataFrame, manifest: DataFrame, key: str = "entity")
             .distinct().withColumn("__hit", F.lit(1)))
     return points.join(hits, [key, "t"], "left").select(
         *points.columns, F.coalesce("__hit", F.lit(0)).alias("label"))
+
+
+def manifest_checks(manifest: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Entities with other than one record, or an interval outside ``[0, n)``."""
+    many = manifest.groupBy("entity").agg(F.count("*").alias("c")).where("c <> 1").select(
+        "entity", F.lit("records").alias("violation"))
+    spans = manifest.select("entity", F.explode(F.from_json(
+        "anomaly_sequences", "array<array<bigint>>")).alias("s")).join(lengths, "entity")
+    outside = spans.where((F.col("s")[0] < 0) | (F.col("s")[0] > F.col("s")[1])
+                          | (F.col("s")[1] >= F.col("n"))).select(
+        "entity", F.lit("interval").alias("violation")).distinct()
+    return many.unionByName(outside)
+
+
+# --- ledgers ---------------------------------------------------------------------------------
+def read_ledger(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, malformed lines) of a JSON-lines ledger; bad lines never stop the read."""
+    full = f"{schema}, _bad string"
+    text = spark.read.text(path).where(F.trim("value") != "")
+    parsed = text.select(F.from_json("value", full, {
+        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
+    names = [c for c in parsed.columns if c != "_bad"]
+    return (parsed.where("_bad is null").select(*names),
+            parsed.where("_bad is not null").select(F.col("_bad").alias("line")))
+
+
+def require_columns(df: DataFrame, required) -> DataFrame:
+    missing = [c for c in required if c not in df.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    if df.isEmpty():
+        raise ValueError("no rows")
+    return df
+
+
+def json_safe(df: DataFrame) -> DataFrame:
+    """NaN and infinities of all double columns become NULL, as JSON has neither."""
+    return df.select(*[finite(f.name).alias(f.name) if f.dataType in (
+        T.DoubleType(), T.FloatType()) else F.col(f.name) for f in df.schema.fields])
+
+
+def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:
+    """Append through Spark's commit protocol: readers see whole writes only."""
+    writer = json_safe(df).write.mode("append")
+    (writer.option("header", True) if fmt == "csv" else writer).format(fmt).save(path)
