@@ -17,11 +17,21 @@ def finite(c) -> Column:
 
 
 def rounded(c, digits: int = 6) -> Column:
-    return F.round(c, digits) + F.lit(0.0)
+    """Rounding for comparisons between engines.
+
+    The shift keeps exact decimal half-way cases, where the last bit of a sum
+    decides, away from the boundary.
+    """
+    return F.round(col(c) + F.lit(1.3e-9), digits) + F.lit(0.0)
+
+
+def at_least(c, low) -> Column:
+    """``max(c, low)`` that keeps NULL (``greatest`` would drop it)."""
+    return F.when(col(c).isNotNull(), F.greatest(col(c), F.lit(low)))
 
 
 def clip(c, low, high) -> Column:
-    return F.least(F.greatest(col(c), F.lit(low)), F.lit(high))
+    return F.when(col(c).isNotNull(), F.least(F.greatest(col(c), F.lit(low)), F.lit(high)))
 
 
 def sigmoid(c) -> Column:

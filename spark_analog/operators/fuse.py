@@ -58,7 +58,7 @@ def gate_features(frame: DataFrame) -> DataFrame:
     near = F.log1p(clip(F.coalesce("nearest", F.lit(1e6)), 0.0, 1e6))
     spread = F.log1p(clip(array_mean("divergence"), 0.0, 1e6))
     gap = array_diff_mean("analog", "native", lambda a, b: F.abs(a - b))
-    better = absolute_error("analog") < absolute_error("native")
+    better = F.round(absolute_error("analog"), 9) < F.round(absolute_error("native"), 9)
     return (frame.withColumn("log_nearest", near).withColumn("log_divergence", spread)
             .withColumn("disagreement", gap).withColumn("better", better.cast("int")))
 

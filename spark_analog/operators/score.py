@@ -9,7 +9,7 @@ from spark_analog.defaults import (
     AGREEMENT_GRID, CDF_CLIP, DOUBLE_EPS, FALLBACK_PARAMETERS, FLOAT32_MAX, MAD_CONSISTENCY,
     MEMORY_GRID, SMOOTHING_GRID, TAIL_CAP, TOP_Q_GRID,
 )
-from spark_analog.functions.columns import array_mean, axis_values, clip, col, grid_ids
+from spark_analog.functions.columns import array_mean, at_least, axis_values, clip, col, grid_ids
 from spark_analog.operators.evaluate import average_precision
 from spark_analog.operators.ordered import quantiles, running_by_value
 from spark_analog.operators.staging import attach, stage
@@ -49,7 +49,7 @@ def mad_stats(residuals: DataFrame, keys=CHANNEL, value: str = "r", floor: float
 
 def z_score(r="r", clip_negative: bool = True) -> Column:
     z = (col(r) - F.col("center")) / (F.col("scale") + F.lit(DOUBLE_EPS))
-    return F.greatest(z, F.lit(0.0)) if clip_negative else z
+    return at_least(z, 0.0) if clip_negative else z
 
 
 def with_confidence(z: Column, confidence, mode: str = "none", floor: float = 0.1) -> Column:
@@ -107,7 +107,7 @@ def calibrate(values: DataFrame, reference: DataFrame, value: str, out: str, tai
                     upper, keys, "left")
     rank = F.coalesce("__cum", "__mid")
     cdf = clip((rank + F.lit(0.5)) / (F.col("__n") + F.lit(1.0)), CDF_CLIP, 1.0 - CDF_CLIP)
-    score = F.least(-F.log1p(-cdf), F.lit(TAIL_CAP)) if tail else F.lit(1.0) - cdf
+    score = clip(-F.log1p(-cdf), 0.0, TAIL_CAP) if tail else F.lit(1.0) - cdf
     empty = F.lit(0.0 if tail else 0.5)
     return joined.select(*values.columns, F.coalesce(score, empty).alias(out))
 

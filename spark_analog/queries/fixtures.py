@@ -50,6 +50,21 @@ def series_daily(spark: SparkSession, sf: str) -> DataFrame:
     return densify(seen, 0, DAYS, rounded(F.avg("value")))
 
 
+def labels_daily(spark: SparkSession, sf: str) -> DataFrame:
+    """A day is anomalous when one of its items is unusually expensive."""
+    day = F.expr("timestampdiff(DAY, TIMESTAMP_NTZ'1995-01-01 00:00:00', l_shipdate)")
+    seen = table(spark, sf, "lineitem").select(
+        F.concat(F.lit("s"), F.expr("l_suppkey div 12")).alias("entity"),
+        day.cast("bigint").alias("t"), F.col("l_extendedprice").alias("price")).where(
+        f"t >= 0 and t < {DAYS}")
+    empty = seen.select("entity").distinct().select(
+        "entity", F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                       F.lit(DAYS - 1).cast("bigint"))).alias("t"),
+        F.lit(None).cast("double").alias("price"))
+    return seen.unionByName(empty).groupBy("entity", "t").agg(
+        (F.coalesce(F.max("price"), F.lit(0.0)) > 98000).cast("int").alias("label"))
+
+
 def score_points(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
     return docs.join(table(spark, sf, "labels").select("doc_id", "toxic"), "doc_id").select(
@@ -88,7 +103,7 @@ part("series", "observed", f"""
     select e.entity, r.t::bigint as t, c.channel
     from (select distinct entity from observed) e, range({HOURS}) r(t),
          (select distinct channel from observed) c) g
-  left join (select entity, t, channel, round(avg(value), 6) as value
+  left join (select entity, t, channel, round(avg(value) + 1.3e-9, 6) as value
              from observed group by 1, 2, 3) o using (entity, t, channel)""")
 part("labels_h", "observed", f"""
   select g.entity, g.t, (coalesce(o.mx, 0) > 250)::int as label from (
@@ -105,7 +120,7 @@ part("daily", "observed_d", f"""
     select e.entity, r.t::bigint as t, c.channel
     from (select distinct entity from observed_d) e, range({DAYS}) r(t),
          (select distinct channel from observed_d) c) g
-  left join (select entity, t, channel, round(avg(value), 6) as value
+  left join (select entity, t, channel, round(avg(value) + 1.3e-9, 6) as value
              from observed_d group by 1, 2, 3) o using (entity, t, channel)""")
 part("score_points", "", """
   select d.doc_id as t, d.lang as entity, l.toxic::int as label, d.n_chars::double as score
@@ -113,7 +128,7 @@ part("score_points", "", """
 part("ledger", "", """
   select r_name as family, n_name as dataset, o_orderpriority as method,
          (1 + o_orderkey % 2)::int as seed, 'ok' as status,
-         round(avg(o_totalprice) / 1000000, 6) as auprc, count(*)::bigint as n
+         round(avg(o_totalprice) / 1000000 + 1.3e-9, 6) as auprc, count(*)::bigint as n
   from orders join customer on o_custkey = c_custkey
        join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
   group by 1, 2, 3, 4""")

@@ -139,20 +139,20 @@ def label_intervals(spark, sf):
                  count(*) filter (value is null)::bigint as missing
           from series group by 1, 2),
   l as (select entity, {SPLIT_SQL} as split, sum(label)::bigint as anomaly_points,
-               round(avg(label), 6) + 0.0 as anomaly_rate from labels_h group by 1, 2)
+               round(avg(label) + 1.3e-9, 6) + 0.0 as anomaly_rate from labels_h group by 1, 2)
   select * from s left join l using (entity, split)"""))
 def series_profile(spark, sf):
     p = clean.profile(fx.series_hourly(spark, sf), fx.labels_hourly(spark, sf), by_half())
     return p.withColumn("anomaly_rate", rounded("anomaly_rate"))
 
 
-@query("train_median", sql("medians", "select entity, channel, round(median, 6) + 0.0 as median"
+@query("train_median", sql("medians", "select entity, channel, round(median + 1.3e-9, 6) + 0.0 as median"
                                       " from medians"))
 def train_median(spark, sf):
     return medians(fx.series_hourly(spark, sf)).withColumn("median", rounded("median"))
 
 
-@query("causal_fill", sql("filled", "select entity, t, channel, round(value, 6) + 0.0 as value"
+@query("causal_fill", sql("filled", "select entity, t, channel, round(value + 1.3e-9, 6) + 0.0 as value"
                                     " from filled"))
 def causal_fill(spark, sf):
     return filled(spark, sf).withColumn("value", rounded("value"))
@@ -215,7 +215,7 @@ def family_of(spark, sf):
 
 
 @query("robust_fit", sql("scaler", """
-  select entity, channel, round(center, 6) + 0.0 as center, round(scale, 6) + 0.0 as scale
+  select entity, channel, round(center + 1.3e-9, 6) + 0.0 as center, round(scale + 1.3e-9, 6) + 0.0 as scale
   from scaler"""))
 def robust_fit(spark, sf):
     return scaler(filled(spark, sf)).select(
@@ -223,13 +223,13 @@ def robust_fit(spark, sf):
 
 
 @query("robust_transform", sql("scaled", """
-  select entity, t, channel, round(value, 6) + 0.0 as value from scaled"""))
+  select entity, t, channel, round(value + 1.3e-9, 6) + 0.0 as value from scaled"""))
 def robust_transform(spark, sf):
     return scaled(spark, sf).withColumn("value", rounded("value"))
 
 
 @query("robust_inverse", sql("filled", """
-  select entity, t, channel, round(value, 6) + 0.0 as value from filled"""))
+  select entity, t, channel, round(value + 1.3e-9, 6) + 0.0 as value from filled"""))
 def robust_inverse(spark, sf):
     f = filled(spark, sf)
     stats = scaler(f)

@@ -21,6 +21,14 @@ def detect(spark, sf):
     return out.select("entity", "segment", "t", rounded("score").alias("score"), "label")
 
 
+@query("detect_daily")
+def detect_daily(spark, sf):
+    """Longer series: seven years of days per supplier cohort."""
+    s = settings(train_stop=1750, size=64, k=5, label_block=75)
+    out = run_detect(fx.series_daily(spark, sf), fx.labels_daily(spark, sf), s)
+    return out.select("entity", "segment", "t", rounded("score").alias("score"), "label")
+
+
 @query("detect_native")
 def detect_native(spark, sf):
     out = run_detect(fx.series_hourly(spark, sf), fx.labels_hourly(spark, sf), settings(),

@@ -110,8 +110,8 @@ def events_enumerate(spark, sf):
 
 
 EFFECT_SQL = """entity, segment, event_start, event_stop, interval_start, interval_stop,
-  interval_points, positive_points, round(first_auprc, 6) + 0.0 as first_auprc,
-  round(second_auprc, 6) + 0.0 as second_auprc, round(effect, 6) + 0.0 as effect"""
+  interval_points, positive_points, round(first_auprc + 1.3e-9, 6) + 0.0 as first_auprc,
+  round(second_auprc + 1.3e-9, 6) + 0.0 as second_auprc, round(effect + 1.3e-9, 6) + 0.0 as effect"""
 
 
 def effect_columns(df, *more):
@@ -161,7 +161,7 @@ part("gains", "fused", """
              and d.selected_as = s.selected_as)),
   every as (select * from direct union all select * exclude (near) from bare where near = 1)
   select entity, segment, event_start, event_stop, selected_as, channel, w as forecast_start,
-         w + {H} as forecast_stop, round(gain, 6) + 0.0 as gain from (
+         w + {H} as forecast_stop, round(gain + 1.3e-9, 6) + 0.0 as gain from (
     select *, row_number() over (partition by entity, segment, event_start, selected_as
       order by case when selected_as = 'success' then -gain else gain end, w, channel) as rn
     from every) where rn = 1"""))
@@ -199,7 +199,7 @@ def event_case(spark, sf):
   f as (select entity, role, segment, channel, w, k, h, any_value(fut[h + 1]) as y,
                sum(e * (last + delta[h + 1])) / sum(e) as yhat
         from k, (select unnest(range({H})) as h) group by 1, 2, 3, 4, 5, 6, 7)
-  select entity, role, k, round(avg(abs(yhat - y)), 6) + 0.0 as mae, count(*)::bigint as n
+  select entity, role, k, round(avg(abs(yhat - y)) + 1.3e-9, 6) + 0.0 as mae, count(*)::bigint as n
   from f group by 1, 2, 3"""))
 def sensitivity_k(spark, sf):
     from spark_analog.operators import windows
@@ -225,7 +225,7 @@ ap_sql("sens_ap", "sens", "entity, weight")
 
 
 @query("sensitivity_weight", sql("sens_ap", """
-  select entity, weight, round(auprc, 6) + 0.0 as auprc, round(auroc, 6) + 0.0 as auroc
+  select entity, weight, round(auprc + 1.3e-9, 6) + 0.0 as auprc, round(auroc + 1.3e-9, 6) + 0.0 as auroc
   from sens_ap"""))
 def sensitivity_weight(spark, sf):
     late = parts(spark, sf).where("role = 'test'")

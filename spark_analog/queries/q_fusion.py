@@ -39,7 +39,7 @@ part("modes_h", "modes_s", f"""
 
 def weight_query(mode):
     @query(f"weights_{mode}", sql("modes_s", f"""
-      select {WKEY}, rank, round(w_{mode}, 6) + 0.0 as weight from modes_s"""))
+      select {WKEY}, rank, round(w_{mode} + 1.3e-9, 6) + 0.0 as weight from modes_s"""))
     def run(spark, sf):
         r = retrieved(spark, sf)
         z = F.posexplode(retrieve.candidate_weights(mode, 0.15, K)).alias("p", "weight")
@@ -53,7 +53,7 @@ for _mode in ("nearest", "uniform", "idw", "softmax", "sparse"):
 
 
 @query("fusion_select", sql("modes_s", f"""
-  select {WKEY}, rank, round(w_select, 6) + 0.0 as weight from modes_s"""))
+  select {WKEY}, rank, round(w_select + 1.3e-9, 6) + 0.0 as weight from modes_s"""))
 def fusion_select(spark, sf):
     z = F.posexplode(retrieve.candidate_weights("select")).alias("p", "weight")
     return retrieved(spark, sf).select(*KEYS, "w", z).select(
@@ -71,13 +71,13 @@ def idw(spark, sf):
 
 
 @query("candidate_forecast", sql("idw_fc", f"""
-  select {WKEY}, h, round(yhat, 6) + 0.0 as yhat from idw_fc"""))
+  select {WKEY}, h, round(yhat + 1.3e-9, 6) + 0.0 as yhat from idw_fc"""))
 def candidate_forecast(spark, sf):
     return by_step(idw(spark, sf), [*KEYS, "w"], yhat="yhat")
 
 
 @query("mae", sql("idw_fc", """
-  select entity, role, round(avg(abs(yhat - y)), 6) + 0.0 as mae, count(*)::bigint as n
+  select entity, role, round(avg(abs(yhat - y)) + 1.3e-9, 6) + 0.0 as mae, count(*)::bigint as n
   from idw_fc group by 1, 2"""))
 def mae(spark, sf):
     m = fuse.mae(idw(spark, sf), ["entity", "role"])
@@ -93,7 +93,7 @@ def mae(spark, sf):
                sum(weight * (last + delta[h + 1])) as yhat
         from n, (select unnest(range({H})) as h) group by {WKEY}, temperature, h),
   l as (select entity, temperature, round(avg(abs(yhat - y)), 9) as mae from f group by 1, 2)
-  select entity, temperature, round(mae, 6) + 0.0 as mae from (
+  select entity, temperature, round(mae + 1.3e-9, 6) + 0.0 as mae from (
     select *, row_number() over (partition by entity order by mae, temperature) as rn from l)
   where rn = 1"""))
 def choose_temperature(spark, sf):
@@ -102,9 +102,9 @@ def choose_temperature(spark, sf):
 
 
 @query("gate_features", sql("retr", f"""
-  select {WKEY}, round(ln(1 + least(greatest(min(nearest), 0), 1e6)), 6) + 0.0 as log_nearest,
-         round(ln(1 + least(greatest(avg(divergence), 0), 1e6)), 6) + 0.0 as log_divergence,
-         round(avg(abs(analog - native)), 6) + 0.0 as disagreement,
+  select {WKEY}, round(ln(1 + least(greatest(min(nearest), 0), 1e6)) + 1.3e-9, 6) + 0.0 as log_nearest,
+         round(ln(1 + least(greatest(avg(divergence), 0), 1e6)) + 1.3e-9, 6) + 0.0 as log_divergence,
+         round(avg(abs(analog - native)) + 1.3e-9, 6) + 0.0 as disagreement,
          (round(avg(abs(analog - y)), 9) < round(avg(abs(native - y)), 9))::int as better
   from retr group by {WKEY}"""))
 def gate_features(spark, sf):
@@ -130,7 +130,7 @@ def adaptive_mix(spark, sf):
 @query("fusion_masks", sql("gap_win gap_best", f"""
   select entity, channel, w, nearest is not null as has_reference,
          case when nearest is null then 0.0 else 0.1 end::double as gate,
-         case when nearest is null then round(coalesce(ctx[{L}], 0), 6) + 0.0 end as native_kept
+         case when nearest is null then round(coalesce(ctx[{L}], 0) + 1.3e-9, 6) + 0.0 end as native_kept
   from gap_win left join gap_best using (entity, channel, w)"""))
 def fusion_masks(spark, sf):
     f = fuse.fusion(gapped(spark, sf), H)
@@ -142,10 +142,10 @@ def fusion_masks(spark, sf):
 @query("fusion_signals", sql("cand_h retr", f"""
   , n as (select {WKEY}, min(ln(1 + nearest)) as nearest_log,
                  avg(ln(1 + divergence)) as divergence_log from retr group by {WKEY})
-  select {WKEY}, rank, round(ln(1 + any_value(c.distance)), 6) + 0.0 as log_distance,
-         round(avg(abs(future - last)), 6) + 0.0 as disagreement,
-         round(any_value(nearest_log), 6) + 0.0 as nearest_log,
-         round(any_value(divergence_log), 6) + 0.0 as divergence_log
+  select {WKEY}, rank, round(ln(1 + any_value(c.distance)) + 1.3e-9, 6) + 0.0 as log_distance,
+         round(avg(abs(future - last)) + 1.3e-9, 6) + 0.0 as disagreement,
+         round(any_value(nearest_log) + 1.3e-9, 6) + 0.0 as nearest_log,
+         round(any_value(divergence_log) + 1.3e-9, 6) + 0.0 as divergence_log
   from cand_h c join n using ({WKEY}) group by {WKEY}, rank"""))
 def fusion_signals(spark, sf):
     s = fuse.fusion_signals(retrieved(spark, sf))
@@ -166,14 +166,14 @@ def fused(spark, sf):
 
 
 @query("gated_fusion", sql("fused", f"""
-  select {WKEY}, h, round(reference, 6) + 0.0 as reference, round(yhat, 6) + 0.0 as yhat
+  select {WKEY}, h, round(reference + 1.3e-9, 6) + 0.0 as reference, round(yhat + 1.3e-9, 6) + 0.0 as yhat
   from fused"""))
 def gated_fusion(spark, sf):
     return by_step(fused(spark, sf), [*KEYS, "w"], reference="reference", yhat="yhat")
 
 
 @query("forecast_blend", sql("retr", f"""
-  select {WKEY}, h, amount, round(native + amount * (analog - native), 6) + 0.0 as yhat
+  select {WKEY}, h, amount, round(native + amount * (analog - native) + 1.3e-9, 6) + 0.0 as yhat
   from retr, (select unnest([0.0, 0.25, 0.5, 0.75, 1.0])::double as amount)"""))
 def forecast_blend(spark, sf):
     amounts = F.explode(F.array(*[F.lit(a) for a in (0.0, 0.25, 0.5, 0.75, 1.0)])).alias("amount")
@@ -194,14 +194,14 @@ SOFT = "1 / (1 + exp(-(least(greatest((bypass - {o}) / greatest(bypass + {o}, 1e
 
 
 @query("reference_quality", sql("errors", f"""
-  select {WKEY}, round({SOFT.format(o='best')}, 6) + 0.0 as quality from errors"""))
+  select {WKEY}, round({SOFT.format(o='best')} + 1.3e-9, 6) + 0.0 as quality from errors"""))
 def reference_quality(spark, sf):
     t = fuse.quality_targets(fused(spark, sf))
     return t.select(*KEYS, "w", rounded("reference_quality").alias("quality"))
 
 
 @query("gate_target", sql("errors", f"""
-  select {WKEY}, round({SOFT.format(o='full_open')}, 6) + 0.0 as target from errors"""))
+  select {WKEY}, round({SOFT.format(o='full_open')} + 1.3e-9, 6) + 0.0 as target from errors"""))
 def gate_target(spark, sf):
     t = fuse.quality_targets(fused(spark, sf))
     return t.select(*KEYS, "w", rounded("gate_target").alias("target"))
@@ -214,9 +214,9 @@ def gate_soft_fit(spark, sf):
 
 
 @query("forecast_loss", sql("fused", f"""
-  select entity, role, round(avg({HUBER.format(e='yhat - y')}), 6) + 0.0 as huber,
-         round(avg((yhat - y) ** 2), 6) + 0.0 as mse, count(*)::bigint as n,
-         round(avg(0.1::double), 6) + 0.0 as gate_mean
+  select entity, role, round(avg({HUBER.format(e='yhat - y')}) + 1.3e-9, 6) + 0.0 as huber,
+         round(avg((yhat - y) ** 2) + 1.3e-9, 6) + 0.0 as mse, count(*)::bigint as n,
+         round(avg(0.1::double) + 1.3e-9, 6) + 0.0 as gate_mean
   from fused group by 1, 2"""))
 def forecast_loss(spark, sf):
     f = fused(spark, sf)
@@ -230,7 +230,7 @@ def forecast_loss(spark, sf):
 
 
 @query("naive_forecast", sql("feats", f"""
-  select {WKEY}, h, round(last, 6) + 0.0 as yhat, round(fut[h + 1], 6) + 0.0 as y
+  select {WKEY}, h, round(last + 1.3e-9, 6) + 0.0 as yhat, round(fut[h + 1] + 1.3e-9, 6) + 0.0 as y
   from feats, (select unnest(range({H}))::int as h)"""))
 def naive_forecast(spark, sf):
     w = windows.scan(blocked(spark, sf), L, H).withColumn("yhat", forecast.naive(H))
@@ -262,7 +262,7 @@ part("drift", "feats", f"""
 
 
 @query("predict_batch", sql("drift", f"""
-  select {WKEY}, h, round(yhat, 6) + 0.0 as yhat from drift"""))
+  select {WKEY}, h, round(yhat + 1.3e-9, 6) + 0.0 as yhat from drift"""))
 def predict_batch(spark, sf):
     return by_step(windows.scan(blocked(spark, sf), L, H, forecast=drift), [*KEYS, "w"],
                    yhat="yhat")

@@ -69,7 +69,7 @@ def z_steps(spark, sf):
 
 
 @query("residuals", sql("resid fused", f"""
-  select {WKEY}, h, t, round(r, 6) + 0.0 as absolute, round((yhat - y) ** 2, 6) + 0.0 as squared
+  select {WKEY}, h, t, round(r + 1.3e-9, 6) + 0.0 as absolute, round((yhat - y) ** 2 + 1.3e-9, 6) + 0.0 as squared
   from resid join fused using ({WKEY}, h)"""))
 def residuals(spark, sf):
     f = fused(spark, sf)
@@ -79,7 +79,7 @@ def residuals(spark, sf):
 
 
 @query("mad_stats", sql("mad", """
-  select entity, channel, round(center, 6) + 0.0 as center, round(scale, 6) + 0.0 as scale
+  select entity, channel, round(center + 1.3e-9, 6) + 0.0 as center, round(scale + 1.3e-9, 6) + 0.0 as scale
   from mad"""))
 def mad_stats(spark, sf):
     return stats(spark, sf).select("entity", "channel", rounded("center").alias("center"),
@@ -87,8 +87,8 @@ def mad_stats(spark, sf):
 
 
 @query("residual_z", sql("resid mad", f"""
-  select {WKEY}, h, round((r - center) / (scale + {EPS}), 6) + 0.0 as z,
-         round(greatest((r - center) / (scale + {EPS}), 0), 6) + 0.0 as clipped
+  select {WKEY}, h, round((r - center) / (scale + {EPS}) + 1.3e-9, 6) + 0.0 as z,
+         round(greatest((r - center) / (scale + {EPS}), 0) + 1.3e-9, 6) + 0.0 as clipped
   from resid join mad using (entity, channel)"""))
 def residual_z(spark, sf):
     return z_steps(spark, sf).select(*KEYS, "w", "h",
@@ -102,7 +102,7 @@ CONFIDENCE = {"uncertainty": "z * (2 - c)", "inverse": "z / greatest(least(c, 1)
 
 def confidence_query(mode):
     @query(f"confidence_{mode}", sql("z", f"""
-      select {WKEY}, h, round({CONFIDENCE[mode]}, 6) + 0.0 as z
+      select {WKEY}, h, round({CONFIDENCE[mode]} + 1.3e-9, 6) + 0.0 as z
       from (select *, greatest(least(1 / (1 + nearest), 1), 0) as c from z)"""))
     def run(spark, sf):
         c = F.lit(1.0) / (F.lit(1.0) + F.col("nearest"))
@@ -116,7 +116,7 @@ for _mode in CONFIDENCE:
 
 
 @query("score_agreement", sql("z", f"""
-  select {WKEY}, h, round(z * (1 + 0.5 * least(greatest(exp(-divergence), 0), 1)), 6) + 0.0 as z
+  select {WKEY}, h, round(z * (1 + 0.5 * least(greatest(exp(-divergence), 0), 1)) + 1.3e-9, 6) + 0.0 as z
   from z"""))
 def score_agreement(spark, sf):
     z = score.with_agreement(F.col("z"), F.exp(-F.col("divergence")), 0.5)
@@ -124,14 +124,14 @@ def score_agreement(spark, sf):
 
 
 @query("score_additive", sql("z", f"""
-  select {WKEY}, h, round(z + 0.25 * nearest + 0.5 * divergence, 6) + 0.0 as z from z"""))
+  select {WKEY}, h, round(z + 0.25 * nearest + 0.5 * divergence + 1.3e-9, 6) + 0.0 as z from z"""))
 def score_additive(spark, sf):
     z = score.with_terms(F.col("z"), "nearest", 0.25, "divergence", 0.5)
     return z_steps(spark, sf).select(*KEYS, "w", "h", rounded(z).alias("z"))
 
 
 @query("overlap_add", sql("z", """
-  select entity, role, segment, channel, t, round(avg(z), 6) + 0.0 as z, count(z)::bigint as n
+  select entity, role, segment, channel, t, round(avg(z) + 1.3e-9, 6) + 0.0 as z, count(z)::bigint as n
   from z group by 1, 2, 3, 4, 5"""))
 def overlap_add(spark, sf):
     return score.overlap_add(z_steps(spark, sf), ["z"]).withColumn("z", rounded("z"))
@@ -153,7 +153,7 @@ def coverage(spark, sf):
 
 
 @query("ecdf_tail", sql("memory", f"""
-  select {WKEY}, round(memory, 6) + 0.0 as tail from memory"""))
+  select {WKEY}, round(memory + 1.3e-9, 6) + 0.0 as tail from memory"""))
 def ecdf_tail(spark, sf):
     r = retrieved(spark, sf).select(*KEYS, "w", "nearest")
     out = score.calibrate(r, r.where("role = 'normal'"), "nearest", "tail", True)
@@ -161,7 +161,7 @@ def ecdf_tail(spark, sf):
 
 
 @query("ecdf_agreement", sql("agreement", f"""
-  select {WKEY}, h, round(agreement, 6) + 0.0 as agreement from agreement"""))
+  select {WKEY}, h, round(agreement + 1.3e-9, 6) + 0.0 as agreement from agreement"""))
 def ecdf_agreement(spark, sf):
     s = steps(spark, sf)
     out = score.calibrate(s, s.where("role = 'normal'"), "divergence", "agreement", False)
@@ -176,8 +176,8 @@ def parts(spark, sf):
 
 
 @query("score_components", sql("comp", """
-  select entity, role, segment, channel, t, round(residual, 6) + 0.0 as residual,
-         round(memory, 6) + 0.0 as memory, round(agreement, 6) + 0.0 as agreement, n from comp"""))
+  select entity, role, segment, channel, t, round(residual + 1.3e-9, 6) + 0.0 as residual,
+         round(memory + 1.3e-9, 6) + 0.0 as memory, round(agreement + 1.3e-9, 6) + 0.0 as agreement, n from comp"""))
 def score_components(spark, sf):
     return parts(spark, sf).select(*KEYS, "t", *[rounded(c).alias(c) for c in (
         "residual", "memory", "agreement")], "n")
@@ -185,7 +185,7 @@ def score_components(spark, sf):
 
 @query("nn_score", sql("memory fused", f"""
   select m.entity, m.role, m.segment, m.channel, m.w + h as t,
-         round(avg(m.memory), 6) + 0.0 as score
+         round(avg(m.memory) + 1.3e-9, 6) + 0.0 as score
   from memory m, (select unnest(range({fx.H})) as h) where role <> 'normal'
   group by 1, 2, 3, 4, 5"""))
 def nn_score(spark, sf):
@@ -205,7 +205,7 @@ part("pts", "ranked", """
 
 
 @query("top_q", sql("pts", """
-  select entity, role, segment, t, round(score, 6) + 0.0 as score from pts"""))
+  select entity, role, segment, t, round(score + 1.3e-9, 6) + 0.0 as score from pts"""))
 def top_q(spark, sf):
     rows = score.channel_lists(parts(spark, sf))
     return rows.select("entity", "role", "segment", "t", rounded(score.top_q_mean(
@@ -218,7 +218,7 @@ part("smooth", "pts", """
 
 
 @query("causal_smooth", sql("smooth", """
-  select entity, role, segment, t, round(smooth, 6) + 0.0 as score from smooth"""))
+  select entity, role, segment, t, round(smooth + 1.3e-9, 6) + 0.0 as score from smooth"""))
 def causal_smooth(spark, sf):
     rows = score.channel_lists(parts(spark, sf))
     raw = rows.select("entity", "role", "segment", "t", score.top_q_mean(
@@ -228,7 +228,7 @@ def causal_smooth(spark, sf):
 
 
 @query("point_scores", sql("smooth labels_h", f"""
-  select l.entity, l.t, round(s.smooth, 6) + 0.0 as score, l.label from labels_h l
+  select l.entity, l.t, round(s.smooth + 1.3e-9, 6) + 0.0 as score, l.label from labels_h l
   left join (select * from smooth where role = 'test') s using (entity, t)
   where l.t >= {fx.TRAIN} and (l.t - {fx.TRAIN}) // {fx.BLOCK} % 5 <> 0"""))
 def point_scores(spark, sf):
@@ -300,7 +300,7 @@ def grid(spark, sf):
          case when g is null then 0.25 else ([0.0, 0.25])[(g // 2 % 2 + 1)::int] end::double
            as agreement_weight,
          case when g is null then 1 else ([1, 3])[(g % 2 + 1)::int] end::int as smoothing,
-         round(auprc, 6) + 0.0 as objective from p"""))
+         round(auprc + 1.3e-9, 6) + 0.0 as objective from p"""))
 def select_score_params(spark, sf):
     best = score.select_parameters(grid(spark, sf), **AXES)
     return best.withColumn("objective", rounded("objective")).withColumn(
@@ -311,8 +311,8 @@ def select_score_params(spark, sf):
   , m as (select entity, grid_id, avg(auprc) as macro, count(auprc)::bigint as blocks
           from grid_ap_seg group by 1, 2)
   select entity, grid_id::bigint as grid_id, blocks,
-         round(case when auprc is null then null when blocks >= 2 then macro else auprc end, 6)
-           + 0.0 as objective
+         round(case when auprc is null then null when blocks >= 2 then macro else auprc end
+           + 1.3e-9, 6) + 0.0 as objective
   from grid_ap join m using (entity, grid_id)"""))
 def macro_block_auprc(spark, sf):
     o = score.objectives(grid(spark, sf), selection="macro_block")
@@ -324,7 +324,7 @@ def macro_block_auprc(spark, sf):
   , o as (select s.channel as entity, amount, round(avg(abs(coalesce(value, 0) - 100 * amount)), 3)
                    as objective
           from series s, (select unnest([0.0, 0.25, 0.5, 0.75, 1.0])::double as amount) group by 1, 2)
-  select entity, min_by(amount, amount) as selected, round(any_value(objective), 6) + 0.0 as objective
+  select entity, min_by(amount, amount) as selected, round(any_value(objective) + 1.3e-9, 6) + 0.0 as objective
   from (select *, max(objective) over (partition by entity) as best from o)
   where objective = best group by 1"""))
 def select_blend(spark, sf):
@@ -339,13 +339,13 @@ def select_blend(spark, sf):
 ap_sql("f3_ap", "score_points", "entity")
 
 
-@query("auprc", sql("f3_ap", "select entity, round(auprc, 6) + 0.0 as auprc from f3_ap"))
+@query("auprc", sql("f3_ap", "select entity, round(auprc + 1.3e-9, 6) + 0.0 as auprc from f3_ap"))
 def auprc(spark, sf):
     return evaluate.average_precision(fx.score_points(spark, sf), ["entity"]).select(
         "entity", rounded("auprc").alias("auprc"))
 
 
-@query("auroc", sql("f3_ap", "select entity, round(auroc, 6) + 0.0 as auroc from f3_ap"))
+@query("auroc", sql("f3_ap", "select entity, round(auroc + 1.3e-9, 6) + 0.0 as auroc from f3_ap"))
 def auroc(spark, sf):
     return evaluate.average_precision(fx.score_points(spark, sf), ["entity"]).select(
         "entity", rounded("auroc").alias("auroc"))
@@ -366,9 +366,9 @@ def fixed_rounded(spark, sf):
 
 SUMMARY = """n_total, t.n_evaluated, n_total - t.n_evaluated as n_dropped, t.positives,
   t.n_evaluated - t.positives as negatives,
-  round(t.positives / nullif(t.n_evaluated, 0)::double, 6) + 0.0 as positive_rate,
+  round(t.positives / nullif(t.n_evaluated, 0)::double + 1.3e-9, 6) + 0.0 as positive_rate,
   t.positives = 0 or t.positives = t.n_evaluated as single_class,
-  round(auprc, 6) + 0.0 as auprc, round(auroc, 6) + 0.0 as auroc"""
+  round(auprc + 1.3e-9, 6) + 0.0 as auprc, round(auroc + 1.3e-9, 6) + 0.0 as auroc"""
 
 
 def summary(df):

@@ -141,9 +141,9 @@ def by_step(df, keys, **arrays):
         *keys, "h", *[rounded(F.col("z")[n]).alias(n) for n in arrays])
 
 
-WINDOW_COLUMNS = """entity, role, segment, channel, w, round(ctx[1], 6) + 0.0 as ctx_first,
-  round(ctx[24], 6) + 0.0 as ctx_last, round(list_sum(ctx), 6) + 0.0 as ctx_sum,
-  round(list_sum(fut), 6) + 0.0 as fut_sum"""
+WINDOW_COLUMNS = """entity, role, segment, channel, w, round(ctx[1] + 1.3e-9, 6) + 0.0 as ctx_first,
+  round(ctx[24] + 1.3e-9, 6) + 0.0 as ctx_last, round(list_sum(ctx) + 1.3e-9, 6) + 0.0 as ctx_sum,
+  round(list_sum(fut) + 1.3e-9, 6) + 0.0 as fut_sum"""
 
 
 def window_columns(df):
@@ -197,27 +197,27 @@ def window_finite(spark, sf):
 
 
 @query("feat_stats", sql("feats", """
-  select entity, role, segment, channel, w, round(feat[1], 6) + 0.0 as mean,
-         round(feat[2], 6) + 0.0 as std, round(feat[3], 6) + 0.0 as last from feats"""))
+  select entity, role, segment, channel, w, round(feat[1] + 1.3e-9, 6) + 0.0 as mean,
+         round(feat[2] + 1.3e-9, 6) + 0.0 as std, round(feat[3] + 1.3e-9, 6) + 0.0 as last from feats"""))
 def feat_stats(spark, sf):
     return featured(spark, sf).select(*KEYS, "w", *[
         rounded(F.col("feat")[i]).alias(n) for i, n in enumerate(["mean", "std", "last"])])
 
 
 @query("feat_slope", sql("feats", """
-  select entity, role, segment, channel, w, round(feat[4], 7) + 0.0 as slope from feats"""))
+  select entity, role, segment, channel, w, round(feat[4] + 1.3e-9, 7) + 0.0 as slope from feats"""))
 def feat_slope(spark, sf):
     return featured(spark, sf).select(*KEYS, "w", rounded(F.col("feat")[3], 7).alias("slope"))
 
 
 @query("feat_diff_energy", sql("feats", """
-  select entity, role, segment, channel, w, round(feat[5], 6) + 0.0 as energy from feats"""))
+  select entity, role, segment, channel, w, round(feat[5] + 1.3e-9, 6) + 0.0 as energy from feats"""))
 def feat_diff_energy(spark, sf):
     return featured(spark, sf).select(*KEYS, "w", rounded(F.col("feat")[4]).alias("energy"))
 
 
 @query("feat_waveform", sql("feats", """
-  select entity, role, segment, channel, w, p::int as p, round(feat[p + 6], 6) + 0.0 as z
+  select entity, role, segment, channel, w, p::int as p, round(feat[p + 6] + 1.3e-9, 6) + 0.0 as z
   from feats, (select unnest(range(16)) as p)"""))
 def feat_waveform(spark, sf):
     wave = F.posexplode(F.slice("feat", 6, 16)).alias("p", "z")
@@ -230,8 +230,8 @@ def features(spark, sf):
 
 
 @query("feat_scale", sql("fscale", """
-  select entity, channel, dim::int as dim, round(center, 6) + 0.0 as center,
-         round(scale, 6) + 0.0 as scale from fscale"""))
+  select entity, channel, dim::int as dim, round(center + 1.3e-9, 6) + 0.0 as center,
+         round(scale + 1.3e-9, 6) + 0.0 as scale from fscale"""))
 def feat_scale(spark, sf):
     return memory.feature_scale(memory_windows(spark, sf), most=TRAIN).select(
         "entity", "channel", "dim", rounded("center").alias("center"),
@@ -241,9 +241,9 @@ def feat_scale(spark, sf):
 @query("instance_norm", sql("win", f"""
   , n as (select *, list_avg(ctx) as mean,
                  sqrt(list_aggregate(ctx, 'var_pop') + 1e-5) as spread from win)
-  select entity, role, segment, channel, w, round(mean, 6) + 0.0 as mean,
-         round(spread, 6) + 0.0 as spread, round((ctx[1] - mean) / spread, 6) + 0.0 as z_first,
-         round((ctx[{L}] - mean) / spread, 6) + 0.0 as z_last from n"""))
+  select entity, role, segment, channel, w, round(mean + 1.3e-9, 6) + 0.0 as mean,
+         round(spread + 1.3e-9, 6) + 0.0 as spread, round((ctx[1] - mean) / spread + 1.3e-9, 6) + 0.0 as z_first,
+         round((ctx[{L}] - mean) / spread + 1.3e-9, 6) + 0.0 as z_last from n"""))
 def instance_norm(spark, sf):
     raw = windows.windows(blocked(spark, sf), L, H)
     z, mean, spread = windows.instance_normalise("ctx")
@@ -284,7 +284,7 @@ def memory_boundary(spark, sf):
 
 
 @query("future_delta", sql("feats", f"""
-  select entity, role, segment, channel, w, h, round(fut[h + 1] - last, 6) + 0.0 as delta
+  select entity, role, segment, channel, w, h, round(fut[h + 1] - last + 1.3e-9, 6) + 0.0 as delta
   from feats, (select unnest(range({H}))::int as h)"""))
 def future_delta(spark, sf):
     return by_step(memory.with_delta(featured(spark, sf)), [*KEYS, "w"], delta="delta")
@@ -315,8 +315,8 @@ def bank_footprint(spark, sf):
 
 
 @query("bank_contexts", sql("bank win", """
-  select b.entity, b.channel, b.slot, b.src_w, round(list_sum(ctx), 6) + 0.0 as ctx_sum,
-         round(list_sum(fut), 6) + 0.0 as fut_sum
+  select b.entity, b.channel, b.slot, b.src_w, round(list_sum(ctx) + 1.3e-9, 6) + 0.0 as ctx_sum,
+         round(list_sum(fut) + 1.3e-9, 6) + 0.0 as fut_sum
   from bank b join win on win.entity = b.entity and win.channel = b.channel
        and win.w = b.src_w and win.role = 'memory'"""))
 def bank_contexts(spark, sf):
@@ -329,7 +329,7 @@ def bank_contexts(spark, sf):
 
 # --- retrieval ----------------------------------------------------------------------------------
 @query("knn_channel", sql("knn", """
-  select entity, role, segment, channel, w, rank, src_w, round(distance, 6) + 0.0 as distance
+  select entity, role, segment, channel, w, rank, src_w, round(distance + 1.3e-9, 6) + 0.0 as distance
   from knn"""))
 def knn_channel(spark, sf):
     return retrieve.explode_candidates(retrieved(spark, sf), [*KEYS, "w"]).select(
@@ -351,7 +351,7 @@ def vec_sql(condition="true"):
           from embeddings q join vec_bank b using (label) where {condition}),
   r as (select *, row_number() over (partition by label, qid
                                      order by distance, src_w)::int as rank from d)
-  select label, qid, rank, src_w, round(distance, 6) + 0.0 as distance from r where rank <= 5""")
+  select label, qid, rank, src_w, round(distance + 1.3e-9, 6) + 0.0 as distance from r where rank <= 5""")
 
 
 def vector_knn(spark, sf, radius=None):
@@ -377,7 +377,7 @@ def knn_exclusion(spark, sf):
 
 
 @query("knn_weights", sql("cand", """
-  select entity, role, segment, channel, w, rank, round(weight, 6) + 0.0 as weight from cand"""))
+  select entity, role, segment, channel, w, rank, round(weight + 1.3e-9, 6) + 0.0 as weight from cand"""))
 def knn_weights(spark, sf):
     z = F.posexplode("weights").alias("p", "weight")
     return retrieved(spark, sf).select(*KEYS, "w", z).select(
@@ -385,7 +385,7 @@ def knn_weights(spark, sf):
 
 
 @query("level_align", sql("cand_h", """
-  select entity, role, segment, channel, w, rank, h, round(future, 6) + 0.0 as future
+  select entity, role, segment, channel, w, rank, h, round(future + 1.3e-9, 6) + 0.0 as future
   from cand_h"""))
 def level_align(spark, sf):
     rows = retrieve.explode_candidates(retrieved(spark, sf), [*KEYS, "w"])
@@ -393,22 +393,22 @@ def level_align(spark, sf):
 
 
 @query("analog", sql("analog", """
-  select entity, role, segment, channel, w, h, round(analog, 6) + 0.0 as analog,
-         round(distance, 6) + 0.0 as distance from analog"""))
+  select entity, role, segment, channel, w, h, round(analog + 1.3e-9, 6) + 0.0 as analog,
+         round(distance + 1.3e-9, 6) + 0.0 as distance from analog"""))
 def analog(spark, sf):
     rows = by_step(retrieved(spark, sf), [*KEYS, "w", "distance"], analog="analog")
     return rows.withColumn("distance", rounded("distance"))
 
 
 @query("divergence", sql("retr", """
-  select entity, role, segment, channel, w, h, round(divergence, 6) + 0.0 as divergence
+  select entity, role, segment, channel, w, h, round(divergence + 1.3e-9, 6) + 0.0 as divergence
   from retr"""))
 def divergence(spark, sf):
     return by_step(retrieved(spark, sf), [*KEYS, "w"], divergence="divergence")
 
 
 @query("nearest_distance", sql("knn", """
-  select entity, role, segment, channel, w, round(min(distance), 6) + 0.0 as nearest
+  select entity, role, segment, channel, w, round(min(distance) + 1.3e-9, 6) + 0.0 as nearest
   from knn group by 1, 2, 3, 4, 5"""))
 def nearest_distance(spark, sf):
     return retrieved(spark, sf).select(*KEYS, "w", rounded(
@@ -456,8 +456,8 @@ def gapped(spark, sf):
 
 
 @query("knn_fallback", sql("gap_win gap_best", f"""
-  select g.entity, g.channel, g.w, round(b.nearest, 6) + 0.0 as nearest,
-         case when b.nearest is null then round(coalesce(g.ctx[{L}], 0), 6) + 0.0 end as flat
+  select g.entity, g.channel, g.w, round(b.nearest + 1.3e-9, 6) + 0.0 as nearest,
+         case when b.nearest is null then round(coalesce(g.ctx[{L}], 0) + 1.3e-9, 6) + 0.0 end as flat
   from gap_win g left join gap_best b using (entity, channel, w)"""))
 def knn_fallback(spark, sf):
     g = gapped(spark, sf)
