@@ -42,14 +42,19 @@ def log1p_clamped(c, high: float) -> Column:
     return F.log1p(clip(c, 0.0, high))
 
 
+def let(value, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once, not once per element of an inner lambda."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def array_sum(a) -> Column:
     return F.aggregate(a, F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
 
 
 def array_mean(a) -> Column:
     """Mean over the non-NULL elements; NULL when there are none."""
-    kept = F.filter(a, lambda x: x.isNotNull())
-    return F.when(F.size(kept) > 0, array_sum(kept) / F.size(kept))
+    return let(F.filter(a, lambda x: x.isNotNull()),
+               lambda k: F.when(F.size(k) > 0, array_sum(k) / F.size(k)))
 
 
 def array_diff_mean(a, b, fn) -> Column:

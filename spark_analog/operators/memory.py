@@ -7,13 +7,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spark_analog.defaults import BOUNDARY_SHARE, POOL_FACTOR, SCALE_FLOOR
+from spark_analog.defaults import BOUNDARY_SHARE, POOL_FACTOR, SCALE_FLOOR, WAVEFORM_POINTS
 from spark_analog.functions import kernels
-from spark_analog.operators.ordered import quantiles, time_rank
+from spark_analog.operators.ordered import DIRECT_ROWS, quantiles, time_rank
 from spark_analog.operators.staging import attach, stage
-from spark_analog.operators.windows import is_finite
 
 GROUP = ("entity", "channel")
+WIDTH = 5 + WAVEFORM_POINTS
 
 
 def eligible(windows: DataFrame, normal: DataFrame | None = None, keys=("entity",)) -> DataFrame:
@@ -22,7 +22,7 @@ def eligible(windows: DataFrame, normal: DataFrame | None = None, keys=("entity"
     ``normal`` holds the allowed ``(keys, w)``; with ``channel`` among the keys
     it is channel-specific, without it a window counts for all channels.
     """
-    kept = windows.where(F.col("complete") & is_finite("y") & is_finite("feat"))
+    kept = windows.where("complete and known")
     if normal is not None:
         kept = kept.join(normal.select(*keys, "w").distinct(), [*keys, "w"], "left_semi")
     return kept
@@ -46,11 +46,24 @@ def empty_channels(all_windows: DataFrame, kept: DataFrame, group=GROUP) -> Data
 
 
 def feature_scale(windows: DataFrame, group=GROUP, floor: float = SCALE_FLOOR,
-                  most: int | None = None) -> DataFrame:
-    """Robust centre and scale of every feature dimension: ``group, dim, center, scale``."""
-    flat = windows.select(*group, F.posexplode("feat").alias("dim", "v"))
-    q = quantiles(flat, [*group, "dim"], "v", [0.25, 0.5, 0.75], ["q1", "center", "q3"],
-                  most=most)
+                  most: int | None = None, width: int | None = None) -> DataFrame:
+    """Robust centre and scale of every feature dimension: ``group, dim, center, scale``.
+
+    With a known ``width`` and groups bounded by ``most`` all dimensions are
+    aggregated side by side; otherwise they are exploded into keys, so that
+    large groups take the sketched path of ``quantiles``.
+    """
+    if width and most is not None and most <= DIRECT_ROWS:
+        probs = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+        per = windows.groupBy(*group).agg(*[
+            F.percentile(F.col("feat")[i], probs).alias(f"d{i}") for i in range(width)])
+        q = per.select(*group, F.posexplode(F.array(*[f"d{i}" for i in range(width)])).alias(
+            "dim", "q")).select(*group, "dim", F.col("q")[0].alias("q1"),
+                                F.col("q")[1].alias("center"), F.col("q")[2].alias("q3"))
+    else:
+        flat = windows.select(*group, F.posexplode("feat").alias("dim", "v"))
+        q = quantiles(flat, [*group, "dim"], "v", [0.25, 0.5, 0.75], ["q1", "center", "q3"],
+                      most=most)
     iqr = F.col("q3") - F.col("q1")
     return q.select(*group, "dim", "center",
                     F.when(iqr < floor, F.lit(1.0)).otherwise(iqr).alias("scale"))
@@ -82,15 +95,26 @@ def uniform_slot(position, n, wanted) -> Column:
     return F.when(n <= wanted, position).when(hit & (i < wanted), i)
 
 
-def _ranked(windows: DataFrame, group=GROUP) -> DataFrame:
-    counts = windows.groupBy(*group).agg(F.count("*").alias("__n"))
-    return attach(time_rank(windows, group, "w", "__pos"), counts, group)
+def positions(windows: DataFrame, group=GROUP) -> DataFrame:
+    """``group, w, __pos, __n``: place in time among the eligible windows, staged.
+
+    Only keys are ranked and shuffled; the wide feature rows stay where they are.
+    """
+    keys = windows.select(*group, "w")
+    counts = keys.groupBy(*group).agg(F.count("*").alias("__n"))
+    return stage(attach(time_rank(keys, group, "w", "__pos"), counts, group))
+
+
+def _pick(scaled: DataFrame, placed: DataFrame, slots, extra=(), group=GROUP) -> DataFrame:
+    """Feature rows whose position takes one of ``slots`` bin centres."""
+    slot = uniform_slot(F.col("__pos"), F.col("__n"), slots)
+    chosen = stage(placed.where(slot.isNotNull()).select(*group, "w", *extra))
+    return scaled.join(chosen, [*group, "w"]).select(*scaled.columns, *[
+        F.col(c) for c in chosen.columns if c not in (*group, "w")])
 
 
 def select_uniform(scaled: DataFrame, size: int, group=GROUP) -> DataFrame:
-    slot = uniform_slot(F.col("__pos"), F.col("__n"), F.lit(size))
-    return _ranked(scaled, group).withColumn("__slot", slot).where(
-        "__slot is not null").select(*scaled.columns)
+    return _pick(scaled, positions(scaled, group), F.lit(size), (), group)
 
 
 def _sizes(size: int, boundary: bool) -> tuple[Column, Column]:
@@ -103,14 +127,13 @@ def _sizes(size: int, boundary: bool) -> tuple[Column, Column]:
     return F.greatest(wanted - edge, F.lit(1)), edge
 
 
-def _core(ranked: DataFrame, columns, size: int, boundary: bool, group=GROUP) -> DataFrame:
+def _core(scaled: DataFrame, placed: DataFrame, size: int, boundary: bool, group=GROUP
+          ) -> DataFrame:
     """Greedy farthest-point core of a uniform pool of at most 4 x size rows per group."""
+    columns = scaled.columns
     core, _ = _sizes(size, boundary)
     pool = F.least(F.col("__n"), core * POOL_FACTOR)
-    slot = uniform_slot(F.col("__pos"), F.col("__n"), pool)
-    pooled = ranked.withColumn("__core", core.cast("int")).withColumn("__slot", slot).where(
-        "__slot is not null").select(*columns, "__core")
-    schema = pooled.select(*columns).schema
+    pooled = _pick(scaled, placed, pool, [core.cast("int").alias("__core")], group)
 
     def pick(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("w", kind="stable", ignore_index=True)
@@ -118,31 +141,33 @@ def _core(ranked: DataFrame, columns, size: int, boundary: bool, group=GROUP) ->
         chosen = kernels.farthest(pool_feat, int(pdf["__core"].iloc[0]))
         return pdf.iloc[chosen][list(columns)]
 
-    return pooled.groupBy(*group).applyInPandas(pick, schema)
+    return pooled.groupBy(*group).applyInPandas(pick, scaled.schema)
 
 
 def select_farthest(scaled: DataFrame, size: int, group=GROUP) -> DataFrame:
-    return _core(_ranked(scaled, group), scaled.columns, size, False, group)
+    return _core(scaled, positions(scaled, group), size, False, group)
 
 
 def select_boundary(scaled: DataFrame, size: int, group=GROUP) -> DataFrame:
     """Diverse core plus the windows farthest from the centre among the rest.
 
     The rest needs only the largest ``edge + core`` radii of a group, a constant
-    limit that is applied before the shuffle.
+    limit that Spark applies before the shuffle.
     """
-    ranked = stage(_ranked(scaled, group))
-    core = stage(_core(ranked, scaled.columns, size, True, group))
+    placed = positions(scaled, group)
+    core = stage(_core(scaled, placed, size, True, group))
     core_size, edge = _sizes(size, True)
     limit = size + int(round(BOUNDARY_SHARE * size)) + 1
     radius = F.round(F.aggregate("feat", F.lit(0.0), lambda a, x: a + x * x), 9)
     by_radius = Window.partitionBy(*group).orderBy(F.desc("__radius"), F.desc("w"))
-    outer = ranked.withColumn("__radius", radius).withColumn(
+    outer = scaled.withColumn("__radius", radius).withColumn(
         "__rn", F.row_number().over(by_radius)).where(F.col("__rn") <= limit)
     rest = outer.join(core.select(*group, "w"), [*group, "w"], "left_anti").withColumn(
         "__rn", F.row_number().over(by_radius))
+    sizes = placed.where("__pos = 0").select(*group, "__n")
     room = F.least(F.lit(size), F.col("__n")) - core_size
-    added = rest.where(F.col("__rn") <= F.least(edge, room)).select(*scaled.columns)
+    added = attach(rest, sizes, group).where(
+        F.col("__rn") <= F.least(edge, room)).select(*scaled.columns)
     return core.unionByName(added)
 
 
@@ -159,11 +184,12 @@ def build_bank(windows: DataFrame, size: int, selection: str = "boundary",
                most: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(bank, packed scales) from feature windows of the memory role.
 
-    ``bank``: ``group, slot, src_w, feat, delta``.
+    ``bank``: ``group, slot, src_w, feat, delta``.  Features are 20 times wider
+    than a step, so they are recomputed from blocks in each pass rather than
+    written or shuffled; only keys, quantiles, pools and the result are.
     """
-    kept = stage(eligible(windows, normal, normal_keys).select(
-        *group, "w", "last", "y", "feat"))
-    scales = stage(pack_scale(feature_scale(kept, group, most=most), group))
+    kept = eligible(windows, normal, normal_keys).select(*group, "w", "last", "y", "feat")
+    scales = stage(pack_scale(feature_scale(kept, group, most=most, width=WIDTH), group))
     chosen = SELECT[selection](scale_features(kept, scales, group), size, group)
     slot = F.row_number().over(Window.partitionBy(*group).orderBy("w"))
     bank = with_delta(chosen).select(*group, slot.alias("slot"), F.col("w").alias("src_w"),
@@ -188,8 +214,8 @@ def join_channels(windows: DataFrame, keys=("entity", "role", "segment")) -> Dat
     """
     rows = windows.groupBy(*keys, "w").agg(
         F.sort_array(F.collect_list(F.struct("channel", "feat", "y", "last"))).alias("__c"),
-        F.bool_and("complete").alias("complete"))
-    return rows.select(*keys, F.lit("*").alias("channel"), "w", "complete",
+        F.bool_and("complete").alias("complete"), F.bool_and("known").alias("known"))
+    return rows.select(*keys, F.lit("*").alias("channel"), "w", "complete", "known",
                        F.flatten("__c.feat").alias("feat"), F.flatten("__c.y").alias("y"),
                        F.col("__c.channel").alias("channels"), F.col("__c.last").alias("lasts"))
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from spark_analog.operators.staging import largest_group, stage
 
 PIECE_ROWS = 500_000
+DIRECT_ROWS = 1_000_000
 
 
 def running_sums(df: DataFrame, keys, piece, order, sums: dict[str, str],
@@ -91,7 +92,7 @@ def running_by_value(df: DataFrame, keys, value: str, sums: dict[str, str],
         "__oct", "__sub", "__v")
 
 
-def quantiles(df: DataFrame, keys, value: str, probs, out, direct_rows: int = 1_000_000,
+def quantiles(df: DataFrame, keys, value: str, probs, out, direct_rows: int = DIRECT_ROWS,
               most: int | None = None) -> DataFrame:
     """Exact linearly interpolated quantiles per key, NULL values ignored.
 

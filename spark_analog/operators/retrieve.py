@@ -15,7 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from spark_analog.defaults import MEMORY_TEMPERATURE
 from spark_analog.functions import kernels
-from spark_analog.functions.columns import array_sum
+from spark_analog.functions.columns import array_sum, let
 from spark_analog.operators.staging import attach
 
 
@@ -24,8 +24,8 @@ def distances(candidates="candidates") -> Column:
 
 
 def normalised(weights: Column) -> Column:
-    total = array_sum(weights)
-    return F.transform(weights, lambda w: F.when(total > 0, w / total).otherwise(F.lit(0.0)))
+    return let(weights, lambda ws: let(array_sum(ws), lambda total: F.transform(
+        ws, lambda w: F.when(total > 0, w / total).otherwise(F.lit(0.0)))))
 
 
 def candidate_weights(mode: str = "softmax", temperature=MEMORY_TEMPERATURE, k: int = 5,
@@ -35,8 +35,6 @@ def candidate_weights(mode: str = "softmax", temperature=MEMORY_TEMPERATURE, k:
     nearest, uniform, idw, softmax, sparse (softmax below 0.5 / K cut, then
     renormalised), select (proportional to 1 / (1 + d)).
     """
-    d = distances(candidates)
-    low = F.array_min(d)
     tau = F.greatest(F.lit(temperature) if not isinstance(temperature, Column) else temperature,
                      F.lit(1e-6))
     if mode == "nearest":
@@ -44,11 +42,14 @@ def candidate_weights(mode: str = "softmax", temperature=MEMORY_TEMPERATURE, k:
     if mode == "uniform":
         return F.transform(candidates, lambda c: F.lit(1.0) / F.size(candidates))
     if mode == "idw":
-        return normalised(F.transform(
-            d, lambda x: F.lit(1.0) / (F.lit(1e-4) + x / F.greatest(low, F.lit(1e-3)))))
+        return normalised(let(nearest_distance(candidates), lambda low: F.transform(
+            candidates, lambda c: F.lit(1.0) / (
+                F.lit(1e-4) + c["distance"] / F.greatest(low, F.lit(1e-3))))))
     if mode == "select":
-        return normalised(F.transform(d, lambda x: F.lit(1.0) / (F.lit(1.0) + x)))
-    soft = normalised(F.transform(d, lambda x: F.exp(-(x - low) / tau)))
+        return normalised(F.transform(
+            candidates, lambda c: F.lit(1.0) / (F.lit(1.0) + c["distance"])))
+    soft = normalised(let(nearest_distance(candidates), lambda low: F.transform(
+        candidates, lambda c: F.exp(-(c["distance"] - low) / tau))))
     if mode == "softmax":
         return soft
     if mode == "sparse":

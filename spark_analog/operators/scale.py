@@ -104,22 +104,21 @@ def roles(series: DataFrame, train_stop: int | Column, context: int, horizon: in
     stop = F.when(idx == nblocks - 1, rest).otherwise((idx + 1) * size)
     zero = F.lit(0).cast("bigint")
 
-    def part(name, segment, start, length, when):
-        return F.when(when, F.struct(
+    def part(name, segment, start, length):
+        return F.struct(
             F.lit(name).alias("role") if isinstance(name, str) else name.alias("role"),
             segment.cast("bigint").alias("segment"), start.cast("bigint").alias("start"),
-            length.cast("bigint").alias("length")))
+            length.cast("bigint").alias("length"))
 
     period = validation_period(fraction)
     late = F.when(idx % period == 0, F.lit("score")).otherwise(F.lit("test"))
-    choices = F.filter(F.array(
-        part("base", zero, zero, fit, t < fit),
-        part("base_val", zero, fit, b1 - fit, (t >= fit) & (t < b1)),
-        part("memory", zero, mem0, m1 - mem0, (t >= mem0) & (t < m1)),
-        part("adapt", zero, a0, a1 - a0, (t >= a0) & (t < a1)),
-        part("normal", zero, v0, v1 - v0, (t >= v0) & (t < v1)),
-        part(late, idx, n + idx * size, stop - idx * size, t >= n),
-    ), lambda x: x.isNotNull())
+    base, val = part("base", zero, zero, fit), part("base_val", zero, fit, b1 - fit)
+    mem = part("memory", zero, mem0, m1 - mem0)
+    early = [mem] if memory_source == "base_memory" else []
+    choices = (F.when(t >= n, F.array(part(late, idx, n + idx * size, stop - idx * size)))
+               .when(t < fit, F.array(base, *early)).when(t < b1, F.array(val, *early))
+               .when(t < m1, F.array(mem)).when(t < a1, F.array(part("adapt", zero, a0, a1 - a0)))
+               .otherwise(F.array(part("normal", zero, v0, v1 - v0))))
     return (sized.withColumn("__r", F.explode(choices))
             .select(*series.columns, "__r.role", "__r.segment", "__r.start", "__r.length"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from spark_analog.functions import kernels
+from spark_analog.functions.columns import array_sum, let
 
 BLOCK = 4096
 KEYS = ("entity", "role", "segment", "channel")
@@ -93,11 +94,18 @@ def is_finite(ctx) -> Column:
 def instance_normalise(ctx) -> tuple[Column, Column, Column]:
     """(normalised context, mean, spread) with spread ``sqrt(var + 1e-5)``."""
     c = F.col(ctx) if isinstance(ctx, str) else ctx
-    n = F.size(c)
-    mean = F.aggregate(c, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n
-                    + F.lit(1e-5))
-    return F.transform(c, lambda x: (x - mean) / spread), mean, spread
+
+    def centre(x):
+        return array_sum(x) / F.size(x)
+
+    def width(x):
+        return let(centre(x), lambda m: F.sqrt(
+            F.aggregate(x, F.lit(0.0), lambda a, v: a + (v - m) * (v - m)) / F.size(x)
+            + F.lit(1e-5)))
+
+    z = let(F.struct(centre(c).alias("m"), width(c).alias("s")),
+            lambda k: F.transform(c, lambda x: (x - k["m"]) / k["s"]))
+    return z, centre(c), width(c)
 
 
 # --- one pass over the windows of each block -----------------------------------------------
@@ -146,7 +154,8 @@ def scan(blocked: DataFrame, context: int, horizon: int, *, stride: int = 1,
     entity) are equi-joined to the blocks, whose number is rows / block; their
     measured size decides between broadcast and shuffle, and a hot entity's
     blocks may be split freely because each block is complete in itself.
-    Output: ``keys, w, last, y`` plus what was asked for.
+    Output: ``keys, w, last, y, complete, known`` (finite context, finite future)
+    plus what was asked for.
     """
     keys = list(keys)
     rows = blocked.withColumn("__starts", legal_starts(context, horizon, stride, cap, seed, keys))
@@ -157,7 +166,8 @@ def scan(blocked: DataFrame, context: int, horizon: int, *, stride: int = 1,
         rows = rows.join(model, ["entity"], "left")
     fields = [rows.schema[c] for c in keys] + [
         T.StructField("w", T.LongType()), T.StructField("last", T.DoubleType()),
-        T.StructField("y", DOUBLES), T.StructField("complete", T.BooleanType())]
+        T.StructField("y", DOUBLES), T.StructField("complete", T.BooleanType()),
+        T.StructField("known", T.BooleanType())]
     if contexts:
         fields.append(T.StructField("ctx", DOUBLES))
     if features:
@@ -188,13 +198,14 @@ def scan(blocked: DataFrame, context: int, horizon: int, *, stride: int = 1,
             x, y = kernels.window_views(values, context, horizon, starts - origin)
             w = starts + start + context
             ok = np.isfinite(x).all(axis=1)
-            cols = [pa.array(w.astype(np.int64)), pa.array(x[:, -1].copy(), from_pandas=True),
-                    _lists(y), pa.array(ok)]
-            if want["contexts"]:
-                cols.append(_lists(x))
             feat = None
             if want["features"] or want["bank"]:
                 feat = kernels.features(x)
+                ok &= np.isfinite(feat).all(axis=1)
+            cols = [pa.array(w.astype(np.int64)), pa.array(x[:, -1].copy(), from_pandas=True),
+                    _lists(y), pa.array(ok), pa.array(np.isfinite(y).all(axis=1))]
+            if want["contexts"]:
+                cols.append(_lists(x))
             if want["features"]:
                 cols.append(_lists(feat))
             if want["bank"]:
@@ -217,12 +228,11 @@ def scan(blocked: DataFrame, context: int, horizon: int, *, stride: int = 1,
             return _neighbours(np.empty((n, 0)), np.empty((n, 0), dtype=np.int64),
                                np.empty(0, dtype=np.int64), np.empty((0, horizon)), last)
         bank_feat, delta, src, center, scale = memory
-        use = ok & np.isfinite(feat).all(axis=1)
         kk = min(k, len(src))
         dist = np.full((n, kk), np.inf)
         idx = np.zeros((n, kk), dtype=np.int64)
-        dist[use], idx[use] = kernels.nearest(
-            (feat[use] - center) / scale, bank_feat, kk, w[use], src, radius)
+        dist[ok], idx[ok] = kernels.nearest(
+            (feat[ok] - center) / scale, bank_feat, kk, w[ok], src, radius)
         return _neighbours(dist, idx, src, delta, last)
 
     def kernel(batches):

@@ -11,7 +11,7 @@ from spark_analog.defaults import (
     AGREEMENT_GRID, INITIAL_GATE, MEMORY_GRID, MEMORY_TEMPERATURE, SMOOTHING_GRID, TOP_Q_GRID,
 )
 from spark_analog.operators import clean, forecast, fuse, memory, retrieve, scale, score, windows
-from spark_analog.operators.staging import stage
+from spark_analog.operators.staging import largest_group, stage
 
 
 @dataclass(frozen=True)
@@ -131,7 +131,8 @@ def choose_and_apply(parts: DataFrame, labels: DataFrame, s: Settings, use_retri
         axes["agreement"] = (0.0,)
     group = ["entity", *extra, "role", "segment", "t"]
     grid = score.score_grid(parts.where("role = 'score'"), labels, group, **axes)
-    params = stage(score.select_parameters(grid, keys, s.score_selection, use_retrieval, **axes))
+    params = stage(score.select_parameters(grid, keys, s.score_selection, use_retrieval,
+                                           most=largest_group(labels, ["entity"]), **axes))
     points = score.apply_parameters(parts.where("role = 'test'"), params, keys, group,
                                     axes["smoothing"])
     return points, params

@@ -18,7 +18,7 @@ def by_half():
 
 
 def medians(series):
-    return clean.channel_medians(series.where(f"t < {fx.TRAIN}"))
+    return clean.channel_medians(series.where(f"t < {fx.TRAIN}"), most=fx.TRAIN)
 
 
 def filled(spark, sf):
@@ -28,7 +28,7 @@ def filled(spark, sf):
 
 
 def scaler(series_filled):
-    return scale.robust_fit(series_filled.where(f"t < {fx.TRAIN}"))
+    return scale.robust_fit(series_filled.where(f"t < {fx.TRAIN}"), most=fx.TRAIN)
 
 
 def scaled(spark, sf):
