@@ -161,20 +161,3 @@ def knn(queries: DataFrame, bank: DataFrame, k: int, group=("entity", "channel")
                     schema=arrow_schema)
 
     return rows.mapInArrow(kernel, schema)
-
-
-def knn_sql_form(queries: DataFrame, bank: DataFrame, k: int, group=("entity", "channel"),
-                 radius: int | None = None) -> DataFrame:
-    """The same join as plain relational operators, for small inputs and cross-checks."""
-    from pyspark.sql import Window
-    group = list(group)
-    q = queries.select(*group, "qid", F.col("w").alias("__w"), F.col("feat").alias("__f"))
-    pair = q.join(bank.select(*group, "src_w", F.col("feat").alias("__m")), group)
-    if radius is not None:
-        pair = pair.where(F.abs(F.col("__w") - F.col("src_w")) > radius)
-    gap = F.zip_with("__f", "__m", lambda a, b: (a - b) * (a - b))
-    pair = pair.withColumn("distance", F.round(F.sqrt(array_sum(gap) / F.size("__f")),
-                                               kernels.DISTANCE_DIGITS))
-    order = Window.partitionBy(*group, "qid").orderBy("distance", "src_w")
-    return pair.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        *group, "qid", F.col("__w").alias("w"), "rank", "src_w", "distance")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spark_analog.defaults import BASE_VALIDATION_FRACTION, FOUR_WAY, SCALE_FLOOR
 from spark_analog.operators.ordered import quantiles
-from spark_analog.operators.staging import attach
+from spark_analog.operators.staging import attach, stage
 
 
 def robust_fit(train: DataFrame, keys=("entity", "channel"), value: str = "value",
@@ -31,6 +31,20 @@ def lengths(df: DataFrame, key: str = "entity", time: str = "t") -> DataFrame:
     return df.groupBy(key).agg((F.max(time) + 1).alias("n"))
 
 
+def join_halves(train: DataFrame, test: DataFrame, labels: DataFrame, key: str = "entity"
+                ) -> tuple[DataFrame, DataFrame]:
+    """Separate training and test tables as one series with a ``train_stop`` per entity.
+
+    Test time and its labels continue after the entity's own training length.
+    """
+    n = stage(lengths(train, key).withColumnRenamed("n", "train_stop"))
+
+    def later(df):
+        return df.join(n, key).withColumn("t", F.col("t") + F.col("train_stop"))
+
+    return train.join(n, key).unionByName(later(test)), later(labels)
+
+
 def split_three(n, t, base: float = 0.60, adapt: float = 0.20, val: float | None = None
                 ) -> Column:
     """base / adapt / val by position; a sum below 1 leaves the tail NULL."""

@@ -50,7 +50,7 @@ def components(series: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     """
     frames = variant_frames(series, s)
     keys = ["entity", "variant"]
-    parts = scored_parts(frames, True, [*keys, "channel"], GROUP, most=s.train_stop * s.horizon)
+    parts = scored_parts(frames, True, [*keys, "channel"], GROUP, most=s.train_stop * s.horizon or None)
     off = lambda c, v: F.when(F.col("variant") == v, F.lit(0.0)).otherwise(F.col(c)).alias(c)
     parts = parts.select(*[off("memory", "no_memory_distance") if c == "memory" else
                            off("agreement", "no_reference_divergence") if c == "agreement" else

@@ -63,7 +63,7 @@ def compare(series: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
         f = frames.where(who)
         keys = ["entity", "method"]
         parts = scored_parts(f, use, [*keys, "channel"], GROUP, use_agreement=False,
-                             most=s.train_stop * s.horizon)
+                             most=s.train_stop * s.horizon or None)
         points, params = choose_and_apply(parts, labels, s, use, False, keys, ["method"])
         scored = label_points(points, labels, s, ["method"]).where("method is not null")
         metrics = evaluate.average_precision(scored, keys)

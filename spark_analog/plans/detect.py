@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spark_analog.defaults import (
     AGREEMENT_GRID, INITIAL_GATE, MEMORY_GRID, MEMORY_TEMPERATURE, SMOOTHING_GRID, TOP_Q_GRID,
 )
 from spark_analog.operators import clean, forecast, fuse, memory, retrieve, scale, score, windows
-from spark_analog.operators.staging import largest_group, stage
+from spark_analog.operators.staging import attach, largest_group, stage
 
 
 @dataclass(frozen=True)
 class Settings:
     context: int = 192
     horizon: int = 8
-    train_stop: int = 0
+    train_stop: int = 0          # unless the series carries a ``train_stop`` column
     size: int = 256
     k: int = 5
     selection: str = "boundary"
@@ -30,6 +30,7 @@ class Settings:
     block: int = windows.BLOCK
     fusion_mode: str = "select"
     gamma: float = INITIAL_GATE
+    learn_gate: bool = False
     mode: str = "channel"
     zero_distance: bool = False
     zero_divergence: bool = False
@@ -39,16 +40,28 @@ class Settings:
         smoothing=SMOOTHING_GRID))
 
 
+def train_stop(df: DataFrame, s: Settings) -> Column:
+    return F.col("train_stop") if "train_stop" in df.columns else F.lit(s.train_stop)
+
+
+def longest_training(series: DataFrame, s: Settings) -> int:
+    """Bound on the training steps of a series, for choosing plans."""
+    if "train_stop" in series.columns:
+        return int(series.agg(F.max("train_stop")).first()[0] or 0)
+    return s.train_stop
+
+
 def prepare(series: DataFrame, s: Settings) -> DataFrame:
     """Fill, scale, assign roles and block: one row per (entity, role, segment, channel, block)."""
-    half = F.when(F.col("t") < s.train_stop, "train").otherwise("test")
-    train = F.col("t") < s.train_stop
-    medians = clean.channel_medians(series.where(train), most=s.train_stop)
+    stop, most = train_stop(series, s), longest_training(series, s)
+    train = F.col("t") < stop
+    half = F.when(train, "train").otherwise("test")
+    medians = clean.channel_medians(series.where(train), most=most)
     filled = stage(clean.causal_fill(series.withColumn("half", half), medians,
                                      restart=["half"]).drop("half"))
-    fitted = scale.robust_fit(filled.where(train), most=s.train_stop)
+    fitted = scale.robust_fit(filled.where(train), most=most)
     scaled = scale.robust_transform(filled, fitted)
-    roles = scale.roles(scaled, s.train_stop, s.context, s.horizon, s.label_block,
+    roles = scale.roles(scaled, stop.cast("bigint"), s.context, s.horizon, s.label_block,
                         s.label_fraction, s.memory_source, scale.lengths(filled))
     return stage(windows.blocks(roles, s.context, s.horizon, block=s.block))
 
@@ -59,7 +72,7 @@ def build_memory(blocked: DataFrame, s: Settings, role: str = "memory", size: in
     feats = windows.scan(blocked.where(F.col("role") == role), s.context, s.horizon,
                          features=True)
     bank, scales = memory.build_bank(feats, size or s.size, selection or s.selection,
-                                     most=s.train_stop)
+                                     most=s.train_stop or None)
     return memory.pack_bank(bank, scales)
 
 
@@ -130,7 +143,8 @@ def choose_and_apply(parts: DataFrame, labels: DataFrame, s: Settings, use_retri
     if not (use_retrieval and use_agreement):
         axes["agreement"] = (0.0,)
     group = ["entity", *extra, "role", "segment", "t"]
-    grid = score.score_grid(parts.where("role = 'score'"), labels, group, **axes)
+    marks = labels.select("entity", "t", "label")
+    grid = score.score_grid(parts.where("role = 'score'"), marks, group, **axes)
     params = stage(score.select_parameters(grid, keys, s.score_selection, use_retrieval,
                                            most=largest_group(labels, ["entity"]), **axes))
     points = score.apply_parameters(parts.where("role = 'test'"), params, keys, group,
@@ -140,7 +154,8 @@ def choose_and_apply(parts: DataFrame, labels: DataFrame, s: Settings, use_retri
 
 def label_points(points: DataFrame, labels: DataFrame, s: Settings, extra=()) -> DataFrame:
     """Every labelled held-out point, also the uncovered ones (NULL score)."""
-    every = scale.roles(labels, s.train_stop, s.context, s.horizon, s.label_block,
+    every = scale.roles(labels, train_stop(labels, s).cast("bigint"), s.context, s.horizon,
+                        s.label_block,
                         s.label_fraction).where("role = 'test'")
     keys = ["entity", "segment", "t"]
     return every.select(*keys, "label").join(
@@ -159,20 +174,35 @@ def detect(series: DataFrame, labels: DataFrame, s: Settings, condition: str = "
     blocked = prepare(series, s)
     model = forecast.linear_forecaster(blocked.where("role = 'base'"), s.context, s.horizon)
     frame = forecast_frame(blocked, s, model, use)
-    parts = scored_parts(frame, use, most=s.train_stop * s.horizon)
+    parts = scored_parts(frame, use, most=s.train_stop * s.horizon or None)
     points, _ = choose_and_apply(parts, labels, s, use)
     return label_points(points, labels, s)
 
 
+def learned_fusion(seen: DataFrame, s: Settings) -> DataFrame:
+    """Fusion whose gate is learned per entity from soft targets on adaptation windows."""
+    open_ = fuse.fusion(seen.where("role = 'adapt'"), s.horizon, 1.0, mode=s.fusion_mode, k=s.k)
+    gate = fuse.fit_logistic(fuse.gate_features(fuse.quality_targets(open_)),
+                             fuse.GATE_FEATURES, "gate_target", balanced=False)
+    ready = attach(fuse.gate_features(seen.where("role <> 'adapt'")), gate, ["entity"])
+    gamma = fuse.gate_probability(fuse.GATE_FEATURES)
+    return fuse.fusion(ready.withColumn("gamma", gamma), s.horizon, F.col("gamma"),
+                       mode=s.fusion_mode, k=s.k)
+
+
 def forecast_frame(blocked: DataFrame, s: Settings, model: DataFrame | None, use: bool
                    ) -> DataFrame:
     """Fused (or native) forecasts, staged: ``yhat`` next to the retrieval signals."""
     if not use:
         return stage(forecast_windows(blocked, s, None, model).withColumn(
             "yhat", F.col("native")))
-    seen = (global_windows(blocked, s, model) if s.mode == "global"
-            else forecast_windows(blocked, s, build_memory(blocked, s), model))
-    fused = fuse.fusion(seen, s.horizon, s.gamma, mode=s.fusion_mode, k=s.k)
+    roles = ("normal", "score", "test") + (("adapt",) if s.learn_gate else ())
+    seen = (global_windows(blocked, s, model, roles) if s.mode == "global"
+            else forecast_windows(blocked, s, build_memory(blocked, s), model, roles))
+    if s.learn_gate:
+        fused = learned_fusion(stage(seen), s)
+    else:
+        fused = fuse.fusion(seen, s.horizon, s.gamma, mode=s.fusion_mode, k=s.k)
     if s.zero_distance:
         fused = fused.withColumn("nearest", F.lit(0.0))
     if s.zero_divergence:

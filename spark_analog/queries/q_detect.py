@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spark_analog.functions.columns import rounded
+from spark_analog.operators import scale
+from spark_analog.operators.staging import stage
 from spark_analog.plans.detect import Settings, detect as run_detect
 from spark_analog.queries import fixtures as fx
 from spark_analog.queries.registry import query
@@ -29,6 +31,27 @@ def detect_daily(spark, sf):
     return out.select("entity", "segment", "t", rounded("score").alias("score"), "label")
 
 
+@query("detect_learned_gate")
+def detect_learned_gate(spark, sf):
+    """The fusion gate of every entity learned on its adaptation windows."""
+    out = run_detect(fx.series_hourly(spark, sf), fx.labels_hourly(spark, sf),
+                     settings(learn_gate=True))
+    return out.select("entity", "segment", "t", rounded("score").alias("score"), "label")
+
+
+@query("detect_uneven")
+def detect_uneven(spark, sf):
+    """Training and test in separate tables, training lengths that differ by entity."""
+    series, labels = fx.series_hourly(spark, sf), fx.labels_hourly(spark, sf)
+    stop = F.when(F.col("entity") == "e0", 440).otherwise(fx.TRAIN)
+    late = F.col("t") >= stop
+    joined, marks = scale.join_halves(
+        series.where(~late), series.where(late).withColumn("t", F.col("t") - stop),
+        labels.where(late).withColumn("t", F.col("t") - stop))
+    out = run_detect(stage(joined), stage(marks), settings(train_stop=0))
+    return out.select("entity", "segment", "t", rounded("score").alias("score"), "label")
+
+
 @query("detect_native")
 def detect_native(spark, sf):
     out = run_detect(fx.series_hourly(spark, sf), fx.labels_hourly(spark, sf), settings(),
