@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spark_analog.defaults import GRID_MEMORY, GRID_PAYLOAD_BYTES, GRID_TOP_K, NEMENYI_Q05
 from spark_analog.operators.ordered import quantiles
+from spark_analog.operators.staging import stage
 
 
 # --- rows --------------------------------------------------------------------------------
@@ -206,33 +207,32 @@ def critical_difference(k: Column, n: Column) -> Column:
 
 def nemenyi(avg_ranks: DataFrame) -> DataFrame:
     """Rank gap of every pair against the critical difference at 0.05."""
-    k = avg_ranks.agg(F.count("*")).scalar()
-    cd = critical_difference(k, F.col("n"))
-    a = avg_ranks.select(F.col("method").alias("left"), F.col("avg_rank").alias("ra"), "n",
-                         F.lit(0).alias("__one"))
-    b = avg_ranks.select(F.col("method").alias("right"), F.col("avg_rank").alias("rb"),
-                         F.lit(0).alias("__one"))
-    return a.join(b, "__one").where("left < right").select(
-        "left", "right", F.abs(F.col("ra") - F.col("rb")).alias("rank_difference"),
-        cd.alias("critical_difference"),
-        (F.abs(F.col("ra") - F.col("rb")) > cd).alias("exceeds"))
+    ranks = stage(avg_ranks.select("method", "avg_rank", "n"))
+    others = ranks.agg(F.collect_list(F.struct("method", "avg_rank"))).scalar()
+    cd = critical_difference(F.size("others"), F.col("n"))
+    pairs = ranks.withColumn("others", others).withColumn("o", F.explode("others")).where(
+        F.col("method") < F.col("o.method"))
+    gap = F.abs(F.col("avg_rank") - F.col("o.avg_rank"))
+    return pairs.select(F.col("method").alias("left"), F.col("o.method").alias("right"),
+                        gap.alias("rank_difference"), cd.alias("critical_difference"),
+                        (gap > cd).alias("exceeds"))
 
 
 def cd_groups(avg_ranks: DataFrame) -> DataFrame:
-    """Maximal runs of methods whose ranks lie within the critical difference."""
-    k = avg_ranks.agg(F.count("*")).scalar()
-    placed = avg_ranks.withColumn("cd", critical_difference(k, F.col("n"))).withColumn(
-        "pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("avg_rank", "method")))
-    left = placed.select(F.lit(0).alias("__one"), F.col("pos").alias("first"),
-                         F.col("avg_rank").alias("ra"), "cd")
-    right = placed.select(F.lit(0).alias("__one"), F.col("pos").alias("last"),
-                          F.col("avg_rank").alias("rb"))
-    runs = left.join(right, "__one").where(
-        "last >= first and rb - ra <= cd").groupBy("first").agg(F.max("last").alias("last")).where(
-        "last > first").withColumn("__one", F.lit(0))
-    wider = runs.select("__one", F.col("first").alias("f2"), F.col("last").alias("l2"))
-    inside = runs.join(wider, "__one").where("f2 < first and l2 >= last").select("first")
-    return runs.join(inside, "first", "left_anti").drop("__one")
+    """Maximal runs of methods whose ranks lie within the critical difference.
+
+    Over methods in rank order the right end of a run never moves back, so a run
+    is maximal when it is the first with its right end.
+    """
+    ranks = stage(avg_ranks.select("method", "avg_rank", "n"))
+    every = ranks.agg(F.array_sort(F.collect_list(F.struct("avg_rank", "method", "n")))).scalar()
+    row = ranks.select(every.alias("m")).limit(1).withColumn(
+        "cd", critical_difference(F.size("m"), F.element_at("m", 1)["n"]))
+    ends = F.posexplode(F.transform("m", lambda a: F.size(F.filter(
+        "m", lambda b: b["avg_rank"] - a["avg_rank"] <= F.col("cd"))))).alias("p", "last")
+    runs = row.select(ends).select((F.col("p") + 1).alias("first"), "last")
+    return runs.where("last > first").groupBy("last").agg(F.min("first").alias("first")).select(
+        "first", "last")
 
 
 # --- plans and status ------------------------------------------------------------------------

@@ -152,7 +152,8 @@ def select_boundary(scaled: DataFrame, size: int, group=GROUP) -> DataFrame:
     """Diverse core plus the windows farthest from the centre among the rest.
 
     The rest needs only the largest ``edge + core`` radii of a group, a constant
-    limit that Spark applies before the shuffle.
+    limit that Spark applies before the shuffle, and only keys and radii are
+    sorted; the few chosen feature rows are fetched afterwards.
     """
     placed = positions(scaled, group)
     core = stage(_core(scaled, placed, size, True, group))
@@ -160,15 +161,15 @@ def select_boundary(scaled: DataFrame, size: int, group=GROUP) -> DataFrame:
     limit = size + int(round(BOUNDARY_SHARE * size)) + 1
     radius = F.round(F.aggregate("feat", F.lit(0.0), lambda a, x: a + x * x), 9)
     by_radius = Window.partitionBy(*group).orderBy(F.desc("__radius"), F.desc("w"))
-    outer = scaled.withColumn("__radius", radius).withColumn(
+    outer = scaled.select(*group, "w", radius.alias("__radius")).withColumn(
         "__rn", F.row_number().over(by_radius)).where(F.col("__rn") <= limit)
     rest = outer.join(core.select(*group, "w"), [*group, "w"], "left_anti").withColumn(
         "__rn", F.row_number().over(by_radius))
     sizes = placed.where("__pos = 0").select(*group, "__n")
     room = F.least(F.lit(size), F.col("__n")) - core_size
-    added = attach(rest, sizes, group).where(
-        F.col("__rn") <= F.least(edge, room)).select(*scaled.columns)
-    return core.unionByName(added)
+    added = stage(attach(rest, sizes, group).where(
+        F.col("__rn") <= F.least(edge, room)).select(*group, "w"))
+    return core.unionByName(scaled.join(added, [*group, "w"]).select(*scaled.columns))
 
 
 SELECT = {"uniform": select_uniform, "farthest": select_farthest, "boundary": select_boundary}
