@@ -18,11 +18,13 @@ ENCODINGS = ("utf-8", "ISO-8859-1")
 BOM = "\ufeff"
 
 
-def read_wide_csv(spark: SparkSession, path: str, encoding: str | None = None) -> DataFrame:
+def read_wide_csv(spark: SparkSession, path: str, encoding: str | None = None,
+                  row_number: str | None = None) -> DataFrame:
     """Header CSV with unknown encoding and ``,`` or ``;`` as separator; all columns text.
 
     The separator comes from a header line alone.  Unless the caller names the
-    encoding, one pass looks for bytes that are not UTF-8.
+    encoding, one pass looks for bytes that are not UTF-8.  ``row_number`` names
+    an extra column with the position in the file.
     """
     lines = spark.read.text(path)
     head = lines.limit(1).first()
@@ -32,7 +34,12 @@ def read_wide_csv(spark: SparkSession, path: str, encoding: str | None = None) -
     sep = ";" if ";" in line and "," not in line else ","
     df = (spark.read.option("header", True).option("sep", sep).option("encoding", encoding)
           .option("mode", "PERMISSIVE").csv(path))
-    return df.toDF(*[c.lstrip(BOM) for c in df.columns])
+    names = [c.lstrip(BOM) for c in df.columns]
+    if row_number is None:
+        return df.toDF(*names)
+    plain = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(df.columns)],
+                      "_metadata")
+    return row_number_in_file(plain, row_number).drop("__f").toDF(*names, row_number)
 
 
 def row_number_in_file(df: DataFrame, out: str = "t") -> DataFrame:
@@ -41,7 +48,7 @@ def row_number_in_file(df: DataFrame, out: str = "t") -> DataFrame:
     ``df`` still carries ``_metadata``.  Splits of a file are ranked by their
     start offset, so one file is numbered by many tasks.
     """
-    cols = [c for c in df.columns]
+    cols = [c for c in df.columns if c != "_metadata"]
     tagged = df.select(*cols, F.col("_metadata.file_path").alias("__f"),
                        F.col("_metadata.file_block_start").alias("__p"),
                        F.monotonically_increasing_id().alias("__i"),
