@@ -224,9 +224,13 @@ def feat_waveform(spark, sf):
     return featured(spark, sf).select(*KEYS, "w", wave).withColumn("z", rounded("z"))
 
 
-@query("features")
+@query("features", sql("feats", """
+  select entity, role, segment, channel, w, dim::int as dim, round(feat[dim + 1] + 1.3e-9, 6) + 0.0 as v
+  from feats, (select unnest(range(21)) as dim)"""))
 def features(spark, sf):
-    return windows.scan(blocked(spark, sf), L, H, features=True).select(*KEYS, "w", "feat")
+    rows = windows.scan(blocked(spark, sf), L, H, features=True)
+    flat = rows.select(*KEYS, "w", F.posexplode("feat").alias("dim", "v"))
+    return flat.withColumn("v", rounded("v"))
 
 
 @query("feat_scale", sql("fscale", """
@@ -415,9 +419,16 @@ def nearest_distance(spark, sf):
         retrieve.nearest_distance()).alias("nearest"))
 
 
-@query("knn_candidates")
+@query("knn_candidates", sql("knn", """
+  select entity, role, segment, channel, w, count(*)::int as kept,
+         string_agg(src_w::varchar, ',' order by rank) as sources,
+         round(max(distance) + 1.3e-9, 6) + 0.0 as farthest
+  from knn group by 1, 2, 3, 4, 5"""))
 def knn_candidates(spark, sf):
-    return retrieved(spark, sf).select(*KEYS, "w", "candidates")
+    src = F.transform("candidates", lambda c: c["src_w"].cast("string"))
+    return retrieved(spark, sf).select(
+        *KEYS, "w", F.size("candidates").alias("kept"), F.array_join(src, ",").alias("sources"),
+        rounded(F.array_max(retrieve.distances())).alias("farthest"))
 
 
 # gaps left in: a window with a missing step is not searched
@@ -465,9 +476,18 @@ def knn_fallback(spark, sf):
                     F.when(F.col("nearest").isNull(), rounded(F.col("analog")[0])).alias("flat"))
 
 
-@query("explain_retrieval")
+@query("explain_retrieval", sql("knn bank win", """
+  select k.entity, k.role, k.segment, k.channel, k.w, k.rank, k.src_w, b.slot,
+         round(k.distance + 1.3e-9, 6) + 0.0 as distance,
+         round(list_sum(m.ctx) + 1.3e-9, 6) + 0.0 as ctx_sum
+  from knn k join bank b on b.entity = k.entity and b.channel = k.channel and b.src_w = k.src_w
+       join win m on m.entity = k.entity and m.channel = k.channel and m.w = k.src_w
+            and m.role = 'memory'
+  where k.role = 'test'"""))
 def explain_retrieval(spark, sf):
     bank, _ = uniform_bank(spark, sf)
     stored = memory.bank_contexts(bank, memory_windows(spark, sf))
     rows = retrieve.explode_candidates(retrieved(spark, sf).where("role = 'test'"), [*KEYS, "w"])
-    return rows.join(stored.drop("future"), ["entity", "channel", "src_w"])
+    return rows.join(stored.drop("future"), ["entity", "channel", "src_w"]).select(
+        *KEYS, "w", "rank", "src_w", "slot", rounded("distance").alias("distance"),
+        rounded(array_sum("ctx")).alias("ctx_sum"))
