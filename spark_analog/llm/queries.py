@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spark_analog.llm import cnn_toxicity, knn_quality, mixing, quality_rules
+from spark_analog.llm import (cnn_toxicity, grid_order_join, knn_quality, mixing, packing,
+                              quality_rules, url_filters, warc)
 from spark_analog.llm.common import fold
 
 QUERIES: dict = {}
@@ -25,6 +26,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_embedding_near_dedup")
+def op1(spark, sf):
+    return grid_order_join.near_duplicates(table(spark, sf, "embeddings"))
+
+
+@query("op2_best_fit_packing")
+def op2(spark, sf):
+    return packing.pack(table(spark, sf, "documents"))
+
+
 @query("op4_quality_knn")
 def op4(spark, sf):
     docs = table(spark, sf, "documents")
@@ -43,6 +54,33 @@ def op6(spark, sf):
                          f"{at}.predicted", f"{at}.language")
 
 
+#: Largest page id per payload; digests by DuckDB's own SHA-1.
+WARC_SQL = """
+with p as (select page_id, coalesce(html, '') as payload from pages),
+d as (select page_id, strlen(payload)::bigint as payload_bytes, sha1(payload) as payload_digest from p),
+t as (select payload_digest, max(page_id) as first, count(*) as n from d
+      where payload_bytes >= 1000 group by payload_digest)
+select page_id, payload_bytes, d.payload_digest,
+       case when t.n > 1 and t.first <> page_id then 'revisit' else 'response' end as record_type,
+       case when t.n > 1 and t.first <> page_id then t.first end as refers_to
+from d left join t on d.payload_digest = t.payload_digest
+"""
+
+
+@query("op7_warc_round_trip", WARC_SQL)
+def op7(spark, sf):
+    found = warc.round_trip(table(spark, sf, "pages"))
+    return found.select(F.expr("try_cast(page as bigint)").alias("page_id"), "payload_bytes",
+                        F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"),
+                        F.expr("try_cast(refers as bigint)").alias("refers_to"))
+
+
+@query("op8_url_filters", url_filters.SQL)
+def op8(spark, sf):
+    rules = spark.createDataFrame(list(url_filters.RULES), "host string, path string, verdict string")
+    return url_filters.judge(table(spark, sf, "pages"), rules)
+
+
 @query("op9_quality_rules")
 def op9(spark, sf):
     judged, at = quality_rules.clean(table(spark, sf, "documents"), keep=["doc_id"], with_text=False)
