@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spark_analog.llm import (cnn_toxicity, grid_order_join, knn_quality, mixing, packing,
-                              quality_rules, url_filters, warc)
+                              quality_rules, token_groups, url_filters, warc)
 from spark_analog.llm.common import fold
 
 QUERIES: dict = {}
@@ -45,6 +45,11 @@ def op4(spark, sf):
                          f"{at}.predicted")
 
 
+@query("op5_jaccard_join")
+def op5(spark, sf):
+    return token_groups.duplicates(table(spark, sf, "documents"))
+
+
 @query("op6_toxicity_cnn")
 def op6(spark, sf):
     docs = table(spark, sf, "documents")
