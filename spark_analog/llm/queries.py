@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spark_analog.llm import (cnn_toxicity, grid_order_join, knn_quality, mixing, packing,
+from spark_analog.llm import (cnn_toxicity, deleted_interpolation, grid_order_join, knn_quality, mixing, packing,
                               quality_rules, token_groups, url_filters, warc)
 from spark_analog.llm.common import fold
 
@@ -36,6 +36,15 @@ def op2(spark, sf):
     return packing.pack(table(spark, sf, "documents"))
 
 
+@query("op3_deleted_interpolation")
+def op3(spark, sf):
+    taught = fold("doc_id", 10) != 0
+    held = F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("/weights"))
+                   .cast("binary")) % 10 == 0
+    scored = deleted_interpolation.score(table(spark, sf, "documents"), taught, held)
+    return scored.withColumn("held_out", fold("doc_id", 10) == 0)
+
+
 @query("op4_quality_knn")
 def op4(spark, sf):
     docs = table(spark, sf, "documents")
