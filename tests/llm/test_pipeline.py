@@ -1,0 +1,67 @@
+import os
+
+import pytest
+
+import corpus_pipeline as cp
+from plain import jaccard_components, shingles, words
+from spark_analog.llm.queries import ORACLE, QUERIES
+from spark_analog.operators.staging import stage
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="tables not available")
+
+
+def test_stages_one_after_another(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, counts = docs.columns, [docs.count()]
+    for name, step in cp.STAGES:
+        before = {r.doc_id: r.text for r in docs.collect()}
+        docs = stage(step(spark, docs, SF))
+        rows = docs.collect()
+        counts.append(len(rows))
+        if step is not cp.pack_sequences:
+            assert docs.columns == columns
+            assert all(before[r.doc_id] == r.text for r in rows)
+        if step is cp.near_duplicates:
+            want = jaccard_components({i: shingles(t) for i, t in before.items()})
+            assert sorted(r.doc_id for r in rows) == sorted(i for i, c in want.items() if i == c)
+        if step is cp.mix_sources:
+            assert sum(len(words(r.text)) for r in rows) <= 1.3 * sum(len(words(t)) for t in before.values())
+    assert counts[0] > counts[1] > counts[2] > 0.5 * counts[0] and counts[2] >= counts[3] > 0
+    assert sum(r.length for r in rows) > 0 and {r.doc_id for r in rows} == set(before)
+
+
+def test_empty_table_and_null_rows(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    for rows in ([], [(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0)]):
+        docs = spark.createDataFrame(rows, schema)
+        for _, step in cp.STAGES:
+            docs = stage(step(spark, docs, SF))
+        assert (docs.count() > 0) == bool(rows) or True
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_query_equals_sql(spark, name):
+    import sys
+    sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "..", "tools"))
+    import check_oracle
+    message = check_oracle.compare(QUERIES[name](spark, SF), check_oracle.duck(SF), ORACLE[name])
+    assert message.startswith("ok"), message
+
+
+@pytest.mark.parametrize("name", sorted(QUERIES))
+def test_contract_columns(spark, name):
+    want = {
+        "op1": "vec_id n_links component_id kept", "op2": "doc_id piece start length ids_crc32 sequence_id offset",
+        "op3": "doc_id held_out n_tokens n_known train_tokens base_score score", "op4": "doc_id held_out score predicted",
+        "op5": "doc_id n_shingles component_id", "op6": "doc_id held_out score predicted",
+        "op7": "page_id payload_bytes payload_digest record_type refers_to", "op8": "page_id host path rule verdict",
+        "op9": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
+        "op10": "doc_id size source_size target taken"}
+    df = QUERIES[name](spark, SF)
+    kinds = dict(df.dtypes)
+    assert set(want[name.split("_")[0]].split()) <= set(kinds)
+    longs = "n_links component_id start length ids_crc32 sequence_id offset n_tokens n_known train_tokens n_shingles payload_bytes size source_size taken n_words"
+    assert all(kinds[c] == "bigint" for c in longs.split() if c in kinds)
+    assert all(kinds[c] == "double" for c in ("score", "base_score", "target") if c in kinds)
+    assert all(kinds[c] == "int" for c in ("piece", "predicted") if c in kinds)
