@@ -64,15 +64,17 @@ def gate_features(frame: DataFrame) -> DataFrame:
 
 
 def fit_logistic(rows: DataFrame, features, target: str, keys=("entity",),
-                 balanced: bool = True, penalty: float = 1.0, max_steps: int = 25,
-                 tolerance: float = 1e-7) -> DataFrame:
+                 balanced: bool = True, penalty: float = 1.0, tolerance: float = 1e-7,
+                 give_up: int = 500) -> DataFrame:
     """One penalised logistic regression per key, for all keys at once.
 
     Standardised inputs, free intercept, ``penalty / 2 * |b|^2`` against the
     weighted sum of losses.  ``target`` may be soft (a probability).  Each
     Newton step is one aggregation of gradient and curvature sums per key, so
-    nothing but one number per step reaches the driver.  Output per key:
-    ``mean, spread, coef`` arrays, ``intercept``, ``constant`` (single class).
+    nothing but one number per step reaches the driver.  Steps go on until the
+    largest change of any key is below ``tolerance``; a fit that hasn't got there
+    after ``give_up`` steps raises.  Output per key: ``mean, spread, coef``
+    arrays, ``intercept``, ``constant`` (single class), ``steps`` taken.
     """
     keys, features = list(keys), list(features)
     kept = stage(rows.select(*keys, *features, F.col(target).cast("double").alias("__q")).dropna())
@@ -99,20 +101,21 @@ def fit_logistic(rows: DataFrame, features, target: str, keys=("entity",),
     def step(batches):
         ridge = np.diag([penalty] * (p - 1) + [0.0])
         for pdf in batches:
-            out, moved = [], []
-            for _, r in pdf.iterrows():
-                b = np.array(r["__b"], dtype=float)
-                g = np.array([r[f"g{i}"] for i in range(p)]) + ridge @ b
-                h = np.zeros((p, p))
-                for i, j in pairs:
-                    h[i, j] = h[j, i] = r[f"h{i}_{j}"]
-                d = np.linalg.solve(h + ridge + 1e-10 * np.eye(p), g)
-                d *= min(1.0, 4.0 / max(1e-12, np.abs(d).max()))
-                out.append(list(b - d))
-                moved.append(float(np.abs(d).max()))
-            yield pd.DataFrame({**{k: pdf[k] for k in keys}, "__b": out, "__step": moved})
-
-    for _ in range(max_steps):
+            if not len(pdf):
+                continue
+            b = np.stack(pdf["__b"].to_numpy()).astype(float)
+            g = pdf[[f"g{i}" for i in range(p)]].to_numpy() + b @ ridge
+            h = np.empty((len(pdf), p, p))
+            for i, j in pairs:
+                h[:, i, j] = h[:, j, i] = pdf[f"h{i}_{j}"].to_numpy()
+            d = np.linalg.solve(h + ridge + 1e-10 * np.eye(p), g[:, :, None])[:, :, 0]
+            wide = np.abs(d).max(axis=1, keepdims=True)
+            d *= np.minimum(1.0, 4.0 / np.maximum(1e-12, wide))
+            yield pd.DataFrame({**{k: pdf[k] for k in keys}, "__b": list(b - d),
+                                "__step": np.abs(d).max(axis=1)})
+
+    steps = 0
+    while True:
         eta = F.aggregate(F.zip_with("__z", "__b", lambda a, b: a * b), F.lit(0.0),
                           lambda a, x: a + x)
         fitted = z.join(beta, keys).withColumn("__p", sigmoid(eta))
@@ -125,12 +128,16 @@ def fit_logistic(rows: DataFrame, features, target: str, keys=("entity",),
         moved = stage(sums.select(*keys, "__b", *cols).mapInPandas(step, schema))
         beta = moved.select(*keys, "__b")
         largest = moved.agg(F.max("__step")).first()[0]
+        steps += 1
         if largest is None or largest < tolerance:
             break
+        if steps >= give_up:
+            raise RuntimeError(f"no convergence in {steps} steps: largest change {largest}")
     constant = F.when(F.col("__b").isNull(), F.col("__n1") / F.col("__n"))
     return stage(stats.join(beta, keys, "left").select(
         *keys, "mean", "spread", F.slice("__b", 1, p - 1).alias("coef"),
-        F.element_at("__b", p).alias("intercept"), constant.alias("constant")))
+        F.element_at("__b", p).alias("intercept"), constant.alias("constant"),
+        F.lit(steps).alias("steps")))
 
 
 def gate_probability(features) -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,16 +201,36 @@ def holm(tests: DataFrame, p: str = "p", keys=(), tie=("left", "right")) -> Data
         Window.unboundedPreceding, Window.currentRow))).drop("__raw")
 
 
-def critical_difference(k: Column, n: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for pair in NEMENYI_Q05.items() for x in pair])
-    return table[k.cast("int")] * F.sqrt(k * (k + 1) / (6.0 * n))
+def range_quantile(k: int, level: float = 0.95) -> float:
+    """Upper quantile of the range of ``k`` standard normals, divided by sqrt(2).
+
+    The published table up to its end, beyond it by bisection on the range's
+    distribution ``k * integral of pdf(z) (cdf(z) - cdf(z - q)) ^ (k - 1)``."""
+    if level == 0.95 and k in NEMENYI_Q05:
+        return NEMENYI_Q05[k]
+    z = np.linspace(-9.0, 9.0, 4001)
+    step = z[1] - z[0]
+    cdf = np.vectorize(lambda v: 0.5 * math.erfc(-v / math.sqrt(2.0)))
+    pdf, here = np.exp(-z * z / 2) / math.sqrt(2 * math.pi), cdf(z)
+    low, high = 0.0, 20.0
+    while high - low > 1e-9:
+        q = (low + high) / 2
+        below = k * float((pdf * (here - cdf(z - q)) ** (k - 1)).sum()) * step
+        low, high = (q, high) if below < level else (low, q)
+    return low / math.sqrt(2.0)
+
+
+def critical_difference(k: int, n: Column) -> Column:
+    """For the number of methods of the table at hand."""
+    return F.lit(range_quantile(k) if k > 1 else None).cast("double") * F.sqrt(
+        F.lit(k * (k + 1) / 6.0) / n)
 
 
 def nemenyi(avg_ranks: DataFrame) -> DataFrame:
     """Rank gap of every pair against the critical difference at 0.05."""
     ranks = stage(avg_ranks.select("method", "avg_rank", "n"))
     others = ranks.agg(F.collect_list(F.struct("method", "avg_rank"))).scalar()
-    cd = critical_difference(F.size("others"), F.col("n"))
+    cd = critical_difference(ranks.count(), F.col("n"))
     pairs = ranks.withColumn("others", others).withColumn("o", F.explode("others")).where(
         F.col("method") < F.col("o.method"))
     gap = F.abs(F.col("avg_rank") - F.col("o.avg_rank"))
@@ -227,7 +248,7 @@ def cd_groups(avg_ranks: DataFrame) -> DataFrame:
     ranks = stage(avg_ranks.select("method", "avg_rank", "n"))
     every = ranks.agg(F.array_sort(F.collect_list(F.struct("avg_rank", "method", "n")))).scalar()
     row = ranks.select(every.alias("m")).limit(1).withColumn(
-        "cd", critical_difference(F.size("m"), F.element_at("m", 1)["n"]))
+        "cd", critical_difference(ranks.count(), F.element_at("m", 1)["n"]))
     ends = F.posexplode(F.transform("m", lambda a: F.size(F.filter(
         "m", lambda b: b["avg_rank"] - a["avg_rank"] <= F.col("cd"))))).alias("p", "last")
     runs = row.select(ends).select((F.col("p") + 1).alias("first"), "last")

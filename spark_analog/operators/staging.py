@@ -14,11 +14,15 @@ _own_folder: dict[str, str] = {}
 def staging_folder(spark: SparkSession) -> str:
     """Shared folder for staged tables: ``spark.checkpoint.dir`` of the session.
 
-    Only when the session names none (tests, one machine) a temporary one is made.
+    Where the session names none, a temporary folder is made in local mode only;
+    on a cluster each executor would write to its own disk, so that raises.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if master.partition("[")[0] != "local":
+        raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
     app = spark.sparkContext.applicationId
     if app not in _own_folder:
         _own_folder[app] = tempfile.mkdtemp(prefix="spark_analog_")

@@ -42,6 +42,10 @@ def variant_frames(series: DataFrame, s: Settings) -> DataFrame:
         f.select(F.lit(v).alias("variant"), *keep) for v, f in named.items()]))
 
 
+VARIANTS = ("full", "no_boundary_samples", "no_channelwise_retrieval", "no_candidate_selection",
+            "no_continuous_gate", "no_memory_distance", "no_reference_divergence")
+
+
 def components(series: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     """Metrics and selected parameters per (entity, variant).
 
@@ -56,7 +60,7 @@ def components(series: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
                            off("agreement", "no_reference_divergence") if c == "agreement" else
                            F.col(c) for c in parts.columns])
     points, params = choose_and_apply(parts, labels, s, True, True, keys, ["variant"])
-    scored = label_points(points, labels, s, ["variant"]).where("variant is not null")
+    scored = label_points(points, labels, s, ["variant"], {"variant": list(VARIANTS)})
     return evaluate.average_precision(scored, keys).join(params, keys)
 
 

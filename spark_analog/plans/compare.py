@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from spark_analog.operators import evaluate, forecast, fuse, retrieve
 from spark_analog.operators.staging import attach, stage
 from spark_analog.plans.detect import (
-    Settings, build_memory, choose_and_apply, forecast_windows, label_points, prepare,
+    Settings, build_memory, check, choose_and_apply, forecast_windows, label_points, prepare,
     scored_parts,
 )
 
 GROUP = ["entity", "method", "role", "segment", "channel"]
+METHODS = ("native", "nearest", "uniform", "idw", "softmax", "sparse", "adaptive_gate",
+           "prototypes", "nn_score")
 
 
 def method_frames(blocked: DataFrame, s: Settings) -> DataFrame:
@@ -57,6 +59,7 @@ def compare(series: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
     Agreement is not used here; only the native forecast is scored without the
     memory distance.
     """
+    check(series, labels, s)
     frames = method_frames(prepare(series, s), s)
     results = []
     for use, who in ((False, F.col("method") == "native"), (True, F.col("method") != "native")):
@@ -65,7 +68,8 @@ def compare(series: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
         parts = scored_parts(f, use, [*keys, "channel"], GROUP, use_agreement=False,
                              most=s.train_stop * s.horizon or None)
         points, params = choose_and_apply(parts, labels, s, use, False, keys, ["method"])
-        scored = label_points(points, labels, s, ["method"]).where("method is not null")
+        names = ["native"] if not use else [m for m in METHODS if m != "native"]
+        scored = label_points(points, labels, s, ["method"], {"method": names})
         metrics = evaluate.average_precision(scored, keys)
         results.append(metrics.join(params, keys))
     both = reduce(DataFrame.unionByName, results)

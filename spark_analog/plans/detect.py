@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spark_analog.defaults import (
@@ -12,6 +12,7 @@ from spark_analog.defaults import (
 )
 from spark_analog.operators import clean, forecast, fuse, memory, retrieve, scale, score, windows
 from spark_analog.operators.staging import attach, largest_group, stage
+from spark_analog.plans.guards import guards, require
 
 
 @dataclass(frozen=True)
@@ -51,6 +52,12 @@ def longest_training(series: DataFrame, s: Settings) -> int:
     return s.train_stop
 
 
+def check(series: DataFrame, labels: DataFrame, s: Settings) -> None:
+    """Raise for entities that some step would lose or score without a basis."""
+    require(guards(series, labels, train_stop(series, s), s.context, s.horizon, s.label_block,
+                   s.label_fraction))
+
+
 def prepare(series: DataFrame, s: Settings) -> DataFrame:
     """Fill, scale, assign roles and block: one row per (entity, role, segment, channel, block)."""
     stop, most = train_stop(series, s), longest_training(series, s)
@@ -80,7 +87,7 @@ def forecast_windows(blocked: DataFrame, s: Settings, bank: DataFrame | None,
                      model: DataFrame | None, roles=("normal", "score", "test")) -> DataFrame:
     """Windows of the given roles with ``native`` forecast and retrieval summary."""
     rows = blocked.where(F.col("role").isin(*roles))
-    seen = windows.scan(rows, s.context, s.horizon, stride=1, bank=bank, k=s.k, model=model)
+    seen = stepped(windows.scan(rows, s.context, s.horizon, stride=1, bank=bank, k=s.k, model=model), s)
     if model is None:
         seen = seen.withColumn("yhat", forecast.naive(s.horizon))
     seen = seen.withColumnRenamed("yhat", "native")
@@ -89,6 +96,17 @@ def forecast_windows(blocked: DataFrame, s: Settings, bank: DataFrame | None,
     return retrieve.summarise(seen, s.horizon, s.temperature)
 
 
+def stepped(seen: DataFrame, s: Settings) -> DataFrame:
+    """Test windows every ``stride`` steps of their segment, and its last one; all others stay."""
+    if s.stride == 1:
+        return seen
+    first = F.min("w").over(Window.partitionBy("entity", "role", "segment", "channel"))
+    last = F.max("w").over(Window.partitionBy("entity", "role", "segment", "channel"))
+    return (seen.withColumn("__first", first).withColumn("__last", last)
+            .where((F.col("role") != "test") | ((F.col("w") - F.col("__first")) % s.stride == 0)
+                   | (F.col("w") == F.col("__last"))).drop("__first", "__last"))
+
+
 def global_windows(blocked: DataFrame, s: Settings, model: DataFrame | None,
                    roles=("normal", "score", "test")) -> DataFrame:
     """As ``forecast_windows`` with one neighbour set for all channels of an entity."""
@@ -100,7 +118,7 @@ def global_windows(blocked: DataFrame, s: Settings, model: DataFrame | None,
         "entity", "channel", F.col("b.src_w").alias("bank_w"),
         F.flatten("b.feat").alias("bank_feat"), "center", "scale"))
     seen = stage(windows.scan(blocked.where(F.col("role").isin(*roles)), s.context, s.horizon,
-                              features=True, model=model))
+                              features=True, model=model).transform(stepped, s))
     keys = ["entity", "role", "segment"]
     whole = memory.join_channels(seen).where("complete").withColumn("qid", F.col("w"))
     found = stage(retrieve.knn(whole, packed, s.k, ["entity", "channel"]))
@@ -152,14 +170,22 @@ def choose_and_apply(parts: DataFrame, labels: DataFrame, s: Settings, use_retri
     return points, params
 
 
-def label_points(points: DataFrame, labels: DataFrame, s: Settings, extra=()) -> DataFrame:
-    """Every labelled held-out point, also the uncovered ones (NULL score)."""
+def label_points(points: DataFrame, labels: DataFrame, s: Settings, extra=(),
+                 each: dict[str, list] | None = None) -> DataFrame:
+    """Every labelled held-out point, also the uncovered ones (NULL score).
+
+    ``each`` names the values of the ``extra`` columns: every point appears once
+    for each, covered or not."""
     every = scale.roles(labels, train_stop(labels, s).cast("bigint"), s.context, s.horizon,
                         s.label_block,
                         s.label_fraction).where("role = 'test'")
     keys = ["entity", "segment", "t"]
+    for name, values in (each or {}).items():
+        every = every.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+        keys = [*keys, name]
+    rest = [c for c in extra if c not in keys]
     return every.select(*keys, "label").join(
-        points.select(*keys, *extra, "score"), keys, "left")
+        points.select(*keys, *rest, "score"), keys, "left")
 
 
 def detect(series: DataFrame, labels: DataFrame, s: Settings, condition: str = "retrieval"
@@ -168,9 +194,10 @@ def detect(series: DataFrame, labels: DataFrame, s: Settings, condition: str = "
 
     ``condition``: ``native`` (base forecast only) or ``retrieval`` (fusion plus
     memory distance and agreement).  Score parameters are selected per entity
-    on its labelled validation blocks.
+    on its labelled validation blocks.  Entities that can't be served raise.
     """
     use = condition == "retrieval"
+    check(series, labels, s)
     blocked = prepare(series, s)
     model = forecast.linear_forecaster(blocked.where("role = 'base'"), s.context, s.horizon)
     frame = forecast_frame(blocked, s, model, use)

@@ -13,9 +13,7 @@ from spark_analog.functions.columns import rounded
 from spark_analog.operators.clean import densify
 from spark_analog.queries.registry import part, table
 
-HOURS = 720
 TRAIN = 480
-DAYS = 2500
 L, H, M, K, BLOCK = 24, 4, 32, 3, 40
 
 
@@ -26,15 +24,25 @@ def observed_hourly(spark: SparkSession, sf: str) -> DataFrame:
         hour.cast("bigint").alias("t"), F.col("event_type").alias("channel"), "value")
 
 
+def length(seen: DataFrame) -> int:
+    """Steps from 0 to the last one observed."""
+    return int(seen.agg(F.max("t")).first()[0] or 0) + 1
+
+
+def hours(spark: SparkSession, sf: str) -> int:
+    return length(observed_hourly(spark, sf))
+
+
 def series_hourly(spark: SparkSession, sf: str) -> DataFrame:
-    return densify(observed_hourly(spark, sf), 0, HOURS, rounded(F.avg("value")))
+    seen = observed_hourly(spark, sf)
+    return densify(seen, 0, length(seen), rounded(F.avg("value")))
 
 
 def labels_hourly(spark: SparkSession, sf: str) -> DataFrame:
     seen = observed_hourly(spark, sf).select("entity", "t", "value")
     empty = seen.select("entity").distinct().select(
         "entity", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                       F.lit(HOURS - 1).cast("bigint"))).alias("t"),
+                                       F.lit(hours(spark, sf) - 1).cast("bigint"))).alias("t"),
         F.lit(None).cast("double").alias("value"))
     return seen.unionByName(empty).groupBy("entity", "t").agg(
         (F.coalesce(F.max("value"), F.lit(0.0)) > 250).cast("int").alias("label"))
@@ -46,8 +54,8 @@ def series_daily(spark: SparkSession, sf: str) -> DataFrame:
         F.concat(F.lit("s"), F.expr("l_suppkey div 12")).alias("entity"),
         day.cast("bigint").alias("t"),
         F.concat("l_returnflag", "l_linestatus").alias("channel"),
-        F.col("l_quantity").alias("value")).where(f"t >= 0 and t < {DAYS}")
-    return densify(seen, 0, DAYS, rounded(F.avg("value")))
+        F.col("l_quantity").alias("value"))
+    return densify(seen, 0, length(seen), rounded(F.avg("value")))
 
 
 def labels_daily(spark: SparkSession, sf: str) -> DataFrame:
@@ -55,11 +63,10 @@ def labels_daily(spark: SparkSession, sf: str) -> DataFrame:
     day = F.expr("timestampdiff(DAY, TIMESTAMP_NTZ'1995-01-01 00:00:00', l_shipdate)")
     seen = table(spark, sf, "lineitem").select(
         F.concat(F.lit("s"), F.expr("l_suppkey div 12")).alias("entity"),
-        day.cast("bigint").alias("t"), F.col("l_extendedprice").alias("price")).where(
-        f"t >= 0 and t < {DAYS}")
+        day.cast("bigint").alias("t"), F.col("l_extendedprice").alias("price"))
     empty = seen.select("entity").distinct().select(
         "entity", F.explode(F.sequence(F.lit(0).cast("bigint"),
-                                       F.lit(DAYS - 1).cast("bigint"))).alias("t"),
+                                       F.lit(length(seen) - 1).cast("bigint"))).alias("t"),
         F.lit(None).cast("double").alias("price"))
     return seen.unionByName(empty).groupBy("entity", "t").agg(
         (F.coalesce(F.max("price"), F.lit(0.0)) > 98000).cast("int").alias("label"))
@@ -101,24 +108,23 @@ part("observed", "", """
 part("series", "observed", f"""
   select g.entity, g.t, g.channel, o.value from (
     select e.entity, r.t::bigint as t, c.channel
-    from (select distinct entity from observed) e, range({HOURS}) r(t),
+    from (select distinct entity from observed) e, (select unnest(range(max(t) + 1)) from observed) r(t),
          (select distinct channel from observed) c) g
   left join (select entity, t, channel, round(avg(value) + 1.3e-9, 6) as value
              from observed group by 1, 2, 3) o using (entity, t, channel)""")
 part("labels_h", "observed", f"""
   select g.entity, g.t, (coalesce(o.mx, 0) > 250)::int as label from (
     select e.entity, r.t::bigint as t
-    from (select distinct entity from observed) e, range({HOURS}) r(t)) g
+    from (select distinct entity from observed) e, (select unnest(range(max(t) + 1)) from observed) r(t)) g
   left join (select entity, t, max(value) as mx from observed group by 1, 2) o using (entity, t)""")
 part("observed_d", "", f"""
   select 's' || (l_suppkey // 12)::varchar as entity,
          date_diff('day', timestamp '1995-01-01', l_shipdate)::bigint as t,
-         l_returnflag || l_linestatus as channel, l_quantity as value from lineitem
-  where date_diff('day', timestamp '1995-01-01', l_shipdate) between 0 and {DAYS - 1}""")
+         l_returnflag || l_linestatus as channel, l_quantity as value from lineitem""")
 part("daily", "observed_d", f"""
   select g.entity, g.t, g.channel, o.value from (
     select e.entity, r.t::bigint as t, c.channel
-    from (select distinct entity from observed_d) e, range({DAYS}) r(t),
+    from (select distinct entity from observed_d) e, (select unnest(range(max(t) + 1)) from observed_d) r(t),
          (select distinct channel from observed_d) c) g
   left join (select entity, t, channel, round(avg(value) + 1.3e-9, 6) as value
              from observed_d group by 1, 2, 3) o using (entity, t, channel)""")

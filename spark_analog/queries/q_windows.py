@@ -190,7 +190,7 @@ def windows_segmented(spark, sf):
   where len(ctx) = {L} and ahead = {H}"""))
 def window_finite(spark, sf):
     series = fx.series_hourly(spark, sf).withColumn("start", F.lit(0).cast("bigint")).withColumn(
-        "length", F.lit(fx.HOURS).cast("bigint"))
+        "length", F.lit(fx.hours(spark, sf)).cast("bigint"))
     keys = ["entity", "channel"]
     raw = windows.windows(windows.blocks(series, L, H, keys), L, H, keys=keys)
     return raw.select("entity", "channel", "w", windows.is_finite("ctx").alias("finite"))
@@ -460,7 +460,7 @@ def gapped(spark, sf):
     late = s.where(f"t >= {TRAIN}").select(
         "entity", F.lit("test").alias("role"), F.lit(0).cast("bigint").alias("segment"), "channel",
         "t", "value", F.lit(TRAIN).cast("bigint").alias("start"),
-        F.lit(fx.HOURS - TRAIN).cast("bigint").alias("length"))
+        F.lit(fx.hours(spark, sf) - TRAIN).cast("bigint").alias("length"))
     packed = memory.pack_bank(*uniform_bank(spark, sf))
     seen = windows.scan(windows.blocks(late, L, H), L, H, bank=packed, k=K)
     return stage(retrieve.summarise(seen, H).withColumn("native", retrieve.flat("last", H)))

@@ -57,37 +57,50 @@ def row_number_in_file(df: DataFrame, out: str = "t") -> DataFrame:
     return ranked.select("__f", *cols, out)
 
 
-def read_headerless(spark: SparkSession, path: str, channels: int, entity_pattern: str
+def read_headerless(spark: SparkSession, path: str, channels: int | None, entity_pattern: str
                     ) -> DataFrame:
     """Comma-separated numbers without a header, one series per file, long form.
 
     The entity is group 1 of ``entity_pattern`` in the file's path; the row
-    number is time.
+    number is time.  Every file has its own width; a line that is wider or
+    narrower than the first of its file (or than ``channels``, if given) raises
+    when it is read.
     """
-    schema = T.StructType([T.StructField(f"channel_{i}", T.StringType()) for i in range(channels)])
-    rows = row_number_in_file(spark.read.schema(schema).csv(path))
-    named = rows.select(F.regexp_extract("__f", entity_pattern, 1).alias("entity"), "t",
-                        *[number(c).alias(c) for c in schema.names])
-    return named.unpivot(["entity", "t"], schema.names, "channel", "value")
-
-
-def orient(array: np.ndarray) -> np.ndarray:
-    """Time-major view of a 1-D or 2-D array; short and very wide ones are turned."""
-    a = np.asarray(array)
-    a = a[:, None] if a.ndim == 1 else a
-    if a.ndim != 2:
-        raise ValueError(f"array must be 1-D or 2-D, got {a.ndim}-D")
-    return a.T if len(a) <= 256 and a.shape[1] >= 4 * len(a) else a
-
-
-def decode_npy(files: DataFrame, entity_pattern: str, rows: int = 4096) -> DataFrame:
+    lines = spark.read.text(path).where(F.trim("value") != "")
+    rows = row_number_in_file(lines.select("value", "_metadata"))
+    cells = rows.select("__f", "t", F.split("value", ",").alias("cells"))
+    if channels is None:
+        widths = cells.where("t = 0").select("__f", F.size("cells").alias("wide"))
+        cells = cells.join(widths, "__f")
+    else:
+        cells = cells.withColumn("wide", F.lit(channels))
+    checked = F.when(F.size("cells") == F.col("wide"), F.col("cells")).otherwise(F.raise_error(
+        F.concat(F.lit("line "), F.col("t"), F.lit(" of "), "__f", F.lit(" has "), F.size("cells"),
+                 F.lit(" values, not "), "wide")).cast("array<string>"))
+    long = cells.select(F.regexp_extract("__f", entity_pattern, 1).alias("entity"), "t",
+                        F.posexplode(checked).alias("c", "text"))
+    return long.select("entity", "t", F.concat(F.lit("channel_"), "c").alias("channel"),
+                       number("text").alias("value"))
+
+
+def time_major(array: np.ndarray, time_axis: int = 0) -> np.ndarray:
+    """Steps in rows, channels in columns; one channel if the array has one dimension.
+
+    Which axis is time is for the caller to say; it can't be told from sizes."""
+    if array.ndim not in (1, 2):
+        raise ValueError(f"array must be 1-D or 2-D, got {array.ndim}-D")
+    return np.moveaxis(array.reshape(len(array), -1), time_axis, 0) if array.ndim == 2 else array[:, None]
+
+
+def decode_npy(files: DataFrame, entity_pattern: str, rows: int = 4096, time_axis: int = 0
+               ) -> DataFrame:
     """``(path, content)`` of NPY files to ``entity, t, channel, value``, in bounded batches."""
     named = files.select(F.regexp_extract("path", entity_pattern, 1).alias("entity"), "content")
 
     def unpack(batches):
         for pdf in batches:
             for entity, content in zip(pdf["entity"], pdf["content"]):
-                a = orient(np.load(io.BytesIO(content), allow_pickle=False)).astype(float)
+                a = time_major(np.load(io.BytesIO(content), allow_pickle=False), time_axis).astype(float)
                 names = np.array([f"channel_{c}" for c in range(a.shape[1])])
                 for s in range(0, len(a), rows):
                     part = a[s:s + rows]
@@ -100,10 +113,10 @@ def decode_npy(files: DataFrame, entity_pattern: str, rows: int = 4096) -> DataF
     return long.withColumn("value", finite("value"))
 
 
-def read_npy(spark: SparkSession, path: str, entity_pattern: str) -> DataFrame:
-    """One task per file: an NPY file has no split points."""
+def read_npy(spark: SparkSession, path: str, entity_pattern: str, time_axis: int = 0) -> DataFrame:
+    """One task per file, which holds the file whole."""
     return decode_npy(spark.read.format("binaryFile").load(path).select("path", "content"),
-                      entity_pattern)
+                      entity_pattern, time_axis=time_axis)
 
 
 def discover(spark: SparkSession, path: str, pattern: str,
@@ -168,10 +181,22 @@ def require_columns(df: DataFrame, required) -> DataFrame:
     return df
 
 
+def _json_value(c, kind):
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return finite(c)
+    if isinstance(kind, T.StructType):
+        parts = F.struct(*[_json_value(c[f.name], f.dataType).alias(f.name) for f in kind])
+        return F.when(c.isNotNull(), parts)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: _json_value(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(c, lambda _, x: _json_value(x, kind.valueType))
+    return c
+
+
 def json_safe(df: DataFrame) -> DataFrame:
-    """NaN and infinities of all double columns become NULL, as JSON has neither."""
-    return df.select(*[finite(f.name).alias(f.name) if f.dataType in (
-        T.DoubleType(), T.FloatType()) else F.col(f.name) for f in df.schema.fields])
+    """NaN and infinities become NULL at any depth, as JSON has neither."""
+    return df.select(*[_json_value(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in df.schema])
 
 
 def append_rows(df: DataFrame, path: str, fmt: str = "parquet") -> None:

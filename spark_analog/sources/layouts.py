@@ -78,11 +78,7 @@ def csv_with_label_column(spark: SparkSession, train: str, test: str, entity: st
 def text_per_entity(spark: SparkSession, train: str, test: str, labels: str, pattern: str
                     ) -> Parts:
     """Headerless text, one file per entity and role; any non-zero label column is an anomaly."""
-    def columns(path):
-        return spark.read.text(path).limit(1).first()[0].count(",") + 1
-
-    tr, te = [files.read_headerless(spark, p, columns(p), pattern) for p in (train, test)]
-    lb = files.read_headerless(spark, labels, columns(labels), pattern)
+    tr, te, lb = [files.read_headerless(spark, p, None, pattern) for p in (train, test, labels)]
     marks = lb.groupBy("entity", "t").agg(
         F.max((F.coalesce("value", F.lit(0.0)) != 0).cast("int")).alias("label"))
     return tr, te, marks

@@ -44,11 +44,13 @@ def test_npy_files_and_orientation(spark, tmp_path):
     tall, wide = np.arange(600.0).reshape(300, 2), np.arange(80.0).reshape(4, 20)
     np.save(tmp_path / "P-1.npy", tall)
     np.save(tmp_path / "P-2.npy", wide)
-    got = {(r["entity"], r["t"], r["channel"]): r["value"] for r in files.read_npy(
-        spark, str(tmp_path / "*.npy"), "/([^/]+)[.]npy$").collect()}
-    assert len(got) == 680
-    assert got[("P-1", 17, "channel_1")] == tall[17, 1]
-    assert got[("P-2", 13, "channel_3")] == wide[3, 13]
+    for axis in (0, 1):
+        got = {(r["entity"], r["t"], r["channel"]): r["value"] for r in files.read_npy(
+            spark, str(tmp_path / "*.npy"), "/([^/]+)[.]npy$", time_axis=axis).collect()}
+        assert len(got) == 680
+        pick = lambda a, t, c: a[t, c] if axis == 0 else a[c, t]  # noqa: B023,E731
+        assert got[("P-1", 1, "channel_0")] == pick(tall, 1, 0)
+        assert got[("P-2", 3, "channel_2")] == pick(wide, 3, 2)
 
 
 def test_discovery_reports_incomplete_entities(spark, tmp_path):
