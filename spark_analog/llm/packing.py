@@ -22,9 +22,13 @@ table gives no rows; extra columns are ignored.
 from __future__ import annotations
 
 import functools
+import itertools
+import os
+import unicodedata
 import zlib
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -93,38 +97,88 @@ def _tokenizer(path: str | None):
 
 
 class WordIds:
-    """Ids of texts as little-endian unsigned 32-bit numbers."""
+    """Ids of texts as little-endian unsigned 32-bit numbers.
 
-    def __init__(self, path: str | None, most: int = 300_000, longest: int = 64):
+    A word of letters is one pre-token, so many of them are tokenised as one text and
+    parted where an id ends a word; full stops and commas after it are another. Any
+    other word is tokenised on its own. Words longer than ``longest`` aren't kept."""
+
+    def __init__(self, path: str | None, most: int = 500_000, longest: int = 64):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         self.tokenizer, self.most, self.longest = _tokenizer(path), most, longest
         self.known: dict[bytes, bytes] = {}
+        self.marks: dict[bytes, bytes] = {b"": b""}
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.once: set[bytes] = set()
 
     def learn(self, texts: list[list[bytes]]) -> None:
-        new = {w for found in texts for w in found if w not in self.known}
-        if not new:
-            return
+        for w in self.once:
+            self.known.pop(w, None)
+        every = set(itertools.chain.from_iterable(texts))
+        new = every.difference(self.known)
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = {w for found in texts for w in found}
-        new = list(new)
-        for i in range(0, len(new), 20_000):
-            part = new[i:i + 20_000]
-            done = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part],
-                                                    add_special_tokens=False)
-            for w, e in zip(part, done, strict=True):
-                self.known[w] = b"".join(map(_LITTLE.__getitem__, e.ids))
+            new = every
+        self.once = {w for w in new if len(w) > self.longest}
+        letters: dict[bytes, bytes] = {}
+        other = []
+        for w in new:
+            core = w.rstrip(b".,")
+            if core.isalpha() or core and _letters(core):
+                letters[w] = core
+            else:
+                other.append(w)
+        cores = [c for c in set(letters.values()) if c not in self.known]
+        self.once.update(c for c in cores if len(c) > self.longest)
+        for i in range(0, len(cores), 20_000):
+            self._together(cores[i:i + 20_000])
+        for w, core in letters.items():
+            if len(w) > len(core):
+                end = w[len(core):]
+                if end not in self.marks:
+                    self.marks[end] = self._alone([end])[0]
+                self.known[w] = self.known[core] + self.marks[end]
+        for i in range(0, len(other), 20_000):
+            part = other[i:i + 20_000]
+            self.known.update(zip(part, self._alone(part), strict=True))
+
+    def _alone(self, words: list[bytes]) -> list[bytes]:
+        done = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words],
+                                                add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in done]
+
+    def _together(self, words: list[bytes]) -> None:
+        done, = self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)
+        ids = np.array(done.ids, "<u4")
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(ends) != len(words):  # a tokenizer that marks no word ends
+            self.known.update(zip(words, self._alone(words), strict=True))
+            return
+        flat = ids.tobytes()
+        for w, a, b in zip(words, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            self.known[w] = flat[a:b]
 
     def of(self, found: list[bytes]) -> bytes:
         return b"".join(map(self.known.__getitem__, found))
 
 
-class _Little(dict):
-    def __missing__(self, i: int) -> bytes:
-        value = self[i] = i.to_bytes(4, "little")
-        return value
+def _letters(word: bytes) -> bool:
+    """Is a word nothing but letters after normalising and lower-casing?"""
+    try:
+        text = word.decode()
+    except UnicodeDecodeError:
+        return False
+    return text.isalpha() and unicodedata.normalize("NFC", text).lower().isalpha()
+
+
+@functools.lru_cache(1)
+def word_ids(path: str | None) -> WordIds:
+    """Kept from task to task of one Python worker."""
+    return WordIds(path)
 
 
-_LITTLE = _Little()
 #: Words tokenised together; bounds what one slice holds.
 SLICE = 300_000
 
@@ -137,7 +191,7 @@ def _first_pass(docs: DataFrame, s: Settings, with_ids: bool) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
         task = TaskContext.get().partitionId()
-        words, bins = WordIds(s.tokenizer), BestFit(s.capacity, s.open_bins)
+        words, bins = word_ids(s.tokenizer), BestFit(s.capacity, s.open_bins)
         end = s.end_id.to_bytes(4, "little")
         wide = 4 * s.capacity
         names = [c.split()[0] for c in schema.split(", ")]
