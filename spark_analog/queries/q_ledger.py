@@ -224,10 +224,13 @@ def ranks(spark, sf):
 @query("method_pivot", sql("cells", """
   select family, round(max(value) filter (method = '1-URGENT') + 1.3e-9, 6) + 0.0 as urgent,
          round(max(value) filter (method = '2-HIGH') + 1.3e-9, 6) + 0.0 as high,
+         round(max(value) filter (method = '3-MEDIUM') + 1.3e-9, 6) + 0.0 as medium,
+         round(max(value) filter (method = '4-NOT SPECIFIED') + 1.3e-9, 6) + 0.0 as unspecified,
          round(max(value) filter (method = '5-LOW') + 1.3e-9, 6) + 0.0 as low
   from cells group by 1"""))
 def method_pivot(spark, sf):
-    names = {"1-URGENT": "urgent", "2-HIGH": "high", "5-LOW": "low"}
+    names = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium",
+             "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
     p = ledger.pivot_methods(cells(spark, sf), names)
     return p.select("family", *[rounded(f"`{m}`").alias(n) for m, n in names.items()])
 
@@ -242,40 +245,54 @@ def average_rank(spark, sf):
   , s as (select count(distinct family)::double as n, count(distinct method)::double as k from rk),
   t as (select sum(c * c * c - c)::double as ties from (
           select count(*) as c from rk group by family, rank)),
-  q as (select sum(r * r) as ss from (select sum(rank) as r from rk group by method))
-  select n::bigint as n, k::bigint as k, round((12 / (k * n * (k + 1)) * ss - 3 * n * (k + 1))
-         / (1 - ties / (k * (k * k - 1) * n)) + 1.3e-9, 6) + 0.0 as statistic from s, t, q"""))
+  q as (select sum(r * r) as ss from (select sum(rank) as r from rk group by method)),
+  x as (select n, k, (12 / (k * n * (k + 1)) * ss - 3 * n * (k + 1))
+               / (1 - ties / (k * (k * k - 1) * n)) as stat from s, t, q)
+  -- the tail of chi-square with four degrees of freedom, for the ledger's five methods
+  select n::bigint as n, k::bigint as k, round(stat + 1.3e-9, 6) + 0.0 as statistic,
+         round(exp(-stat / 2) * (1 + stat / 2) + 1.3e-9, 6) + 0.0 as p from x"""))
 def friedman(spark, sf):
     f = ledger.friedman(ledger.block_ranks(cells(spark, sf)))
-    return f.select("n", "k", rounded("statistic").alias("statistic"))
+    return f.select("n", "k", rounded("statistic").alias("statistic"), rounded("p").alias("p"))
 
 
 part("pairs", "cells", """
   select a.method as "left", b.method as "right", round(a.value - b.value, 9) as d
   from cells a join cells b using (family) where a.method < b.method""")
-part("wx", "pairs", """
-  select "left", "right", count(*)::bigint as n,
-         least(sum(case when d > 0 then r else 0 end), sum(case when d < 0 then r else 0 end)) as w
+part("wr", "pairs", """
+  select *, row_number() over (partition by "left", "right" order by abs(d), d)::int - 1 as i,
+         count(*) over (partition by "left", "right")::bigint as n
   from (select *, rank() over (partition by "left", "right" order by abs(d))
                + (count(*) over (partition by "left", "right", abs(d)) - 1) / 2.0::double as r
-        from pairs where d <> 0) group by 1, 2""")
+        from pairs where d <> 0)""")
+# p over all signs of the few families of the ledger
+part("wx", "wr", """
+  select "left", "right", n, w, least(1.0, 2.0 * count(*) filter (s <= w) / (1 << n::int))::double as p
+  from (select z."left", z."right", z.n, z.w, m.mask,
+               coalesce(sum(y.r) filter (((m.mask >> y.i) & 1) = 1), 0) as s
+        from (select "left", "right", n, least(sum(case when d > 0 then r else 0 end),
+                                               sum(case when d < 0 then r else 0 end)) as w
+              from wr group by 1, 2, 3) z
+        join (select unnest(range(1024))::int as mask) m on m.mask < (1 << z.n::int)
+        join wr y on y."left" = z."left" and y."right" = z."right"
+        group by 1, 2, 3, 4, 5)
+  group by 1, 2, 3, 4""")
 
 
 @query("wilcoxon", sql("wx", """
-  select "left", "right", n, round(w + 1.3e-9, 6) + 0.0 as w from wx"""))
+  select "left", "right", n, round(w + 1.3e-9, 6) + 0.0 as w, round(p + 1.3e-9, 6) + 0.0 as p
+  from wx"""))
 def wilcoxon(spark, sf):
-    return ledger.wilcoxon(cells(spark, sf)).select("left", "right", "n", rounded("w").alias("w"))
+    return ledger.wilcoxon(cells(spark, sf)).select(
+        "left", "right", "n", rounded("w").alias("w"), rounded("p").alias("p"))
 
 
 @query("holm", sql("wx", """
-  , p as (select "left", "right", round(w / 100, 9) as p from wx),
-  s as (select *, row_number() over (order by p, "left", "right") as i, count(*) over () as m from p)
+  , s as (select *, row_number() over (order by p, "left", "right") as i, count(*) over () as m from wx)
   select "left", "right", round(max(least(1.0::double, p * (m - i + 1))) over (order by i) + 1.3e-9, 6) + 0.0
          as p_holm from s"""))
 def holm(spark, sf):
-    t = ledger.wilcoxon(cells(spark, sf)).select("left", "right",
-                                                 F.round(F.col("w") / 100, 9).alias("p"))
-    return ledger.holm(t).select("left", "right", rounded("p_holm").alias("p_holm"))
+    return ledger.holm(ledger.wilcoxon(cells(spark, sf))).select("left", "right", rounded("p_holm").alias("p_holm"))
 
 
 CD_SQL = """(select case count(*) when 2 then 1.960 when 3 then 2.343 when 4 then 2.569
