@@ -323,7 +323,15 @@ def cd_groups(spark, sf):
 
 
 # --- plans, status, measurements ----------------------------------------------------------------------
-@query("variant_plan")
+@query("variant_plan", sql("ledger", """
+  , lv as (select distinct 'k:' || method as analysis,
+                  case when method in ('1-URGENT', '2-HIGH') then 5 else 3 end as k from ledger),
+  e as (select distinct dataset, family from ledger),
+  b(backbone) as (values ('base_a'), ('base_b'))
+  select sha256('{"dataset":"' || dataset || '","backbone":"' || backbone || '","s":{"k":' || k
+                || ',"m":256}}') as execution_id, family, dataset, backbone,
+         string_agg(analysis, '|' order by analysis) as analyses, k::int as k, 256::int as m
+  from e, b, lv group by family, dataset, backbone, k"""))
 def variant_plan(spark, sf):
     levels = rows(spark, sf).select(
         F.concat_ws(":", F.lit("k"), "method").alias("analysis"),
@@ -331,7 +339,9 @@ def variant_plan(spark, sf):
             F.col("method") == "2-HIGH", 5).otherwise(3).alias("k"), F.lit(256).alias("m")).alias(
             "settings")).distinct()
     entities = rows(spark, sf).select("dataset", "family").distinct()
-    return ledger.variant_plan(levels, entities, ["base_a", "base_b"])
+    plan = ledger.variant_plan(levels, entities, ["base_a", "base_b"])
+    return plan.select("execution_id", "family", "dataset", "backbone",
+                       F.array_join("analyses", "|").alias("analyses"), "settings.k", "settings.m")
 
 
 @query("pending_runs", sql("raw", """
