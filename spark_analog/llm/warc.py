@@ -209,7 +209,7 @@ def _put_together(spark, path: str, placed: DataFrame, parted: DataFrame) -> Dat
                 seen[key] = ks[-1] + 1
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(ks, pa.int64())], names=[*b.schema.names, "k"])
 
-    def assemble(key, table: pa.Table) -> pa.Table:
+    def assemble(table: pa.Table) -> pa.Table:
         parts = sorted(zip(table.column("row").to_pylist(), table.column("value").to_pylist(), strict=True))
         value = MAGIC.encode().join(v for _, v in parts)
         found = parse(value)
