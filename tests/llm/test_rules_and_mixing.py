@@ -39,7 +39,7 @@ def test_line_rules(line, fault):
 
 
 def test_bad_lines_go_and_documents_losing_too_much(spark, no_docs):
-    good = "\n".join(f"this is good line number {i} of the text." for i in range(9))
+    good = "\n".join(f"this{i} is{i} good{i} line number {i} of{i} the text." for i in range(9))
     docs = spark.createDataFrame([(1, f"home | a | b\n{good}", 0), (2, f"{good}\n" + "menu | x | y | z\n" * 40, 0),
                                   (1, good, 1)], "doc_id long, text string, kept int")
     judged, at = qr.clean(docs)
@@ -81,7 +81,9 @@ def test_taken_words_come_near_the_target(odd_docs):
     assert all(0 <= r.taken <= 3 * r.size for r in rows)
     for source in {r.source for r in rows}:
         own = [r for r in rows if r.source == source]
-        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own)
+        taken = sum(r.taken for r in own)
+        off, sizes = abs(taken - own[0].target), sorted(r.size for r in own)
+        assert off <= max(sizes[-1] / 2, 60), (source, taken, own[0].target, sizes)
 
 
 def test_applied_mix_repeats_rows_and_keeps_columns(spark, odd_docs, no_docs):
