@@ -200,15 +200,19 @@ def _requests(chunks: DataFrame, ranges: int, s: Settings) -> DataFrame:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(live, pa.int32()), pa.array([n] * len(live), pa.int32()),
                          pa.array([row["chunk"]] * len(live), pa.int64()), pa.array([row["part"]] * len(live), pa.int32()),
+                         pa.array([cut[i] for i in live], pa.int64()),
                          pa.array([pack_sorted(keys[cut[i]:cut[i + 1]]) for i in live], pa.binary()),
                          pa.array([pack(own[cut[i]:cut[i + 1]]) for i in live], pa.binary())],
-                        names=["range", "n", "chunk", "part", "keys", "own"])
-    return chunks.mapInArrow(run, "range int, n int, chunk long, part int, keys binary, own binary")
+                        names=["range", "n", "chunk", "part", "first", "keys", "own"])
+    return chunks.mapInArrow(run, "range int, n int, chunk long, part int, first long, keys binary, own binary")
 
 
 def _sum(table: pa.Table) -> pa.Table:
-    """Answers of one range and order, and one row with the number of learned keys (chunk null)."""
-    n, chunk, part = (table.column(c).to_pylist() for c in ("n", "chunk", "part"))
+    """Answers of one range and order, and one row with the number of learned keys (chunk null).
+
+    An answer names n-grams by their place among the chunk's sorted keys, which the chunk
+    works out again; places next to each other pack into a byte or two."""
+    n, chunk, part, first = (table.column(c).to_pylist() for c in ("n", "chunk", "part", "first"))
     keys = [unpack_sorted(k) for k in table.column("keys").to_pylist()]
     own = [unpack(o).astype(np.int64) for o in table.column("own").to_pylist()]
     every, count = np.concatenate(keys), np.concatenate(own)
@@ -217,17 +221,18 @@ def _sum(table: pa.Table) -> pa.Table:
     kept = np.bincount(at[held == 0], count[held == 0], minlength=at.max() + 1).astype(np.int64)
     left = np.bincount(at[held == 1], count[held == 1], minlength=at.max() + 1).astype(np.int64)
     rows, pos = [], 0
-    for c, p, k, o in zip(chunk, part, keys, own, strict=True):
+    for c, p, f, k, o in zip(chunk, part, first, keys, own, strict=True):
         i = at[pos:pos + len(k)]
         pos += len(k)
         more = (kept[i] + left[i]) != o
-        rows.append((c, p, pack_sorted(k[more]), pack(kept[i][more]), pack(left[i][more]), None))
+        rows.append((c, p, pack_sorted((f + np.flatnonzero(more)).astype(np.uint64)), pack(kept[i][more]),
+                     pack(left[i][more]), None))
     rows.append((None, None, None, None, None, int(((kept + left) > 0).sum())))
     cols = list(zip(*rows, strict=True))
     return pa.Table.from_arrays(
         [pa.array([n[0]] * len(rows), pa.int32()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()),
          *[pa.array(c, pa.binary()) for c in cols[2:5]], pa.array(cols[5], pa.int64())],
-        names=["n", "chunk", "part", "keys", "kept", "left", "learned"])
+        names=["n", "chunk", "part", "places", "kept", "left", "learned"])
 
 
 class Counts:
@@ -237,8 +242,7 @@ class Counts:
         self.kept = [np.where(part == 0, o, 0) for o in grams.own]
         self.left = [np.where(part == 1, o, 0) for o in grams.own]
         for a in answers:
-            keys = unpack_sorted(a["keys"])
-            at = np.searchsorted(grams.keys[a["n"] - 1], keys)
+            at = unpack_sorted(a["places"]).astype(np.int64)
             self.kept[a["n"] - 1][at] = unpack(a["kept"]).astype(np.int64)
             self.left[a["n"] - 1][at] = unpack(a["left"]).astype(np.int64)
 
@@ -360,7 +364,7 @@ def score(docs: DataFrame, train: Column, part: Column, settings: Settings = Set
     runs = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = max(runs, -(-tokens // s.range_keys))
     counted = stage(_requests(chunks, ranges, s).groupBy("range", "n").applyInArrow(
-        _sum, "n int, chunk long, part int, keys binary, kept binary, left binary, learned long"))
+        _sum, "n int, chunk long, part int, places binary, kept binary, left binary, learned long"))
     answers = counted.filter("chunk is not null").drop("learned")
     words = int(counted.filter("chunk is null and n = 1").agg(F.sum("learned")).first()[0] or 0)
     texts = _texts(chunks)
