@@ -114,3 +114,40 @@ def chain(codes: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         h = mix(h * np.uint64(0x9E3779B97F4A7C15) + codes[k:k + n])
     return h
+
+
+class WordHashes:
+    """64-bit hashes of the words of many texts at once, without a Python step per word.
+
+    A word's hash is a polynomial in numbers drawn per byte, modulo 2 ** 64, read off
+    running sums over all bytes; it depends on the word alone."""
+
+    _BASE = 0x5851F42D4C957F2D
+
+    def __init__(self):
+        rng = np.random.default_rng(20)
+        self.draw = rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self.blank = np.zeros(256, bool)
+        self.blank[list(b" \t\n\x0b\x0c\r")] = True
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            back = pow(self._BASE, -1, 1 << 64)
+            for name, base in (("up", self._BASE), ("down", back)):
+                steps = np.full(n, base, np.uint64)
+                steps[0] = 1
+                setattr(self, name, np.cumprod(steps, dtype=np.uint64))
+
+    def of(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, ends): the words of text i are hashes[ends[i - 1]:ends[i]]."""
+        blob = b"\n" + b"\n".join(t or b"" for t in texts) + b"\n"
+        raw = np.frombuffer(blob, np.uint8)
+        self._powers(-(-len(raw) // (1 << 18)) << 18)
+        edge = np.flatnonzero(np.diff(self.blank[raw])) + 1
+        first, last = edge[::2], edge[1::2]
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.draw[raw] * self.up[:len(raw)], dtype=np.uint64, out=sums[1:])
+        h = (sums[last] - sums[first]) * self.down[first]
+        stops = np.cumsum([len(t or b"") + 1 for t in texts])
+        return mix(h + (last - first).astype(np.uint64)), np.searchsorted(first, stops)

@@ -7,19 +7,19 @@ enough of its tokens are in that union, so only such groups are opened.
 
 1. Tokens get one global order: those in few documents first, those known to be
    in many last. (The order steers the work, any order gives the same result.)
-2. A group holds documents with the same last token, so texts around a common
-   passage meet. A crowded last token is dealt over several groups by a hash,
+2. A group holds documents with the same smallest token by value, which similar texts
+   share as often as they share any token. A crowded one is dealt over several groups by a hash,
    each of bounded total size; the document with the smallest id joins all of
    them, which ties the copies of a large family together. Members are compared
    within each group.
 3. The matrix: a document of n tokens shares at least 75 n / 100 with any similar
    one, so two similar documents share a token among the first
    n - ceil(75 n / 100) + 1 of each. Only those tokens of the unions are stored
-   for the search, one row per token and group. Two groups meet when they share a
-   row, hold sizes that can match and are not one component already.
-4. For each such pair of groups the overlap of every document with the other
-   group's whole union is computed; documents that pass are compared with the
-   members they aren't connected to.
+   for the search, one row per token and group. A document counts the rows it
+   shares with each other group; the sizes bound that count from below, and only
+   groups that reach the bound, and aren't its component already, are opened.
+4. In an opened group the overlap with the whole union is computed; documents that
+   pass are compared with the members they aren't connected to.
 
 Sets travel only for documents that need a comparison. Those are picked in the
 scan with bitmaps of fixed size, so texts are never shuffled; a hit by chance
@@ -34,14 +34,15 @@ component; an empty table gives no rows; extra columns are ignored. Tokens are 6
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spark_analog.llm.common import Codes, chain, lower_words, mix, word_hash
+from spark_analog.llm.common import WordHashes, chain, mix
 from spark_analog.llm.components import components
 from spark_analog.operators.staging import stage
 
@@ -51,26 +52,44 @@ class Settings:
     """``percent``: least Jaccard similarity; ``group_tokens``: tokens a group holds;
     ``local_hot``, ``hot``: documents in one task and overall that make a token common;
     ``most_hot``: common tokens that are broadcast (16 bytes each), the most common first;
-    ``bitmap_bits``: size of the bitmaps."""
+    ``bitmap_bits``: size of the bitmaps; ``askers``: documents held against one group in
+    one task."""
     width: int = 5
     percent: int = 75
     group_tokens: int = 100_000
-    local_hot: int = 4
-    hot: int = 32
+    local_hot: int = 3
+    hot: int = 6
     most_hot: int = 500_000
     bitmap_bits: int = 1 << 25
+    askers: int = 512
     slice_tokens: int = 4_000_000
 
 
-def token_set(text: bytes | None, codes: Codes, width: int) -> np.ndarray:
-    """Sorted distinct tokens of a whole text."""
-    found = lower_words(text)
-    if not found:
-        return np.empty(0, np.uint64)
-    c = codes.of(found)
-    if len(c) < width:
-        return mix(chain(c, len(c)) + np.uint64(len(c)))
-    return np.unique(chain(c, width))
+#: Bytes of text hashed together; a longer text is a slice of its own.
+SLICE = 1 << 20
+
+
+def token_sets(texts: list[bytes | None], hashes: WordHashes, width: int) -> Iterator[np.ndarray]:
+    """Sorted distinct tokens of each whole text."""
+    at = 0
+    while at < len(texts):
+        start, size = at, 0
+        while at < len(texts) and (size < SLICE or at == start):
+            size += len(texts[at] or b"")
+            at += 1
+        found, ends = hashes.of([t and t.lower() for t in texts[start:at]])
+        runs = chain(found, width)
+        begin = 0
+        for end in ends.tolist():
+            n = end - begin
+            if n >= width:
+                t = np.sort(runs[begin:end - width + 1])
+                yield t[np.append(True, t[1:] != t[:-1])]
+            elif n:
+                yield mix(chain(found[begin:end], n) + np.uint64(n))
+            else:
+                yield np.empty(0, np.uint64)
+            begin = end
 
 
 def least_overlap(n, percent: int):
@@ -92,14 +111,22 @@ class Order:
 
     def __init__(self, tokens: np.ndarray, counts: np.ndarray):
         at = np.argsort(tokens, kind="stable")
-        self.tokens, self.rank = tokens[at], np.log2(counts[at]).astype(np.int64)
+        self.tokens, self.rank = tokens[at], np.log2(counts[at]).astype(np.int64) + 1
+
+    def _ranks(self, tokens: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
+        return np.where(self.tokens[at] == tokens, self.rank[at], 0)
 
     def sort(self, tokens: np.ndarray) -> np.ndarray:
+        """Tokens that come sorted by value, in this order."""
         if not len(self.tokens):
             return tokens
-        at = np.minimum(np.searchsorted(self.tokens, tokens), len(self.tokens) - 1)
-        rank = np.where(self.tokens[at] == tokens, self.rank[at], 0)
-        return tokens[np.lexsort((tokens, rank))]
+        rank = self._ranks(tokens)
+        common = np.flatnonzero(rank)
+        if not len(common):
+            return tokens
+        common = common[np.argsort(rank[common], kind="stable")]
+        return np.concatenate([tokens[rank == 0], tokens[common]])
 
 
 def intersections(one: np.ndarray, flat: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
@@ -192,9 +219,9 @@ def in_bitmap(known: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
 
 
 def _scan(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
-    """(id, n, key) of every row, and (token, count) of tokens common within a task."""
+    """(id, n, key, lead) of every row, lead being its smallest token, and (token, count) of tokens common within a task."""
     def run(batches):
-        codes = Codes(word_hash)
+        hashes = WordHashes()
         held, size = [], 0
 
         def common():
@@ -202,59 +229,46 @@ def _scan(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
             tokens, count = np.unique(np.concatenate(held), return_counts=True)
             keep = count >= s.local_hot
             held, size = [], 0
-            return rows([None] * keep.sum(), count[keep], tokens[keep].view(np.int64), [True] * keep.sum())
+            m = int(keep.sum())
+            return rows([None] * m, count[keep], tokens[keep].view(np.int64), [None] * m, [True] * m)
 
-        def rows(ids, n, key, common_):
+        def rows(ids, n, key, lead, common_):
             return pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(key, pa.int64()),
-                 pa.array(common_, pa.bool_())], names=["id", "n", "key", "common"])
+                 pa.array(lead, pa.int64()), pa.array(common_, pa.bool_())],
+                names=["id", "n", "key", "lead", "common"])
 
         for b in batches:
-            n, key = [], []
-            for text in b.column("text").to_pylist():
-                t = token_set(text, codes, s.width)
+            n, key, lead = [], [], []
+            for t in token_sets(b.column("text").to_pylist(), hashes, s.width):
                 n.append(len(t))
+                lead.append(int(t[0].view(np.int64)) if len(t) else None)
                 key.append(int(mix(t).sum(dtype=np.uint64).view(np.int64)))
                 held.append(t)
                 size += len(t)
                 if size >= s.slice_tokens:
                     yield common()
-            yield rows(b.column("id"), n, key, [False] * len(n))
+            yield rows(b.column("id"), n, key, lead, [False] * len(n))
         if size:
             yield common()
 
-    out = stage(docs.mapInArrow(run, "id long, n long, key long, common boolean"))
-    return (out.filter("not common").select("id", "n", "key"),
+    out = stage(docs.mapInArrow(run, "id long, n long, key long, lead long, common boolean"))
+    return (out.filter("not common").select("id", "n", "key", "lead"),
             out.filter("common").select(F.col("key").alias("token"), F.col("n").alias("count")))
 
 
-def _last(docs: DataFrame, order, s: Settings) -> DataFrame:
-    """id and last token in the global order, of every text with words."""
-    def run(batches):
-        codes = Codes(word_hash)
-        for b in batches:
-            ids, last = [], []
-            for id_, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                t = token_set(text, codes, s.width)
-                if len(t):
-                    ids.append(id_)
-                    last.append(order.value.sort(t)[-1])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(np.array(last, np.uint64).view(np.int64))], names=["id", "last"])
-    return docs.mapInArrow(run, "id long, last long")
-
-
 def _some_sets(docs: DataFrame, some, s: Settings) -> DataFrame:
     """id and sorted set, as bytes, of the texts with words whose id is in a bitmap."""
     def run(batches):
-        codes = Codes(word_hash)
+        hashes = WordHashes()
         for b in batches:
             ids, sets = [], []
             picked = in_bitmap(some.value, b.column("id").to_numpy(), s.bitmap_bits)
-            for i in np.flatnonzero(picked):
-                t = token_set(b.column("text")[i].as_py(), codes, s.width)
+            some_rows = b.filter(pa.array(picked))
+            found = token_sets(some_rows.column("text").to_pylist(), hashes, s.width)
+            for id_, t in zip(some_rows.column("id").to_pylist(), found, strict=True):
                 if len(t):
-                    ids.append(b.column("id")[i].as_py())
+                    ids.append(id_)
                     sets.append(t.tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())],
                                              names=["id", "tokens"])
@@ -273,11 +287,11 @@ def duplicates(docs: DataFrame, settings: Settings = Settings(), text: str = "te
     order = sc.broadcast(Order(hot.column("token").to_numpy().astype(np.int64).view(np.uint64),
                                hot.column("count").to_numpy()))
     full = scanned.filter("n > 0 and id is not null")
-    reps = stage(full.groupBy("n", "key").agg(F.min("id").alias("id"), F.count("*").alias("rows")))
+    reps = stage(full.groupBy("n", "key").agg(F.min("id").alias("id"), F.min("lead").alias("lead")))
     known = given.filter("id is not null")
-    units = _groups(_last(known, order, s), reps, s)
-    links, matrix, members = _within(known, units, order, s)
-    links = links.unionByName(_across(known, matrix, members, s))
+    units = _groups(reps, full, s)
+    links, matrix = _within(known, units, order, s)
+    links = links.unionByName(_across(known, matrix, s))
     # rows of one id with different sets belong together too
     own = full.join(reps.select("n", "key", F.col("id").alias("rep")), ["n", "key"])
     tied = stage(own.select(F.col("id").alias("_id"), "rep"))
@@ -288,29 +302,32 @@ def duplicates(docs: DataFrame, settings: Settings = Settings(), text: str = "te
                     F.coalesce("component", "id").alias("component_id")))
 
 
-def _groups(last: DataFrame, reps: DataFrame, s: Settings) -> DataFrame:
-    """id, last, group of every different set; the smallest id of a crowded token in all its groups."""
-    rows = stage(last.join(reps.select("id", "n"), "id").groupBy("id").agg(F.min("last").alias("last"), F.max("n").alias("n")))
-    crowd = stage(rows.groupBy("last").agg(F.count("*").alias("docs"), F.sum("n").alias("tokens"), F.min("id").alias("pivot"))
-                  .filter("docs > 1")
-                  .withColumn("parts", F.least("docs", F.ceil(F.col("tokens") / s.group_tokens))))
-    told = rows.join(crowd, "last", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+def _groups(reps: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    """id, lead, docs (rows with this lead) and group of every different set; the smallest id
+    of a crowded lead is in all its groups."""
+    one = reps.groupBy("id").agg(F.min("lead").alias("lead"), F.max("n").alias("n"))
+    crowd = (one.groupBy("lead").agg(F.count("*").alias("sets"), F.sum("n").alias("tokens"), F.min("id").alias("pivot"))
+             .join(rows.groupBy("lead").agg(F.count("*").alias("docs")), "lead").filter("docs > 1")
+             .withColumn("parts", F.least("sets", F.ceil(F.col("tokens") / s.group_tokens))))
+    told = one.join(stage(crowd), "lead", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     spread = F.when(F.col("id") == F.col("pivot"), F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)) \
         .otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("parts"))))
     return stage(told.withColumn("part", F.explode(spread))
-                 .select("id", "last", F.coalesce("docs", F.lit(1)).alias("docs"),
-                         F.xxhash64("last", "part").alias("group")))
+                 .select("id", "lead", F.coalesce("docs", F.lit(1)).alias("docs"),
+                         # negative; a group of one goes by its id
+                         F.xxhash64("lead", "part").bitwiseOR(F.lit(-(1 << 63))).alias("group")))
 
 
 def _within(docs: DataFrame, units: DataFrame, order, s: Settings):
-    """links (a, b) within groups; matrix rows (token, group, cls, lo, hi); members (id, group, root)."""
+    """links (a, b) within groups; matrix rows (token, group, cls, lo, hi, docs): the group's
+    component if it is one, the sizes of its members that search the token, and those members."""
     sc = docs.sparkSession.sparkContext
-    crowded = sc.broadcast(bitmap(units.filter("docs > 1"), "last", s.bitmap_bits))
-    found = stage(_prefix_or_set(docs, order, crowded, s))
-    # a set alone with its last token needs no comparison within a group
-    single = found.filter("alone").withColumn("group", F.xxhash64("last", F.lit(0).cast("long")))
+    crowded = sc.broadcast(bitmap(units.filter("docs > 1"), "lead", s.bitmap_bits))
+    # a set alone with its smallest token needs no comparison within a group
+    single = _sorted_sets(docs, order, crowded, True, s)
+    shared = _sorted_sets(docs, order, crowded, False, s)
     runs = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    grouped = (found.filter("not alone").select("id", "tokens").join(units.select("id", "group"), "id")
+    grouped = (shared.select("id", "tokens").join(units.select("id", "group"), "id")
                .repartition(runs, "group").sortWithinPartitions("group", "id"))
 
     def compare(batches):
@@ -320,25 +337,29 @@ def _within(docs: DataFrame, units: DataFrame, order, s: Settings):
             ids = [i for i, _ in members]
             one = (root == root[0]).all()
             n = len(ids)
-            first = [searched(t, s.percent) for _, t in members]
-            flat = np.concatenate(first)
-            wide = np.repeat([len(t) for _, t in members], [len(f) for f in first])
-            token, inverse = np.unique(flat, return_inverse=True)
-            lo = np.full(len(token), np.iinfo(np.int64).max)
-            hi = np.zeros(len(token), np.int64)
-            np.minimum.at(lo, inverse, wide)
-            np.maximum.at(hi, inverse, wide)
+            nothing = lambda m: [pa.nulls(m, pa.int64())] * 3
             yield pa.RecordBatch.from_arrays(
                 [pa.array([group] * n, pa.int64()), pa.array(ids, pa.int64()),
-                 pa.array([ids[r] for r in root], pa.int64()), pa.nulls(n, pa.int64()),
-                 pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())],
-                names=["group", "id", "root", "token", "cls", "lo", "hi"])
+                 pa.array([ids[r] for r in root], pa.int64()), pa.nulls(n, pa.int64()), *nothing(n), pa.nulls(n, kind)],
+                names=names)
+            first = [searched(t, s.percent) for _, t in members]
+            owner = np.repeat(np.arange(n), [len(f) for f in first])
+            flat = np.concatenate(first)
+            order_ = np.lexsort((owner, flat))
+            token, start = np.unique(flat[order_], return_index=True)
+            owner = owner[order_]
+            wide = np.array([len(t) for t in sets])[owner]
+            docs_ = pa.StructArray.from_arrays(
+                [pa.array(np.array(ids)[owner]), pa.array(wide), pa.array(np.array(ids)[root[owner]])], names=["id", "n", "root"])
             m = len(token)
             yield pa.RecordBatch.from_arrays(
                 [pa.array([group] * m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()),
                  pa.array(token.view(np.int64)), pa.array([ids[0] if one else None] * m, pa.int64()),
-                 pa.array(lo), pa.array(hi)], names=["group", "id", "root", "token", "cls", "lo", "hi"])
+                 pa.array(np.minimum.reduceat(wide, start)), pa.array(np.maximum.reduceat(wide, start)),
+                 pa.ListArray.from_arrays(pa.array(np.append(start, len(flat)), pa.int32()), docs_)], names=names)
 
+        names = ["group", "id", "root", "token", "cls", "lo", "hi", "docs"]
+        kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("id", "n", "root")]))
         current, members = None, []
         for b in batches:
             for id_, tokens, group in zip(*(b.column(c).to_pylist() for c in ("id", "tokens", "group")), strict=True):
@@ -352,64 +373,84 @@ def _within(docs: DataFrame, units: DataFrame, order, s: Settings):
             yield from close(current, members)
 
     done = stage(grouped.mapInArrow(
-        compare, "group long, id long, root long, token long, cls long, lo long, hi long"))
-    members = done.filter("id is not null").select("id", "group", "root").unionByName(
-        single.select("id", "group", F.col("id").alias("root")))
+        compare, f"group long, id long, root long, token long, cls long, lo long, hi long, docs {DOCS}"))
     links = done.filter("id is not null and id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-    matrix = done.filter("token is not null").select("token", "group", "cls", "lo", "hi").unionByName(
-        single.select(F.explode("first").alias("token"), "group", F.col("id").alias("cls"),
-                      F.col("n").alias("lo"), F.col("n").alias("hi")))
-    return links, matrix, members
+    matrix = done.filter("token is not null").select("token", "group", "cls", "lo", "hi", "docs").unionByName(
+        single.select(F.explode("first").alias("token"), F.col("id").alias("group"), F.col("id").alias("cls"),
+                      F.col("n").alias("lo"), F.col("n").alias("hi"), F.lit(None).cast(DOCS).alias("docs")))
+    return links, matrix
+
 
+#: Members of a group that search a token; null for a group of one.
+DOCS = "array<struct<id: long, n: long, root: long>>"
 
-def _prefix_or_set(docs: DataFrame, order, crowded, s: Settings) -> DataFrame:
-    """id, last, n, alone; the searched tokens if alone, else the whole set in order."""
+
+def _sorted_sets(docs: DataFrame, order, crowded, alone: bool, s: Settings) -> DataFrame:
+    """Of documents alone with their smallest token: id, n and the searched tokens; of the
+    others: id, n and the whole set in order, as bytes."""
     def run(batches):
-        codes = Codes(word_hash)
+        hashes = WordHashes()
         for b in batches:
             ids, sets = [], []
-            for id_, text in zip(b.column("id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                t = token_set(text, codes, s.width)
+            found = token_sets(b.column("text").to_pylist(), hashes, s.width)
+            for id_, t in zip(b.column("id").to_pylist(), found, strict=True):
                 if len(t):
-                    ids.append(id_)
-                    sets.append(order.value.sort(t))
-            last = np.array([t[-1] for t in sets], np.uint64).view(np.int64)
-            alone = ~in_bitmap(crowded.value, last, s.bitmap_bits)
+                    if in_bitmap(crowded.value, t[:1].view(np.int64), s.bitmap_bits)[0] != alone:
+                        ids.append(id_)
+                        sets.append(order.value.sort(t))
+            n = len(ids)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(last), pa.array([len(t) for t in sets], pa.int64()),
-                 pa.array(alone), pa.array([None if one else t.tobytes() for one, t in zip(alone, sets, strict=True)],
-                                           pa.binary()),
-                 pa.array([searched(t, s.percent).view(np.int64) if one else None
-                           for one, t in zip(alone, sets, strict=True)], pa.list_(pa.int64()))],
-                names=["id", "last", "n", "alone", "tokens", "first"])
-    return docs.mapInArrow(run, "id long, last long, n long, alone boolean, tokens binary, first array<long>")
+                [pa.array(ids, pa.int64()), pa.array([len(t) for t in sets], pa.int64()),
+                 pa.nulls(n, pa.binary()) if alone else pa.array([t.tobytes() for t in sets], pa.binary()),
+                 pa.array([searched(t, s.percent).view(np.int64) for t in sets], pa.list_(pa.int64()))
+                 if alone else pa.nulls(n, pa.list_(pa.int64()))], names=["id", "n", "tokens", "first"])
+    return docs.mapInArrow(run, "id long, n long, tokens binary, first array<long>")
+
+
+def least_shared(n: Column, d: Column, percent: int) -> Column:
+    """Searched tokens that similar sets of n and d tokens share at least. A token that only
+    one of two similar sets has is one of few; what is searched holds more than those."""
+    both = F.ceil((n + d) * percent / (100 + percent))
+    own = F.greatest(F.ceil(n * percent / 100), F.ceil(d * percent / 100))
+    return F.greatest(both - own, F.lit(1))
 
 
-def _across(docs: DataFrame, matrix: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
+def _across(docs: DataFrame, matrix: DataFrame, s: Settings) -> DataFrame:
     """links (a, b) between documents of different groups."""
     per = Window.partitionBy("token")
     live = stage(matrix.withColumn("low", F.min("cls").over(per)).withColumn("high", F.max("cls").over(per))
                  .withColumn("mixed", F.max(F.col("cls").isNull()).over(per))
                  .withColumn("rows", F.count("*").over(per))
                  .filter("rows > 1 and (mixed or low < high)")
-                 .select("token", "group", "cls", "lo", "hi"))
+                 .select("token", "group", "cls", "lo", "hi", "docs"))
+    alone = F.array(F.struct(F.col("cls").alias("id"), F.col("lo").alias("n"), F.col("cls").alias("root")))
+    member = live.select("token", "group", F.explode(F.coalesce("docs", alone)).alias("m")) \
+        .select("token", "group", "m.id", "m.n", "m.root")
     other = live.select("token", *[F.col(c).alias(f"{c}2") for c in ("group", "cls", "lo", "hi")])
-    pairs = stage(live.join(other, "token")
-                  .filter((F.col("group") < F.col("group2"))
-                          & F.coalesce(F.col("cls") != F.col("cls2"), F.lit(True))
-                          & (F.col("lo") * s.percent <= F.col("hi2") * 100)
-                          & (F.col("lo2") * s.percent <= F.col("hi") * 100))
-                  .select("group", "group2").distinct())
-    sides = pairs.select("group", "group2", F.col("group").alias("own"), F.lit(0).alias("side")).unionByName(
-        pairs.select("group", "group2", F.col("group2").alias("own"), F.lit(1).alias("side")))
-    wanted = stage(sides.join(members.withColumnRenamed("group", "own"), "own")
-                   .select("id", "root", "group", "group2", "side"))
+    least, most = F.ceil(F.col("n") * s.percent / 100), F.floor(F.col("n") * 100 / s.percent)
+    lo, hi = F.greatest("lo2", least), F.least("hi2", most)
+    # overlap of a document with a group's union, as far as it is stored
+    found = (member.join(other, "token")
+             .filter((F.col("group") < F.col("group2")) & F.coalesce(F.col("root") != F.col("cls2"), F.lit(True)) & (lo <= hi))
+             .groupBy("id", "n", "root", "group2")
+             .agg(F.count("*").alias("shared"), F.min(lo).alias("lo"), F.max(hi).alias("hi")))
+    need = F.least(least_shared(F.col("n"), F.col("lo"), s.percent), least_shared(F.col("n"), F.col("hi"), s.percent))
+    ask = stage(found.filter(F.col("shared") >= need).select("id", "root", "group2"))
+    # a group that many ask is opened in several tasks, each with some of those who ask
+    parts = stage(ask.groupBy("group2").agg(F.ceil(F.count("*") / s.askers).alias("parts")))
+    told = ask.join(parts, "group2").select("id", "root", F.col("group2").alias("group"), F.lit(0).alias("side"),
+                                            F.pmod(F.xxhash64("id"), F.col("parts")).alias("part"))
+    inside = (member.join(parts.withColumnRenamed("group2", "group"), "group")
+              .select("id", "root", "group", "parts").distinct()
+              .select("id", "root", "group", F.lit(1).alias("side"),
+                      F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")))
+    wanted = stage(told.unionByName(inside))
     sc = docs.sparkSession.sparkContext
     some = sc.broadcast(bitmap(wanted.select("id"), "id", s.bitmap_bits))
     sets = _some_sets(docs, some, s)
     runs = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = (sets.select("id", "tokens").join(wanted, "id").repartition(runs, "group", "group2")
-            .sortWithinPartitions("group", "group2", "side", "id"))
+    rows = (sets.join(wanted, "id").repartition(runs, "group", "part")
+            .sortWithinPartitions("group", "part", "side", "id"))
 
     def verify(batches):
         def close(held):
@@ -420,7 +461,7 @@ def _across(docs: DataFrame, matrix: DataFrame, members: DataFrame, s: Settings)
         current, held = None, ([], [])
         for b in batches:
             for id_, tokens, root, g, h, side in zip(*(b.column(c).to_pylist() for c in (
-                    "id", "tokens", "root", "group", "group2", "side")), strict=True):
+                    "id", "tokens", "root", "group", "part", "side")), strict=True):
                 if (g, h) != current and current is not None:
                     yield close(held)
                     held = ([], [])
