@@ -124,7 +124,12 @@ class Links:
         self.root, self.add = np.arange(n), np.zeros(n, np.int64)
 
     def join(self, i: np.ndarray, j: np.ndarray) -> None:
-        while len(i):
+        if not len(i):
+            return
+        # links of earlier calls are known by the forest only: a row that moves keeps its old root as a pair
+        held = np.flatnonzero(self.root != np.arange(len(self.root)))
+        i, j = np.concatenate([i, held]), np.concatenate([j, self.root[held]])
+        while True:
             low = np.minimum(self.root[i], self.root[j])
             before = self.root.copy()
             for k in (i, j):

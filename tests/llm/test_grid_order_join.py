@@ -64,3 +64,35 @@ def test_repeated_rows_clashing_columns_and_empty(spark):
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in gj.near_duplicates(df).collect()), key=str)
     assert got == [(1, 1, 1, True), (2, 1, 1, False), (None, 0, None, False)]
     assert gj.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_forest_keeps_links_of_earlier_leaves():
+    links = gj.Links(10)
+    links.join(np.array([5]), np.array([9]))
+    links.join(np.array([1, 3]), np.array([5, 9]))
+    assert links.root[[1, 3, 5, 9]].tolist() == [1, 1, 1, 1]
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        links, up = gj.Links(40), list(range(40))
+        for _ in range(6):
+            i, j = rng.integers(40, size=(2, 5))
+            links.join(i, j)
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                p, q = sorted((up[a], up[b]))
+                up = [p if u == q else u for u in up]
+        assert links.root.tolist() == up
+
+
+def test_long_chains_with_default_block_and_leaf(spark):
+    rng = np.random.default_rng(9)
+    rows, place = [], 0
+    for chain in range(8):
+        x = rng.standard_normal(24)
+        for _ in range(125):  # each step of a walk links with its neighbours only
+            x = x / np.linalg.norm(x) + rng.standard_normal(24) * 0.075
+            rows.append((place, [float(np.float32(c)) for c in x], 1))
+            place += 1
+    ids = rng.permutation(len(rows)).tolist()
+    rows = [(ids[i], v, label) for i, v, label in rows]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in gj.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows)
