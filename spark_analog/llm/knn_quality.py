@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from spark_analog.llm.common import Codes, annotate, chain, word_hash
-from spark_analog.llm.labelled import training_ids, training_texts
+from spark_analog.llm.labelled import label_share, training_ids, training_texts
 
 WORDS, SHAPES, MARKS = 1500, 500, 48
 TERMS = WORDS + SHAPES + MARKS
@@ -172,7 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality",
     base = [(np.frombuffer(r.at, np.uint16).astype(np.int64), np.frombuffer(r.n, np.float32))
             for r in sparse]
     y = np.array([r.y for r in sparse], float)
-    share = _label_share(labels, label, s.folds, doc_id)
+    share = label_share(labels, label, s.folds, doc_id)
     if not len(y):
         return Model(np.ones(TERMS), np.zeros((TERMS, 1)), np.zeros((0, 1)), y, y, 0.5, s)
     df = np.zeros(TERMS)
@@ -187,15 +187,6 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality",
     return Model(idf, axes, unit(x @ axes), y, importance, float(share), s)
 
 
-def _label_share(labels: DataFrame, label: str, folds: int, doc_id: str) -> float:
-    from pyspark.sql import functions as F
-    from spark_analog.llm.common import fold
-    row = (labels.filter(F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{label}`").isin(0, 1))
-           .filter(fold(F.col(f"`{doc_id}`"), folds) != 0)
-           .agg(F.avg(F.col(f"`{label}`").cast("double"))).first())
-    return 0.5 if row[0] is None else float(row[0])
-
-
 FIELDS = T.StructType([T.StructField("score", T.DoubleType()),
                        T.StructField("predicted", T.IntegerType())])
 

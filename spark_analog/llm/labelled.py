@@ -31,3 +31,11 @@ def training_texts(docs: DataFrame, ids: DataFrame, doc_id: str = "doc_id",
     they go to every task and the texts are not shuffled."""
     picked = docs.select(F.col(f"`{doc_id}`").alias("id"), F.col(f"`{text}`").cast("string").alias("text"))
     return picked.join(F.broadcast(ids), "id")
+
+
+def label_share(labels: DataFrame, label: str, folds: int = 5, doc_id: str = "doc_id") -> float:
+    """Share of label 1 among the rows that training may see: with an id, not in fold 0."""
+    row = (labels.filter(F.col(f"`{doc_id}`").isNotNull() & F.col(f"`{label}`").isin(0, 1))
+           .filter(fold(F.col(f"`{doc_id}`"), folds) != 0)
+           .agg(F.avg(F.col(f"`{label}`").cast("double"))).first())
+    return 0.5 if row[0] is None else float(row[0])

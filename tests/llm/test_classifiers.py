@@ -130,3 +130,17 @@ def test_clashing_column_names_are_kept(spark, corpus):
     docs = corpus[0].limit(30).selectExpr("*", "1 as quality", "2 as toxicity", "3 as _text_bytes")
     out, at = knn.classify(docs, knn.fit(docs, labels))
     assert at == "_quality" and {r.quality for r in out.collect()} == {1}
+
+
+def test_labels_of_the_held_out_fold_and_without_id_change_nothing(corpus, monkeypatch):
+    from pyspark.sql import functions as F
+    from spark_analog.llm.common import fold
+    docs, labels, _ = corpus
+    s, shares = cnn.Settings(clean=150, toxic=100, epochs=1), []
+    monkeypatch.setattr(cnn, "calibrate", lambda net, texts, y, share: shares.append(share))
+    hidden = F.col("doc_id").isNull() | (fold("doc_id", s.folds) == 0)
+    other = labels.withColumn("toxic", F.when(hidden, F.lit(1)).otherwise(F.col("toxic")))
+    for frame in (labels, other):
+        cnn.fit(docs, frame, settings=s)
+    seen = labels.filter(~hidden & F.col("toxic").isNotNull())
+    assert shares == [pytest.approx(seen.agg(F.avg("toxic")).first()[0])] * 2
