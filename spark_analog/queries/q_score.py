@@ -320,6 +320,27 @@ def macro_block_auprc(spark, sf):
                     rounded("objective").alias("objective"))
 
 
+@memo
+def whole_grid(spark, sf):
+    return stage(score.score_grid(parts(spark, sf).where("role = 'score'"), fx.labels_hourly(spark, sf)))
+
+
+@query("select_score_params_all")
+def select_score_params_all(spark, sf):
+    """As select_score_params, over all grid points of defaults.py, as detect does; no SQL."""
+    best = score.select_parameters(whole_grid(spark, sf))
+    return best.withColumn("objective", rounded("objective")).withColumn(
+        "grid_id", F.col("grid_id").cast("bigint"))
+
+
+@query("macro_block_auprc_all")
+def macro_block_auprc_all(spark, sf):
+    """As macro_block_auprc, over all grid points of defaults.py; no SQL."""
+    o = score.objectives(whole_grid(spark, sf), selection="macro_block")
+    return o.select("entity", F.col("grid_id").cast("bigint").alias("grid_id"), "blocks",
+                    rounded("objective").alias("objective"))
+
+
 @query("select_blend", sql("series labels_h", """
   , o as (select s.channel as entity, amount, round(avg(abs(coalesce(value, 0) - 100 * amount)), 3)
                    as objective
