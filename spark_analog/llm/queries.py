@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spark_analog.llm import (cnn_toxicity, deleted_interpolation, grid_order_join, knn_quality, mixing, packing,
-                              quality_rules, token_groups, url_filters, warc)
+from spark_analog.llm import (cnn_toxicity, deleted_interpolation, grid_order_join, knn_quality, merkle,
+                              mixing, packing, quality_rules, token_groups, url_filters, warc)
 from spark_analog.llm.common import fold
 
 QUERIES: dict = {}
@@ -107,3 +107,79 @@ def op9(spark, sf):
 def op10(spark, sf):
     return mixing.mix(table(spark, sf, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")
+
+
+#: Levels of a source's tree and of the tree over sources that the SQL spells out (16 ** 6 and 16 ** 4 nodes).
+MERKLE_LEVELS, MERKLE_TOP_LEVELS = 6, 4
+
+
+def _merkle_sql() -> str:
+    """Levels one by one: runs of 16 by string_agg, siblings by a join of a level with itself."""
+    def said(c):
+        return f"coalesce(strlen({c}::varchar) || ':' || ({c}::varchar), '-')"
+
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    steps = []
+    whole = " || ".join(said(c) for c in fields)
+    bent = " || ".join([*[said(c) for c in fields[:-1]], said(f"translate(text, '{upper}', '{lower}')")])
+    # crc32 bit by bit is long in SQL; the remainder modulo 5 is read off a table made by recursion
+    steps.append(f"""bits as (select i, i::bigint as v, 0 as k from range(256) t(i)
+        union all select i, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, k + 1 from bits where k < 8)""")
+    steps.append("lookup as materialized (select list(v order by i) as crc from bits where k = 8)")
+    steps.append("""walk as (select doc_id, doc_id::varchar as said, 4294967295::bigint as v, 0 as k
+            from (select distinct doc_id from documents where doc_id is not null)
+        union all select doc_id, said, xor(v // 256, crc[xor(v % 256, ascii(said[k + 1])) + 1]), k + 1
+            from walk, lookup where k < length(said))""")
+    steps.append("picked as materialized (select doc_id from walk where k = length(said) and xor(v, 4294967295) % 5 = 0)")
+    steps.append(f"""doc as materialized (select doc_id, source as tree, sha256({whole}) as h,
+        case when doc_id in (select doc_id from picked) then sha256({bent}) else sha256({whole}) end as bent from documents)""")
+    steps.append("""a0 as materialized (select *, row_number() over (partition by tree order by doc_id nulls first, h) - 1 as r,
+        count(*) over (partition by tree) as n from doc)""")
+
+    def level(name, k, last):
+        here, above = f"{name}{k}", f"{name}{k + 1}"
+        steps.append(f"""{here}_way as materialized (select x.tree, x.r, any_value(x.n) as n,
+            coalesce(string_agg(y.h, '' order by y.r) filter (where y.r < x.r), '') as before,
+            coalesce(string_agg(y.h, '' order by y.r) filter (where y.r > x.r), '') as after
+            from {here} x join {here} y on x.tree is not distinct from y.tree and x.r // 16 = y.r // 16
+            group by x.tree, x.r)""")
+        if not last:
+            steps.append(f"""{above} as materialized (select tree, r // 16 as r, (n + 15) // 16 as n,
+                case when n > 1 then sha256(string_agg(h, '' order by r)) else min(h) end as h from {here}
+                group by tree, r // 16, n)""")
+
+    for k in range(MERKLE_LEVELS):
+        level("a", k, False)
+    steps.append(f"""b0 as materialized (select 0 as tree, tree as source, h,
+        row_number() over (order by tree nulls first) - 1 as r, count(*) over () as n from a{MERKLE_LEVELS})""")
+    for k in range(MERKLE_TOP_LEVELS):
+        level("b", k, False)
+    steps.append("""f0 as (select a0.doc_id, a0.tree, a0.h as leaf, a0.r, b0.r as top, b0.h as subroot, a0.bent as folded, '' as proof
+        from a0 join b0 on a0.tree is not distinct from b0.source)""")
+    done = 0
+    for name, levels, place, tree in (("a", MERKLE_LEVELS, "r", "f.tree"), ("b", MERKLE_TOP_LEVELS, "top", "0")):
+        for k in range(levels):
+            steps.append(f"""f{done + 1} as (select f.* replace (
+                case when w.n > 1 then sha256(w.before || f.folded || w.after) else f.folded end as folded,
+                f.proof || w.before || w.after as proof)
+                from f{done} f join {name}{k}_way w on w.tree is not distinct from {tree} and w.r = f.{place} // {16 ** k})""")
+            done += 1
+    return "with recursive " + ",\n".join(steps) + f"""
+select doc_id, leaf, subroot, (select h from b{MERKLE_TOP_LEVELS}) as root, sha256(proof) as proof_sha256,
+       folded as folded_root, folded = (select h from b{MERKLE_TOP_LEVELS}) as verified from f{done}"""
+
+
+@query("op11_merkle_manifest", _merkle_sql())
+def op11(spark, sf):
+    docs = table(spark, sf, "documents")
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = merkle.leaf([*[F.col(c) for c in fields[:-1]], lowered])
+    picked = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    made = merkle.manifest(docs, "source", "doc_id", fields,
+                           {"doc_id": F.col("doc_id"), "tampered": F.when(picked, tampered)})
+    folded = merkle.fold(F.coalesce("kept.tampered", "leaf"), F.col("way"))
+    return made.select("kept.doc_id", "leaf", "subroot", "root",
+                       merkle.digest(merkle.proof_text(F.col("way"))).alias("proof_sha256"),
+                       folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
