@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spark_analog.llm import (cnn_toxicity, deleted_interpolation, grid_order_join, knn_quality, merkle,
+from spark_analog.llm import (cnn_toxicity, deleted_interpolation, grid_order_join, knn_quality, line_dedup, merkle,
                               mixing, packing, quality_rules, token_groups, url_filters, warc)
 from spark_analog.llm.common import fold
 
@@ -183,3 +183,25 @@ def op11(spark, sf):
     return made.select("kept.doc_id", "leaf", "subroot", "root",
                        merkle.digest(merkle.proof_text(F.col("way"))).alias("proof_sha256"),
                        folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+
+
+LINES_SQL = r"""
+with lines as (select doc_id, pos, unnest(parts) as line, unnest(range(len(parts))) as i
+    from (select doc_id, row_number() over () as pos, string_split(coalesce(text, ''), chr(10)) as parts from documents)),
+keyed as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                              'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key from lines),
+heavy as (select key, max(doc_id) as keeper from keyed where length(key) >= 20
+          group by key having count(distinct coalesce(doc_id::varchar, 'none')) >= 3),
+judged as (select k.doc_id, pos, line, i, h.key is not null and k.doc_id is distinct from keeper as gone
+           from keyed k left join heavy h on k.key = h.key)
+select doc_id, count(*)::bigint as n_lines, count(*) filter (gone)::bigint as n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) order by i) filter (not gone), '')) as kept_sha256
+from judged group by doc_id, pos
+"""
+
+
+@query("op12_line_dedup", LINES_SQL)
+def op12(spark, sf):
+    cleaned, at = line_dedup.clean(table(spark, sf, "documents"), keep=["doc_id"])
+    return cleaned.select("doc_id", f"{at}.n_lines", f"{at}.n_dropped",
+                          F.sha2(F.col(f"{at}.text").cast("binary"), 256).alias("kept_sha256"))
