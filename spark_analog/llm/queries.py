@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spark_analog.llm import (cnn_toxicity, deleted_interpolation, grid_order_join, knn_quality, line_dedup, merkle,
-                              mixing, packing, quality_rules, token_groups, url_filters, warc)
+from spark_analog.llm import (cnn_toxicity, conversation_trie, deleted_interpolation, grid_order_join, knn_quality,
+                              line_dedup, merkle, mixing, packing, quality_rules, token_groups, url_filters, warc)
 from spark_analog.llm.common import fold
 
 QUERIES: dict = {}
@@ -109,6 +109,18 @@ def op10(spark, sf):
         "doc_id", "size", "source_size", "target", "taken")
 
 
+def crc_sql(column: str, source: str) -> str:
+    """Table crcs (id, crc) of the unsigned CRC-32 of every id as text: byte by byte with the table of the checksum."""
+    return f"""bits as (select i, i::bigint as v, 0 as k from range(256) t(i)
+    union all select i, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, k + 1 from bits where k < 8),
+lookup as materialized (select list(v order by i) as crc from bits where k = 8),
+walk as (select id, id::varchar as said, 4294967295::bigint as v, 0 as k
+        from (select distinct {column} as id from {source} where {column} is not null)
+    union all select id, said, xor(v // 256, crc[xor(v % 256, ascii(said[k + 1])) + 1]), k + 1
+        from walk, lookup where k < length(said)),
+crcs as materialized (select id, xor(v, 4294967295) as crc from walk where k = length(said))"""
+
+
 #: Levels of a source's tree and of the tree over sources that the SQL spells out (16 ** 6 and 16 ** 4 nodes).
 MERKLE_LEVELS, MERKLE_TOP_LEVELS = 6, 4
 
@@ -123,17 +135,10 @@ def _merkle_sql() -> str:
     steps = []
     whole = " || ".join(said(c) for c in fields)
     bent = " || ".join([*[said(c) for c in fields[:-1]], said(f"translate(text, '{upper}', '{lower}')")])
-    # crc32 bit by bit is long in SQL; the remainder modulo 5 is read off a table made by recursion
-    steps.append(f"""bits as (select i, i::bigint as v, 0 as k from range(256) t(i)
-        union all select i, case when v % 2 = 1 then xor(v // 2, 3988292384) else v // 2 end, k + 1 from bits where k < 8)""")
-    steps.append("lookup as materialized (select list(v order by i) as crc from bits where k = 8)")
-    steps.append("""walk as (select doc_id, doc_id::varchar as said, 4294967295::bigint as v, 0 as k
-            from (select distinct doc_id from documents where doc_id is not null)
-        union all select doc_id, said, xor(v // 256, crc[xor(v % 256, ascii(said[k + 1])) + 1]), k + 1
-            from walk, lookup where k < length(said))""")
-    steps.append("picked as materialized (select doc_id from walk where k = length(said) and xor(v, 4294967295) % 5 = 0)")
+    steps.append(crc_sql("doc_id", "documents"))
+    steps.append("picked as materialized (select id from crcs where crc % 5 = 0)")
     steps.append(f"""doc as materialized (select doc_id, source as tree, sha256({whole}) as h,
-        case when doc_id in (select doc_id from picked) then sha256({bent}) else sha256({whole}) end as bent from documents)""")
+        case when doc_id in (select id from picked) then sha256({bent}) else sha256({whole}) end as bent from documents)""")
     steps.append("""a0 as materialized (select *, row_number() over (partition by tree order by doc_id nulls first, h) - 1 as r,
         count(*) over (partition by tree) as n from doc)""")
 
@@ -205,3 +210,38 @@ def op12(spark, sf):
     cleaned, at = line_dedup.clean(table(spark, sf, "documents"), keep=["doc_id"])
     return cleaned.select("doc_id", f"{at}.n_lines", f"{at}.n_dropped",
                           F.sha2(F.col(f"{at}.text").cast("binary"), 256).alias("kept_sha256"))
+
+
+TRIE_SQL = "with recursive " + crc_sql("conv_id", "conversations") + r""",
+convs as materialized (select id as c, id - id % 20 as base, crc % 4 as h from crcs),
+said as (select conv_id as c, turn, strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '') as body,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as words from conversations where conv_id is not null),
+own as materialized (select *, row_number() over (partition by c order by turn nulls first, md5(body)) - 1 as r from said),
+led as (select convs.c, o.r as pos, o.body, o.words from convs join own o on o.c = convs.base and o.r < convs.h),
+turns as materialized (select * from led union all
+    select o.c, o.r - convs.h + (select count(*) from led where led.c = o.c), o.body, o.words
+    from own o join convs on o.c = convs.c where o.r >= convs.h),
+paths as materialized (select c, pos + 1 as d, words,
+    md5(string_agg(md5(body), '' order by pos) over (partition by c order by pos)) as key from turns
+    union all select c, 0, 0, '' from convs),
+last as (select c, max(d) as d from paths group by c),
+nodes as materialized (select p.d, p.key, min(p.c) as conv_id, count(*) as n_convs, min(p.words) as words,
+    coalesce(string_agg(p.c::varchar, ',' order by p.c) filter (p.d = last.d), '') as ended
+    from paths p join last on p.c = last.c group by p.d, p.key),
+links as materialized (select distinct x.d, x.key, y.key as parent from paths x join paths y on x.c = y.c and y.d = x.d - 1),
+kids as materialized (select d - 1 as d, parent as key, count(*) as n from links group by all),
+above as (select n.n_convs, n.words, k.n is null as leaf, p.d, p.key
+    from nodes n join paths p on p.c = n.conv_id and p.d <= n.d left join kids k on k.d = n.d and k.key = n.key),
+sums as (select d, key, count(*) filter (leaf) as n_leaves, sum((n_convs - 1) * words)::bigint as saved_tokens
+    from above group by d, key)
+select n.conv_id, n.d::bigint as depth, u.conv_id as parent_conv_id, n.n_convs, coalesce(k.n, 0)::bigint as n_children,
+       n_leaves, saved_tokens, sha256(n.ended) as ends_sha256
+from nodes n join sums s on s.d = n.d and s.key = n.key left join kids k on k.d = n.d and k.key = n.key
+     left join links l on l.d = n.d and l.key = n.key left join nodes u on u.d = n.d - 1 and u.key = l.parent
+"""
+
+
+@query("op13_conversation_trie", TRIE_SQL)
+def op13(spark, sf):
+    numbered = conversation_trie.number_turns(table(spark, sf, "conversations"))
+    return conversation_trie.trie(*conversation_trie.with_openings(*numbered))
