@@ -33,13 +33,9 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest id, of each class of near copies. Repeated
-    rows of one id are copies too; rows without an id stay."""
-    classes = token_groups.duplicates(docs)
-    kept = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("_kept_id")).distinct()
-    own = F.col("doc_id").cast("long")
-    first = docs.join(kept, own == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id"])
-    return _columns(first, docs).unionByName(docs.filter(own.isNull()))
+    """One document of each class of near copies, the one with the smallest id; every different text of
+    an id is a document. Rows without an id stay."""
+    return token_groups.one_of_each(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,6 +17,7 @@ def deal(rows: DataFrame, key: str, order: list[Column | str]) -> tuple[DataFram
     (all rows of the key): one row per range and key. Nulls come first; rows that tie in ``order``
     get places in no fixed order.
     """
+    rows = stage(rows)  # ranges are drawn from a first scan, which needn't read what made the rows
     ranges = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [F.col(key).asc_nulls_first(), *[c if isinstance(c, Column) else F.col(c).asc_nulls_first() for c in order]]
     at = F.monotonically_increasing_id()
