@@ -14,12 +14,23 @@ from spark_analog.llm import cnn_toxicity, knn_quality, mixing, packing, token_g
 from spark_analog.operators.staging import stage
 
 
+#: Rows of whole texts that are handed to a Python task at once, at most.
+BATCH_ROWS = 1_000
+
+
+def _small_batches(spark: SparkSession) -> None:
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    spark.conf.set(key, str(min(now, BATCH_ROWS) if now > 0 else BATCH_ROWS))
+
+
 def _columns(frame: DataFrame, docs: DataFrame) -> DataFrame:
     return frame.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest-neighbour vote accepts."""
+    _small_batches(spark)
     model = knn_quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored, at = knn_quality.classify(docs, model)
     return _columns(scored.filter(F.col(f"{at}.predicted") == 1), docs)
@@ -27,6 +38,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the convolutional classifier doesn't find toxic."""
+    _small_batches(spark)
     net = cnn_toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored, at = cnn_toxicity.classify(docs, net)
     return _columns(scored.filter(F.col(f"{at}.predicted") == 0), docs)
@@ -35,6 +47,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near copies, the one with the smallest id; every different text of
     an id is a document. Rows without an id stay."""
+    _small_batches(spark)
     return token_groups.one_of_each(docs)
 
 
@@ -45,6 +58,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents and their places in sequences."""
+    _small_batches(spark)
     return packing.pack(docs)
 
 
