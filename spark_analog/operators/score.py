@@ -9,8 +9,7 @@ from spark_analog.defaults import (
     AGREEMENT_GRID, CDF_CLIP, DOUBLE_EPS, FALLBACK_PARAMETERS, FLOAT32_MAX, MAD_CONSISTENCY,
     MEMORY_GRID, SMOOTHING_GRID, TAIL_CAP, TOP_Q_GRID,
 )
-from spark_analog.functions.columns import at_least, axis_values, clip, col, grid_ids, let
-from spark_analog.operators.evaluate import average_precision
+from spark_analog.functions.columns import at_least, axis_values, clip, col, let
 from spark_analog.operators.ordered import quantiles, running_by_value
 from spark_analog.operators.staging import attach, stage
 
@@ -198,41 +197,6 @@ def apply_parameters(parts: DataFrame, parameters: DataFrame, keys=("entity",),
 
 
 # --- selection ----------------------------------------------------------------------------
-def score_grid(parts: DataFrame, labels: DataFrame, group=POINT, top_q=TOP_Q_GRID,
-               memory=MEMORY_GRID, agreement=AGREEMENT_GRID, smoothing=SMOOTHING_GRID,
-               digits: int = 9) -> DataFrame:
-    """Scores of every grid point: ``group, grid_id, score, label``.
-
-    Staged: channels are combined once per (memory, agreement), sorted once for
-    all ``top_q``, smoothed for all widths in one window.  Labels join the points
-    before the grid multiplies them.
-    """
-    segment = [g for g in group if g != "t"]
-    lists = channel_lists(parts, group).join(labels, ["entity", "t"])
-    pair = dict(memory=[float(m) for m in memory], agreement=[float(a) for a in agreement])
-    mixed = lists.select("*", grid_ids(**pair).alias("ma")).select(
-        "*", *axis_values(F.col("ma"), **pair)).select(
-        *group, "label", "ma", F.size("parts").alias("c"), F.sort_array(F.filter(
-            combined(F.col("memory"), F.col("agreement")), lambda x: x.isNotNull()),
-            asc=False).alias("s"))
-
-    def wanted(q):
-        return F.greatest(F.lit(1), F.ceil(F.lit(float(q)) * F.col("c"))).cast("int")
-
-    means = F.array(*[F.struct(F.lit(i).alias("qi"),
-                               _top_mean(F.col("s"), wanted(q), digits).alias("score"))
-                      for i, q in enumerate(top_q)])
-    raw = mixed.select(*group, "label", "ma", F.explode(means).alias("m")).select(
-        *group, "label", "ma", "m.qi", "m.score")
-    smooth = causal_smooth(raw, smoothing, [*segment, "ma", "qi"])
-    n_ma, n_s = len(memory) * len(agreement), len(smoothing)
-    flat = F.explode(F.array(*[F.struct(
-        ((F.col("qi") * n_ma + F.col("ma")) * n_s + i).alias("grid_id"),
-        F.round(f"smooth_{w}", digits).alias("score")) for i, w in enumerate(smoothing)])).alias("x")
-    return smooth.select(*group, "label", flat).select(
-        *group, "label", "x.grid_id", "x.score")
-
-
 def grid_parameters(grid_id: Column, top_q=TOP_Q_GRID, memory=MEMORY_GRID,
                     agreement=AGREEMENT_GRID, smoothing=SMOOTHING_GRID) -> list[Column]:
     """Parameters of a grid point in loop order."""
@@ -242,29 +206,12 @@ def grid_parameters(grid_id: Column, top_q=TOP_Q_GRID, memory=MEMORY_GRID,
                        smoothing=[int(s) for s in smoothing])
 
 
-def objectives(grid_scores: DataFrame, keys=("entity",), selection: str = "aggregate",
-               most: int | None = None) -> DataFrame:
-    """Objective per grid point: AUPRC, or its mean over at least two two-class segments."""
-    keys = list(keys)
-    whole = average_precision(grid_scores, [*keys, "grid_id"], most=most).select(
-        *keys, "grid_id", F.col("auprc").alias("objective"))
-    if selection == "aggregate":
-        return whole.withColumn("blocks", F.lit(0).cast("bigint"))
-    per = average_precision(grid_scores, [*keys, "segment", "grid_id"], most=most)
-    macro = per.groupBy(*keys, "grid_id").agg(F.avg("auprc").alias("__m"),
-                                              F.count("auprc").alias("blocks"))
-    best = F.when(F.col("blocks") >= 2, F.col("__m")).otherwise(F.col("objective"))
-    return whole.join(macro, [*keys, "grid_id"]).select(
-        *keys, "grid_id", F.when(F.col("objective").isNotNull(), best).alias("objective"),
-        "blocks")
-
-
-def select_parameters(grid_scores: DataFrame, keys=("entity",), selection: str = "aggregate",
-                      use_retrieval: bool = True, digits: int = 9, most: int | None = None,
+def select_parameters(scored: DataFrame, keys=("entity",), use_retrieval: bool = True, digits: int = 9,
                       **axes) -> DataFrame:
-    """Best grid point per key, the first in loop order on ties; fixed values without classes."""
+    """Best grid point per key, the first in loop order on ties; fixed values without classes.
+
+    ``scored``: objective of every grid point, as ``grid_search.grid_objectives`` gives it."""
     keys = list(keys)
-    scored = objectives(grid_scores, keys, selection, most)
     best = F.max(F.when(F.col("objective").isNotNull(), F.struct(
         F.round("objective", digits).alias("objective"), (-F.col("grid_id")).alias("neg")))).alias("b")
     fall = FALLBACK_PARAMETERS

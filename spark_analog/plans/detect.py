@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from spark_analog.defaults import (
     AGREEMENT_GRID, INITIAL_GATE, MEMORY_GRID, MEMORY_TEMPERATURE, SMOOTHING_GRID, TOP_Q_GRID,
 )
-from spark_analog.operators import clean, forecast, fuse, memory, retrieve, scale, score, windows
-from spark_analog.operators.staging import attach, largest_group, stage
+from spark_analog.operators import clean, forecast, fuse, grid_search, memory, retrieve, scale, score, windows
+from spark_analog.operators.staging import attach, stage
 from spark_analog.plans.guards import guards, require
 
 
@@ -162,9 +162,9 @@ def choose_and_apply(parts: DataFrame, labels: DataFrame, s: Settings, use_retri
         axes["agreement"] = (0.0,)
     group = ["entity", *extra, "role", "segment", "t"]
     marks = labels.select("entity", "t", "label")
-    grid = score.score_grid(parts.where("role = 'score'"), marks, group, **axes)
-    params = stage(score.select_parameters(grid, keys, s.score_selection, use_retrieval,
-                                           most=largest_group(labels, ["entity"]), **axes))
+    scored = grid_search.grid_objectives(parts.where("role = 'score'"), marks, keys, group,
+                                         selection=s.score_selection, **axes)
+    params = stage(score.select_parameters(scored, keys, use_retrieval, **axes))
     points = score.apply_parameters(parts.where("role = 'test'"), params, keys, group,
                                     axes["smoothing"])
     return points, params
@@ -197,6 +197,7 @@ def detect(series: DataFrame, labels: DataFrame, s: Settings, condition: str = "
     on its labelled validation blocks.  Entities that can't be served raise.
     """
     use = condition == "retrieval"
+    series = stage(series)  # the guards and every step of prepare read it
     check(series, labels, s)
     blocked = prepare(series, s)
     model = forecast.linear_forecaster(blocked.where("role = 'base'"), s.context, s.horizon)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from spark_analog.functions.columns import clip, rounded
-from spark_analog.operators import evaluate, fuse, score
+from spark_analog.operators import evaluate, fuse, grid_search, score
 from spark_analog.operators.staging import attach, stage
 from spark_analog.queries import fixtures as fx
 from spark_analog.queries.q_fusion import WKEY, fused
@@ -282,10 +282,9 @@ ap_sql("grid_ap", "gridded", "entity, grid_id")
 ap_sql("grid_ap_seg", "gridded", "entity, segment, grid_id")
 
 
-@memo
-def grid(spark, sf):
-    return stage(score.score_grid(parts(spark, sf).where("role = 'score'"),
-                                  fx.labels_hourly(spark, sf), **AXES))
+def objectives(spark, sf, selection, **axes):
+    return grid_search.grid_objectives(parts(spark, sf).where("role = 'score'"), fx.labels_hourly(spark, sf),
+                                       selection=selection, **axes)
 
 
 @query("select_score_params", sql("grid_ap", """
@@ -302,7 +301,7 @@ def grid(spark, sf):
          case when g is null then 1 else ([1, 3])[(g % 2 + 1)::int] end::int as smoothing,
          round(auprc + 1.3e-9, 6) + 0.0 as objective from p"""))
 def select_score_params(spark, sf):
-    best = score.select_parameters(grid(spark, sf), **AXES)
+    best = score.select_parameters(objectives(spark, sf, "aggregate", **AXES), **AXES)
     return best.withColumn("objective", rounded("objective")).withColumn(
         "grid_id", F.col("grid_id").cast("bigint"))
 
@@ -315,20 +314,15 @@ def select_score_params(spark, sf):
            + 1.3e-9, 6) + 0.0 as objective
   from grid_ap join m using (entity, grid_id)"""))
 def macro_block_auprc(spark, sf):
-    o = score.objectives(grid(spark, sf), selection="macro_block")
+    o = objectives(spark, sf, "macro_block", **AXES)
     return o.select("entity", F.col("grid_id").cast("bigint").alias("grid_id"), "blocks",
                     rounded("objective").alias("objective"))
 
 
-@memo
-def whole_grid(spark, sf):
-    return stage(score.score_grid(parts(spark, sf).where("role = 'score'"), fx.labels_hourly(spark, sf)))
-
-
 @query("select_score_params_all")
 def select_score_params_all(spark, sf):
     """As select_score_params, over all grid points of defaults.py, as detect does; no SQL."""
-    best = score.select_parameters(whole_grid(spark, sf))
+    best = score.select_parameters(objectives(spark, sf, "aggregate"))
     return best.withColumn("objective", rounded("objective")).withColumn(
         "grid_id", F.col("grid_id").cast("bigint"))
 
@@ -336,7 +330,7 @@ def select_score_params_all(spark, sf):
 @query("macro_block_auprc_all")
 def macro_block_auprc_all(spark, sf):
     """As macro_block_auprc, over all grid points of defaults.py; no SQL."""
-    o = score.objectives(whole_grid(spark, sf), selection="macro_block")
+    o = objectives(spark, sf, "macro_block")
     return o.select("entity", F.col("grid_id").cast("bigint").alias("grid_id"), "blocks",
                     rounded("objective").alias("objective"))
 

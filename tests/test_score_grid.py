@@ -54,3 +54,46 @@ def test_all_grid_points_equal_a_loop(spark, monkeypatch):
         best = max(round(v, 9) for (e, _), v in whole.items() if e == r.entity)
         assert r.grid_id == min(g for (e, g), v in whole.items() if e == r.entity and round(v, 9) == best)
         assert (r.top_q, r.memory_weight, r.agreement_weight, r.smoothing) == list(itertools.product(*axes))[r.grid_id]
+
+
+def test_blocks_pieces_and_shares_change_nothing(spark):
+    from spark_analog.operators.grid_search import Sizes, grid_objectives
+    rng = random.Random(2)
+    rows, marks = [], []
+    for entity, segment, t in itertools.product("ab", [0, 3], range(40)):
+        t = t if segment == 0 else 60 + t
+        marks.append((entity, t, None if t % 11 == 0 else int(rng.random() < 0.3)))
+        for c in range(0 if t == 7 else 3):
+            gone = rng.random() < 0.1 or t == 8
+            rows.append((entity, "score", segment, t, None if gone else round(rng.random() * 4) / 4,
+                         round(rng.random(), 1), None if rng.random() < 0.05 else round(rng.random(), 1)))
+    parts = spark.createDataFrame(rows, "entity string, role string, segment int, t long, residual double, memory double, agreement double")
+    labels = spark.createDataFrame(marks, "entity string, t long, label int")
+    axes = dict(top_q=(0.2, 1.0), memory=(0.0, 0.5), agreement=(0.0, 1.0), smoothing=(1, 5))
+    truth = {(e, t): y for e, t, y in marks}
+    for selection in ("aggregate", "macro_block"):
+        want = {}
+        for g, (q, m, a, w) in enumerate(itertools.product(*axes.values())):
+            for e in "ab":
+                by = {}
+                for e2, _, seg, t, *v in rows:
+                    if e2 == e:
+                        by.setdefault((seg, t), []).append(None if None in v else v[0] + m * v[1] + a * v[2])
+                raw = {}
+                for key, v in by.items():
+                    top = sorted([x for x in v if x is not None], reverse=True)[:max(1, math.ceil(q * len(v)))]
+                    raw[key] = sum(top) / len(top) if top else None
+                points = {}
+                for seg, t in raw:
+                    near = [raw[seg, u] for u in range(t - w + 1, t + 1) if raw.get((seg, u)) is not None]
+                    if truth[e, t] is not None and near:
+                        points.setdefault(seg, []).append((round(sum(near) / len(near), 9), truth[e, t]))
+                each = [average_precision(p) for p in points.values() if 0 < sum(y for _, y in p) < len(p)]
+                want[e, g] = sum(each) / len(each) if selection == "macro_block" and len(each) > 1 else \
+                    average_precision(sum(points.values(), []))
+        for sizes in (Sizes(), Sizes(span=8, positives=3, blocks=2, added=2)):
+            got = grid_objectives(parts, labels, selection=selection, sizes=sizes, **axes).collect()
+            assert {(r.entity, r.grid_id): r.objective for r in got} == pytest.approx(want, abs=1e-9)
+    one = grid_objectives(parts, labels.withColumn("label", labels.label * 0), **axes).collect()
+    assert len(one) == 32 and all(r.objective is None for r in one)
+    assert grid_objectives(parts.limit(0), labels, **axes).count() == 0
