@@ -21,9 +21,10 @@ different vectors. The result is exact in any case.
 
 Results in special cases: null labels, and null, empty or zero vectors, or those
 with a null, NaN or infinite component, link with nothing; vectors of different
-length don't link; repeated rows of one id are one vector, the first in order of
-label and vector; a null id is never linked; an empty table gives no rows; extra
-columns are ignored.
+length don't link; every row is a vector of its own, also where its id repeats or is
+null, and counts as a link of the others; a component is named after the smallest id
+in it, null if it has none, and a row without id is never kept; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -180,25 +181,25 @@ def near_duplicates(vectors: DataFrame, settings: Settings = Settings(), vec_id:
     spark = vectors.sparkSession
     given = vectors.select(F.col(f"`{vec_id}`").cast("long").alias("id"), F.col(f"`{label}`").alias("label"),
                            F.col(f"`{embedding}`").alias("v"))
-    # one row for each id; the vector itself only breaks ties
-    one = given.groupBy("id").agg(F.min(F.struct("label", "v")).alias("m")).select("id", "m.label", "m.v")
-    units = stage(_units(one).withColumn("key", F.when(
-        F.col("u").isNotNull() & F.col("label").isNotNull() & F.col("id").isNotNull(), F.md5("u"))))
+    units = stage(_units(given).withColumn("key", F.when(F.col("u").isNotNull() & F.col("label").isNotNull(), F.md5("u"))))
     usable = units.filter("key is not null")
+    # ids may repeat or be missing, so equal vectors of a label go by 63 bits of a hash of both
     reps = stage(usable.groupBy("label", "key").agg(
-        F.min("id").alias("rep"), F.count("*").alias("count"), F.first("u").alias("u")))
+        F.min("id").alias("least"), F.count("*").alias("count"), F.first("u").alias("u"))
+        .withColumn("rep", F.shiftrightunsigned(F.xxhash64("label", "key"), 1)))
     axes = spark.sparkContext.broadcast(principal_axes(reps))
     blocks = _blocks(reps, axes, s)
     pairs = _descend(blocks, s)
     found = _link(blocks, pairs, axes, s)
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     added = found.groupBy("rep").agg(F.sum("add").alias("add"))
-    classes = (reps.select("label", "key", "rep", "count").join(added, "rep", "left")
-               .join(parts.withColumnRenamed("id", "rep"), "rep", "left")
-               .select("label", "key", (F.col("count") - 1 + F.coalesce("add", F.lit(0))).alias("n_links"),
-                       F.coalesce("component", "rep").alias("component_id")))
-    out = units.join(stage(classes), ["label", "key"], "left")
-    component = F.coalesce("component_id", "id")
+    classes = stage(reps.select("label", "key", "rep", "count", "least").join(added, "rep", "left")
+                    .join(parts.withColumnRenamed("id", "rep"), "rep", "left")
+                    .select("label", "key", (F.col("count") - 1 + F.coalesce("add", F.lit(0))).alias("n_links"),
+                            F.coalesce("component", "rep").alias("class"), "least"))
+    named = classes.groupBy("class").agg(F.min("least").alias("component_id"))
+    out = units.join(stage(classes.drop("least").join(named, "class")), ["label", "key"], "left")
+    component = F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias("vec_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
                       component.cast("long").alias("component_id"),
                       F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))

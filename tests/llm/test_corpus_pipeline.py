@@ -116,11 +116,14 @@ def test_contract_columns(spark, name):
         "op5": "doc_id n_shingles component_id", "op6": "doc_id held_out score predicted",
         "op7": "page_id payload_bytes payload_digest record_type refers_to", "op8": "page_id host path rule verdict",
         "op9": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
-        "op10": "doc_id size source_size target taken"}
+        "op10": "doc_id size source_size target taken",
+        "op11": "doc_id leaf subroot root proof_sha256 folded_root verified", "op12": "doc_id n_lines n_dropped kept_sha256",
+        "op13": "conv_id depth parent_conv_id n_convs n_children n_leaves saved_tokens ends_sha256"}
     df = QUERIES[name](spark, SF)
     kinds = dict(df.dtypes)
     assert set(want[name.split("_")[0]].split()) <= set(kinds)
-    longs = "n_links component_id start length ids_crc32 sequence_id offset n_tokens n_known train_tokens n_shingles payload_bytes size source_size taken n_words"
+    longs = "n_links component_id start length ids_crc32 sequence_id offset n_tokens n_known train_tokens n_shingles payload_bytes size source_size taken n_words " \
+        "n_lines n_dropped depth parent_conv_id n_convs n_children n_leaves saved_tokens"
     assert all(kinds[c] == "bigint" for c in longs.split() if c in kinds)
     assert all(kinds[c] == "double" for c in ("score", "base_score", "target") if c in kinds)
     assert all(kinds[c] == "int" for c in ("piece", "predicted") if c in kinds)

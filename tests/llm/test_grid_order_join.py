@@ -62,10 +62,20 @@ def test_repeated_rows_clashing_columns_and_empty(spark):
     rows = [(1, [1.0, 0.0], 1, 9), (1, [1.0, 0.0], 1, 8), (2, [1.0, 0.01], 1, 7), (None, [1.0, 0.0], 1, 0)]
     df = spark.createDataFrame(rows, SCHEMA + ", n_links long")
     got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in gj.near_duplicates(df).collect()), key=str)
-    assert got == [(1, 1, 1, True), (2, 1, 1, False), (None, 0, None, False)]
+    assert got == [(1, 3, 1, True), (1, 3, 1, True), (2, 3, 1, False), (None, 3, 1, False)]
     assert gj.near_duplicates(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_every_row_is_compared_whatever_its_id(spark):
+    rows = [(None, [1.0, 0.0], 1), (None, [0.0, 1.0], 1), (1, [1.0, 0.02], 1), (1, [0.7, -0.7], 1), (2, [0.71, -0.7], 1),
+            (5, [-1.0, 0.0], 1), (None, [-1.0, 0.01], 1), (None, [0.0, 0.0], 1), (None, [1.0, 0.0], 2), (7, None, 1)]
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in
+                  gj.near_duplicates(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
+    assert got == sorted([(None, 1, 1, False), (None, 0, None, False), (1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False),
+                          (5, 1, 5, True), (None, 1, 5, False), (None, 0, None, False), (None, 0, None, False),
+                          (7, 0, 7, True)], key=str)
+
+
 def test_forest_keeps_links_of_earlier_leaves():
     links = gj.Links(10)
     links.join(np.array([5]), np.array([9]))
