@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from spark_analog.operators import evaluate, forecast, fuse, retrieve, score
 from spark_analog.operators.staging import stage
 from spark_analog.plans.detect import (
-    Settings, build_memory, choose_and_apply, forecast_windows, global_windows, label_points,
+    Settings, build_memory, check, choose_and_apply, forecast_windows, global_windows, label_points,
     prepare, scored_parts,
 )
 
@@ -47,11 +47,13 @@ VARIANTS = ("full", "no_boundary_samples", "no_channelwise_retrieval", "no_candi
 
 
 def components(series: DataFrame, labels: DataFrame, s: Settings) -> DataFrame:
-    """Metrics and selected parameters per (entity, variant).
+    """Metrics and selected parameters per (entity, variant). Entities that can't be served raise.
 
     Removing the distance also fixes its score weight at zero; removing the
     divergence does the same for agreement.
     """
+    series = stage(series)
+    check(series, labels, s)
     frames = variant_frames(series, s)
     keys = ["entity", "variant"]
     parts = scored_parts(frames, True, [*keys, "channel"], GROUP, most=s.train_stop * s.horizon or None)

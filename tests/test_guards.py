@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from spark_analog.operators import fuse, ledger
 from spark_analog.operators.clean import label_column
+from spark_analog.plans.ablation import components
 from spark_analog.plans.detect import Settings, detect
 from spark_analog.plans.guards import guards
 from spark_analog.sources import files, layouts
@@ -26,6 +27,12 @@ def test_a_short_entity_raises_by_name(spark):
         detect(series, labels, S)
 
 
+def test_the_ablation_raises_too(spark):
+    series, labels = frames(spark, {"long": 460, "short": 310})
+    with pytest.raises(ValueError, match="short: no test block"):
+        components(series, labels, S)
+
+
 def test_a_channel_without_training_values_raises(spark):
     series, labels = frames(spark, {"x": 460}, {("x", "b")})
     with pytest.raises(ValueError, match="x: channel in one half only; x: channel without training value"):
