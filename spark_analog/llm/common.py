@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +41,21 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+#: Empties what an operator keeps in a Python worker from task to task.
+KEPT: list[Callable[[], None]] = []
+
+
+def release() -> None:
+    """Free what other operators left behind in this Python worker, which Spark uses for one after the other."""
+    for clear in KEPT:
+        clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library: it keeps what it has freed
+
+
 def annotate(df: DataFrame, make: Callable[[], Callable[[list], dict[str, np.ndarray]]],
              fields: T.StructType, text: str = "text", into: str = "result",
              keep: list[str] | None = None) -> tuple[DataFrame, str]:
@@ -58,6 +74,7 @@ def annotate(df: DataFrame, make: Callable[[], Callable[[list], dict[str, np.nda
     kinds = [(f.name, to_arrow_type(f.dataType)) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         kernel = make()
         for batch in batches:
             if not batch.num_rows:

@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spark_analog.llm.common import KEPT
 from spark_analog.operators.staging import stage
 
 
@@ -179,6 +180,9 @@ def word_ids(path: str | None) -> WordIds:
     return WordIds(path)
 
 
+KEPT.append(word_ids.cache_clear)
+
+
 #: Words tokenised together; bounds what one slice holds.
 SLICE = 300_000
 

@@ -50,7 +50,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spark_analog.llm.common import WordHashes, annotate, chain, mix
+from spark_analog.llm.common import WordHashes, annotate, chain, mix, release
 from spark_analog.llm.components import components
 from spark_analog.operators.staging import stage
 
@@ -240,6 +240,7 @@ def in_bitmap(known: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
 def _scan(docs: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame]:
     """(id, n, sid, leads) of every row, leads being its smallest tokens, and (token, count) of tokens common within a task."""
     def run(batches):
+        release()
         hashes = WordHashes()
         held, size = [], 0
 
@@ -296,6 +297,7 @@ def _some_sets(docs: DataFrame, wanted: DataFrame, s: Settings) -> DataFrame:
     some = docs.sparkSession.sparkContext.broadcast(bitmap(wanted.select("id"), "id", s.bitmap_bits))
 
     def run(batches):
+        release()
         hashes = WordHashes()
         for b in batches:
             ids, sids, sets = [], [], []
@@ -464,6 +466,7 @@ def _sorted_sets(docs: DataFrame, order, crowded, alone: bool, s: Settings) -> D
     """Of documents alone with their smallest token: id, sid, n and the searched tokens; of the
     others: id, sid, n and the whole set in order, as bytes."""
     def run(batches):
+        release()
         hashes = WordHashes()
         for b in batches:
             ids, sids, sets = [], [], []
