@@ -36,8 +36,11 @@ TERMS = WORDS + SHAPES + MARKS
 @dataclass(frozen=True)
 class Settings:
     """``sample`` bounds the labelled rows of the fit (as many of each label at most as
-    its half allows); ``block`` is how many documents are compared at once."""
+    its half allows), ``most_bytes`` their texts: one longer than its equal share of them (44,739
+    bytes) is not learned from. Every text is scored whole. ``block`` is how many documents are
+    compared at once."""
     sample: int = 6000
+    most_bytes: int = 1 << 28
     rank: int = 64
     neighbours: int = 25
     sharpness: float = 4.0
@@ -155,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality",
         settings: Settings = Settings(), text: str = "text", doc_id: str = "doc_id") -> Model:
     s = settings
     ids = training_ids(labels, label, {0: s.sample // 2, 1: s.sample // 2}, s.folds, doc_id)
-    rows = training_texts(docs, ids, doc_id, text)
+    rows = training_texts(docs, ids, s.most_bytes // s.sample, doc_id, text)
 
     def counted(batches):
         codes = Codes(term_code)

@@ -67,10 +67,14 @@ def _split_kernel():
     return run
 
 
-def _bounds(urls: DataFrame, runs: int) -> list[bytes]:
-    """runs - 1 sorted sort keys (host key, then path) from a sample of ids by hash."""
-    keys = [bytes(r.k) for r in urls.orderBy(F.xxhash64(F.col("id").cast("string"), F.lit("url")), "k")
-            .select("k").limit(SAMPLE).collect()]
+def _bounds(urls: DataFrame, rows: int, runs: int) -> list[bytes]:
+    """runs - 1 sorted sort keys (host key, then path) from a sample of about SAMPLE of all ``rows``:
+    those whose hash lies below a limit set beforehand; a repeated row counts once, so all tasks
+    together send no more than the sample."""
+    mark = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")), "k", F.lit("url"))
+    limit = int(min(1.0, SAMPLE / max(1, rows)) * 2 ** 64) - 2 ** 63
+    keys = [bytes(r.k) for r in urls.select("k", mark.alias("h")).filter(F.col("h") <= min(limit, 2 ** 63 - 1))
+            .distinct().collect()]
     keys.sort()
     return [keys[i * len(keys) // runs] for i in range(1, runs)] if keys else []
 
@@ -87,7 +91,7 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", url: str =
     # the bound has a zero byte between host and path, so hosts sort before longer hosts
     urls = urls.withColumn("k", F.substring(
         F.concat("key", F.lit(b"\x00"), "path"), 1, KEY_BYTES))
-    bounds = spark.sparkContext.broadcast(_bounds(urls, runs))
+    bounds = spark.sparkContext.broadcast(_bounds(urls, pages.count(), runs))
 
     schema = (f"run int, key binary, kind int, k binary, id {id_type}, host binary, path binary, "
               "verdict string")
