@@ -15,6 +15,8 @@ from spark_analog.operators.staging import largest_group, stage
 
 PIECE_ROWS = 500_000
 DIRECT_ROWS = 1_000_000
+#: Pieces of a key at most, a power of two; a key with more rows than so many pieces hold has larger ones.
+CUTS = 1_024
 
 
 def running_sums(df: DataFrame, keys, piece, order, sums: dict[str, str],
@@ -50,28 +52,120 @@ def time_rank(df: DataFrame, keys, time: str, out: str, span: int = 65_536) -> D
     return ranked.drop("__one", "__piece")
 
 
-def _octave(v: Column) -> Column:
-    """Monotone coarse bin of a double: eight bins per power of two and sign."""
-    up = F.floor(F.log2(F.abs(v)) * 8) + 10_000
-    return F.when(v == 0, F.lit(0)).when(v > 0, up).otherwise(-up).cast("bigint")
+def value_cuts(df: DataFrame, keys, value: str, rows: int = PIECE_ROWS) -> DataFrame:
+    """``__cuts`` per key: ascending values with about ``rows`` rows, or a ``CUTS``-th of the key's
+    rows if that is more, from one to the next.  A value with more rows than that is a cut itself.
+
+    The sketch is staged, so every branch of a plan cuts alike; where the cuts lie decides the
+    balance only.
+    """
+    probs = [i / CUTS for i in range(1, CUTS)]
+    sketch = df.groupBy(*keys).agg(F.count("*").alias("__n"),
+                                   F.percentile_approx(value, probs, 20 * CUTS).alias("__all"))
+    pieces = F.least(F.lit(CUTS), F.ceil(F.col("__n") / rows)).cast("int")
+    picked = F.transform(F.sequence(F.lit(1), pieces - 1), lambda i: F.get(
+        F.col("__all"), F.floor(i * CUTS / pieces).cast("int") - 1))
+    none = F.slice("__all", 1, 0)
+    return stage(sketch.select(
+        *keys, F.when(pieces > 1, F.array_distinct(picked)).otherwise(none).alias("__cuts")))
+
+
+def cuts_below(x: Column, cuts: Column) -> Column:
+    """Number of cuts less than ``x``: a binary search that halves its step."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range((CUTS - 1).bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.get(cuts, at + step - 1) < x, at + step).otherwise(at))
 
 
 def value_pieces(df: DataFrame, keys, value: str, rows: int = PIECE_ROWS) -> DataFrame:
-    """Add ``__oct, __sub``: value-ordered pieces of about ``rows`` rows each.
+    """Add ``__piece``: value-ordered pieces of about ``rows`` rows each, cut at measured ranks.
 
-    The cut is a function of exact counts and extremes only, so every branch of
-    a plan that computes it agrees.
+    ``df`` is staged and has one row per (key, value).
     """
     keys = list(keys)
-    binned = df.withColumn("__oct", _octave(F.col(value)))
-    stats = stage(binned.groupBy(*keys, "__oct").agg(
-        F.ceil(F.count("*") / rows).alias("__nb"),
-        F.min(value).alias("__mn"), F.max(value).alias("__mx")))
-    inside = (F.col(value) - F.col("__mn")) / (F.col("__mx") - F.col("__mn"))
-    sub = F.when((F.col("__nb") > 1) & (F.col("__mx") > F.col("__mn")),
-                 F.floor(inside * F.col("__nb"))).otherwise(F.lit(0))
-    return binned.join(stats, keys + ["__oct"]).select(
-        *df.columns, "__oct", sub.cast("bigint").alias("__sub"))
+    return df.join(value_cuts(df, keys, value, rows), keys).select(
+        *df.columns, cuts_below(F.col(value), F.col("__cuts")).alias("__piece"))
+
+
+def _placed(df: DataFrame, cuts: DataFrame, keys: list) -> DataFrame:
+    """Piece ``__p`` of ``__x`` and whether it lies ``__on`` the cut that ends the piece; missing: -1."""
+    at = F.coalesce(cuts_below(F.col("__x"), F.col("__cuts")), F.lit(0))
+    own = df.join(cuts, keys, "left").withColumn(
+        "__p", F.when(F.col("__x").isNull(), F.lit(-1)).otherwise(at))
+    on = (F.col("__p") >= 0) & (F.get("__cuts", "__p") == F.col("__x"))
+    return own.withColumn("__on", F.coalesce(on, F.lit(False))).drop("__cuts")
+
+
+def _dealt(values: DataFrame, reference: DataFrame, keys: list, value: str, rows: int
+           ) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Values and reference rows dealt to (piece, salt) in one frame, the reference by piece, and the
+    table of pieces: reference rows before, inside and on the end of a piece, all of the key, values."""
+    ref = reference.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__x"))
+    cuts = value_cuts(ref, keys, "__x", rows)
+    refs = _placed(ref, cuts, keys)
+    own = _placed(values.withColumn("__x", F.col(value)), cuts, keys)
+    marks = refs.select(*keys, "__p", "__on", F.lit(True).alias("__r")).unionByName(
+        own.select(*keys, "__p", "__on", F.lit(False).alias("__r")))
+    count = marks.groupBy(*keys, "__p").agg(
+        F.count_if(F.col("__r") & ~F.col("__on")).alias("__in"),
+        F.count_if(F.col("__r") & F.col("__on")).alias("__end"),
+        F.count_if(~F.col("__r")).alias("__v"))
+    whole = Window.partitionBy(*keys)
+    before = whole.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    both = F.col("__in") + F.col("__end")
+    book = stage(count.select(
+        "*", F.coalesce(F.sum(both).over(before), F.lit(0)).alias("__base"),
+        F.sum(both).over(whole).alias("__n"), F.ceil(F.col("__v") / rows).alias("__salts")))
+    plain = [c for c, kind in values.dtypes if not kind.startswith(("array", "map", "struct"))]
+    salt = F.when(F.col("__salts") > 1, F.pmod(F.xxhash64(*plain), F.col("__salts"))).otherwise(F.lit(0))
+    dealt = own.join(book, keys + ["__p"], "left").withColumn("__salt", salt.cast("bigint")).withColumn(
+        "__ref", F.lit(0))
+    met = refs.where(~F.col("__on")).join(book.where("__v > 0"), keys + ["__p"]).select(
+        *keys, "__p", "__x", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__salts") - 1)).alias("__salt"),
+        F.lit(1).alias("__ref"))
+    return dealt.unionByName(met, allowMissingColumns=True), refs, book
+
+
+def ranks_among(values: DataFrame, reference: DataFrame, keys, value: str, rank: str, size: str,
+                rows: int = PIECE_ROWS) -> DataFrame:
+    """Add ``rank``, the reference rows of the key that are at most the value, and ``size``, all of
+    them (NULL if there are none).  A missing value ranks as the upper median of the reference.
+
+    Only the reference is ranked.  It is cut at measured ranks; values are dealt by the same cuts
+    and sorted with their piece, so values are shuffled once, by piece and never by value.  Reference
+    rows on a cut, which may be very many, are counted and don't travel.  A piece with many values is
+    salted: its values are dealt by a hash of the row, its reference rows go to every salt.  As a salt
+    has ``rows`` values, the copies are at most as many as values and reference rows together while
+    pieces keep to ``rows``.
+    """
+    keys = list(keys)
+    dealt, refs, book = _dealt(values, reference, keys, value, rows)
+    upto = Window.partitionBy(*keys, "__p", "__salt").orderBy("__x").rangeBetween(
+        Window.unboundedPreceding, Window.currentRow)
+    done = dealt.withColumn("__below", F.sum("__ref").over(upto)).where("__ref = 0")
+    found = F.col("__base") + F.when(
+        F.col("__on"), F.col("__in") + F.col("__end")).otherwise(F.col("__below"))
+    missing = book.where("__p = -1 and __n > 0").select(*keys)
+    if missing.isEmpty():
+        middle = F.lit(None).cast("bigint")
+    else:
+        done, middle = done.join(_upper_median_rank(refs, book, missing, keys), keys, "left"), F.col("__mid")
+    return done.select(*values.columns, F.when(F.col("__x").isNull(), middle).otherwise(found).alias(rank),
+                       F.nullif("__n", F.lit(0)).alias(size))
+
+
+def _upper_median_rank(refs: DataFrame, book: DataFrame, wanted: DataFrame, keys: list) -> DataFrame:
+    """``__mid``: reference rows at most the upper median; only the piece that holds it is read."""
+    spot = book.where("__base <= __n div 2 and __n div 2 < __base + __in + __end").join(
+        wanted, keys, "left_semi")
+    at_end = spot.where("__n div 2 >= __base + __in").select(
+        *keys, (F.col("__base") + F.col("__in") + F.col("__end")).alias("__mid"))
+    counted = refs.where(~F.col("__on")).join(spot.where("__n div 2 < __base + __in"), keys + ["__p"]).groupBy(
+        *keys, "__base", "__n", "__x").agg(F.count("*").alias("__c"))
+    upto = Window.partitionBy(*keys).orderBy("__x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = counted.withColumn("__mid", F.col("__base") + F.sum("__c").over(upto)).where(
+        "__mid > __n div 2").groupBy(*keys).agg(F.min("__mid").alias("__mid"))
+    return stage(at_end.unionByName(inside))
 
 
 def running_by_value(df: DataFrame, keys, value: str, sums: dict[str, str],
@@ -88,8 +182,7 @@ def running_by_value(df: DataFrame, keys, value: str, sums: dict[str, str],
         return df.select("*", *[F.sum(c).over(run).alias(o) for o, c in sums.items()])
     src = df.withColumn("__v", -F.col(value) if descending else F.col(value))
     pieces = value_pieces(src, keys, "__v", rows)
-    return running_sums(pieces, keys, ["__oct", "__sub"], ["__v"], sums).drop(
-        "__oct", "__sub", "__v")
+    return running_sums(pieces, keys, ["__piece"], ["__v"], sums).drop("__piece", "__v")
 
 
 def quantiles(df: DataFrame, keys, value: str, probs, out, direct_rows: int = DIRECT_ROWS,

@@ -10,7 +10,7 @@ from spark_analog.defaults import (
     MEMORY_GRID, SMOOTHING_GRID, TAIL_CAP, TOP_Q_GRID,
 )
 from spark_analog.functions.columns import at_least, axis_values, clip, col, let
-from spark_analog.operators.ordered import quantiles, running_by_value
+from spark_analog.operators.ordered import PIECE_ROWS, quantiles, ranks_among
 from spark_analog.operators.staging import attach, stage
 
 WINDOW = ("entity", "role", "segment", "channel", "w")
@@ -84,31 +84,18 @@ def overlap_add(steps: DataFrame, values, keys=("entity", "role", "segment", "ch
 
 # --- calibration --------------------------------------------------------------------------
 def calibrate(values: DataFrame, reference: DataFrame, value: str, out: str, tail: bool,
-              keys=CHANNEL) -> DataFrame:
+              keys=CHANNEL, rows: int = PIECE_ROWS) -> DataFrame:
     """Empirical distribution of ``reference`` applied to ``values``.
 
     ``cdf = (#ref <= x + 0.5) / (n + 1)`` clipped; tail score ``-log(1 - cdf)``
-    or agreement ``1 - cdf``.  A missing value takes the upper median.  One
-    histogram of both sides replaces a range join.
+    or agreement ``1 - cdf``.  A missing value takes the upper median; without a reference the
+    score is 0 and the agreement 0.5.
     """
-    keys = list(keys)
-    ref = reference.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("__x"), F.lit(1).cast("bigint").alias("__ref"))
-    cur = values.where(F.col(value).isNotNull()).select(
-        *keys, F.col(value).alias("__x"), F.lit(0).cast("bigint").alias("__ref"))
-    hist = stage(ref.unionByName(cur).groupBy(*keys, "__x").agg(F.sum("__ref").alias("__c")))
-    run = running_by_value(hist, keys, "__x", {"__cum": "__c"})
-    size = hist.groupBy(*keys).agg(F.sum("__c").alias("__n"))
-    upper = run.join(size, keys).where("__cum > __n div 2").groupBy(*keys, "__n").agg(
-        F.min("__cum").alias("__mid"))
-    ranked = run.select(*keys, "__x", "__cum").where("__x is not null")
-    joined = attach(values.withColumn("__x", F.col(value)).join(ranked, keys + ["__x"], "left"),
-                    upper, keys, "left")
-    rank = F.coalesce("__cum", "__mid")
-    cdf = clip((rank + F.lit(0.5)) / (F.col("__n") + F.lit(1.0)), CDF_CLIP, 1.0 - CDF_CLIP)
+    ranked = ranks_among(values, reference, keys, value, "__rank", "__size", rows)
+    cdf = clip((F.col("__rank") + F.lit(0.5)) / (F.col("__size") + F.lit(1.0)), CDF_CLIP, 1.0 - CDF_CLIP)
     score = clip(-F.log1p(-cdf), 0.0, TAIL_CAP) if tail else F.lit(1.0) - cdf
     empty = F.lit(0.0 if tail else 0.5)
-    return joined.select(*values.columns, F.coalesce(score, empty).alias(out))
+    return ranked.select(*values.columns, F.coalesce(score, empty).alias(out))
 
 
 # --- components and combination ---------------------------------------------------------------

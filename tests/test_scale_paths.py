@@ -123,7 +123,7 @@ def test_windows_do_not_depend_on_the_block(spark, stride, cap):
         assert np.array_equal(r["fut"], values[r["w"]:r["w"] + 3])
 
 
-def test_calibration_in_pieces_and_with_missing_values(spark, monkeypatch):
+def test_calibration_in_pieces_and_with_missing_values(spark):
     rng = np.random.default_rng(4)
     ref = pd.DataFrame({"entity": "e", "channel": "c", "x": np.round(rng.gamma(2, 1, 400), 2)})
     cur = pd.DataFrame({"entity": "e", "channel": ["c"] * 50 + ["new"] * 3,
@@ -132,10 +132,7 @@ def test_calibration_in_pieces_and_with_missing_values(spark, monkeypatch):
     q = q.withColumn("x", F.when(F.col("id") != 7, F.col("x")))
     srt = np.sort(ref["x"])
     for rows in (500_000, 25):
-        real = ordered.running_by_value
-        monkeypatch.setattr(score, "running_by_value",
-                            lambda d, k, v, s, _r=real, _n=rows: _r(d, k, v, s, rows=_n))
-        got = score.calibrate(q, r, "x", "s", True).toPandas().set_index("id")["s"]
+        got = score.calibrate(q, r, "x", "s", True, rows=rows).toPandas().set_index("id")["s"]
         for i, row in cur.iterrows():
             if row["channel"] == "new":
                 assert got[i] == 0.0
@@ -143,4 +140,68 @@ def test_calibration_in_pieces_and_with_missing_values(spark, monkeypatch):
             x = srt[len(srt) // 2] if i == 7 else row["x"]
             cdf = np.clip((np.searchsorted(srt, x, side="right") + 0.5) / 401, 1e-5, 1 - 1e-5)
             assert got[i] == pytest.approx(-np.log1p(-cdf))
-        monkeypatch.setattr(score, "running_by_value", real)
+
+
+def ranked_frames(spark):
+    """A reference with a value of 60 % of its rows, and values 90 % of which are equal."""
+    rng = np.random.default_rng(9)
+    x = np.concatenate([rng.lognormal(0, 4, 700), -rng.lognormal(0, 4, 300), np.full(1500, 3.5), [0.0, -0.0, 1e300]])
+    ref = pd.DataFrame({"k": "a", "x": x})
+    ref = pd.concat([ref, pd.DataFrame({"k": "b", "x": rng.integers(0, 5, 60).astype(float)}),
+                     pd.DataFrame({"k": "c", "x": [7.0]})])
+    few = np.concatenate([rng.choice(x, 200), rng.lognormal(0, 4, 200), [-1e300, 1e301, 3.5, 0.0]])
+    cur = pd.concat([pd.DataFrame({"k": "a", "x": np.concatenate([np.full(3600, 0.123), few])}),
+                     pd.DataFrame({"k": "b", "x": np.arange(-1, 7).astype(float)}),
+                     pd.DataFrame({"k": "c", "x": [6.0, 7.0, 8.0]}), pd.DataFrame({"k": "none", "x": [1.0, 2.0]})])
+    cur["id"], cur["more"] = range(len(cur)), "m"
+    q = spark.createDataFrame(cur).repartition(6).withColumn("list", F.array("id"))
+    q = q.withColumn("x", F.when(F.col("id") % 97 != 5, F.col("x")))
+    return ref, q, spark.createDataFrame(ref).repartition(5)
+
+
+@pytest.mark.parametrize("rows", [1, 40, 500, 10_000])
+def test_ranks_among_a_reference_equal_a_binary_search(spark, rows):
+    ref, q, r = ranked_frames(spark)
+    out = ordered.ranks_among(q, r, ["k"], "x", "rank", "size", rows)
+    assert out.columns == ["k", "x", "id", "more", "list", "rank", "size"]
+    got = out.collect()
+    assert sorted(g["id"] for g in got) == list(range(q.count()))
+    by = {k: np.sort(g["x"]) for k, g in ref.groupby("k")}
+    for g in got:
+        if g["k"] == "none":
+            assert g["size"] is None
+            continue
+        have = by[g["k"]]
+        x = have[len(have) // 2] if g["x"] is None else g["x"]
+        assert (g["rank"], g["size"]) == (np.searchsorted(have, x, side="right"), len(have)), g
+
+
+def test_ranks_without_rows(spark):
+    _, q, r = ranked_frames(spark)
+    assert ordered.ranks_among(q.limit(0), r, ["k"], "x", "rank", "size").count() == 0
+    bare = ordered.ranks_among(q, r.limit(0), ["k"], "x", "rank", "size")
+    assert bare.where("size is not null").count() == 0 and bare.count() == q.count()
+    gone = ordered.ranks_among(q, r.withColumn("x", F.lit(None).cast("double")), ["k"], "x", "rank", "size")
+    assert gone.where("size is not null").count() == 0 and gone.count() == q.count()
+
+
+def test_equal_values_are_dealt_evenly_and_no_value_is_a_join_key(spark):
+    _, q, r = ranked_frames(spark)
+    dealt, _, _ = ordered._dealt(q, r, ["k"], "x", 100)
+    sizes = [c["count"] for c in dealt.groupBy("k", "__p", "__salt").count().collect()]
+    assert max(sizes) < 400 and len(sizes) > 36
+    assert dealt.where("__ref = 1").count() < 2 * (q.count() + r.count())
+    plan = ordered.ranks_among(q, r, ["k"], "x", "rank", "size", 100)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any("__x" in line for line in joins)
+
+
+@pytest.mark.parametrize("shape", ["skewed", "even", "two"])
+def test_pieces_are_cut_at_ranks(spark, shape):
+    n = 20_000
+    rng = np.random.default_rng(3)
+    x = {"skewed": 1 + rng.random(n) ** 40 * 0.05, "even": rng.random(n), "two": np.arange(n) % 2 * 1.0}[shape]
+    x = np.unique(x)
+    df = spark.createDataFrame(pd.DataFrame({"k": "a", "v": x}))
+    sizes = [c["count"] for c in ordered.value_pieces(df, ["k"], "v", 500).groupBy("__piece").count().collect()]
+    assert sum(sizes) == len(x) and max(sizes) < 700
