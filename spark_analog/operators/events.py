@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 
 from spark_analog.functions.columns import array_diff_mean
 from spark_analog.operators.evaluate import average_precision
+from spark_analog.operators.intervals import members
 from spark_analog.operators.ordered import time_rank
 from spark_analog.operators.staging import attach, stage
 
 EVENT = ("entity", "segment", "event_start")
+TRACE_CHUNK = 4_096
 
 
 def enumerate_events(points: DataFrame, radius: int) -> DataFrame:
@@ -34,13 +36,11 @@ def enumerate_events(points: DataFrame, radius: int) -> DataFrame:
 def event_effects(events: DataFrame, points: DataFrame, first: str, second: str) -> DataFrame:
     """Local AUPRC of two score columns per event and their difference.
 
-    Intervals are spelled out as steps, so points join on ``(entity, segment,
-    t)``.  Events need two finite points and both classes.
+    Intervals may overlap and meet their points in time blocks.  Events need two
+    finite points and both classes.
     """
-    cells = events.select(*events.columns, F.explode(F.sequence(
-        F.col("interval_start"), F.col("interval_stop") - 1)).alias("t"))
-    near = cells.join(points.select("entity", "segment", "t", "label", first, second),
-                      ["entity", "segment", "t"])
+    near = stage(members(events, points.select("entity", "segment", "t", "label", first, second),
+                         ["entity", "segment"], "t", "interval_start", "interval_stop"))
     totals = near.groupBy(*events.columns).agg(
         F.sum("label").alias("positive_points"), F.count("*").alias("interval_points"))
     known = stage(near.where(F.col(first).isNotNull() & F.col(second).isNotNull()).select(
@@ -80,16 +80,16 @@ def event_windows(selected: DataFrame, frame: DataFrame, horizon: int, first: st
 
     Among windows whose forecast overlaps the event, the largest (success) or
     smallest (failure) gain in squared error; without overlap the nearest
-    windows.  ``selected``: one success and one failure per entity.
+    windows.  ``selected``: one success and one failure per entity, so a window
+    meets at most two events, whatever their length.
     """
     gain = (array_diff_mean(first, "y", lambda a, b: (a - b) * (a - b))
             - array_diff_mean(second, "y", lambda a, b: (a - b) * (a - b)))
     rows = frame.select("entity", "segment", "w", "channel", F.round(gain, digits).alias("gain"))
     chosen = stage(selected.select("entity", "segment", "event_start", "event_stop",
                                    "selected_as"))
-    direct = chosen.withColumn("w", F.explode(F.sequence(
-        F.col("event_start") - horizon + 1, F.col("event_stop") - 1))).join(
-        rows, ["entity", "segment", "w"])
+    direct = rows.join(chosen, ["entity", "segment"]).where(
+        (F.col("w") > F.col("event_start") - horizon) & (F.col("w") < F.col("event_stop")))
     keys = ["entity", "segment", "event_start", "event_stop", "selected_as"]
     bare = attach(rows.drop("segment"), stage(chosen.join(
         direct.select(*keys).distinct(), keys, "left_anti")), ["entity"])
@@ -106,19 +106,28 @@ def event_windows(selected: DataFrame, frame: DataFrame, horizon: int, first: st
         (F.col("m.w") + horizon).alias("forecast_stop"), F.col("m.gain").alias("gain"))
 
 
+def event_traces(selected: DataFrame, scores: DataFrame, chunk: int = TRACE_CHUNK) -> DataFrame:
+    """Score traces of selected events in chunks of at most ``chunk`` steps, numbered from 0.
+
+    ``selected``: one success and one failure per entity, so a point meets at most two events.
+    An interval without a scored point has no chunk.
+    """
+    near = scores.join(stage(selected.select(*EVENT, "interval_start", "interval_stop")),
+                       ["entity", "segment"]).where(
+        (F.col("t") >= F.col("interval_start")) & (F.col("t") < F.col("interval_stop")))
+    number = F.floor((F.col("t") - F.col("interval_start")) / chunk).cast("int")
+    return near.groupBy(*EVENT, number.alias("chunk")).agg(F.sort_array(F.collect_list(
+        F.struct("t", "label", "native_score", "fused_score"))).alias("trace"))
+
+
 def event_cases(selected: DataFrame, contexts: DataFrame, retrieved: DataFrame,
-                scores: DataFrame, bank_contexts: DataFrame | None = None) -> DataFrame:
-    """One nested record per selected event: query, neighbours, forecasts, score trace."""
+                bank_contexts: DataFrame | None = None) -> DataFrame:
+    """One nested record per selected event: query, neighbours, forecasts; ``event_traces`` has its scores."""
     key = ["entity", "segment", "channel", "w"]
     at = selected.withColumn("w", F.col("forecast_start"))
     base = at.join(contexts.select(*key, "ctx"), key).join(
         retrieved.select(*key, "y", "native", "yhat", "gate", "candidates"), key)
-    trace = (selected.select("entity", "segment", "event_start", F.explode(F.sequence(
-        F.col("interval_start"), F.col("interval_stop") - 1)).alias("t"))
-        .join(scores, ["entity", "segment", "t"])
-        .groupBy("entity", "segment", "event_start").agg(F.sort_array(F.collect_list(
-            F.struct("t", "label", "native_score", "fused_score"))).alias("trace")))
-    record = base.join(trace, ["entity", "segment", "event_start"])
+    record = base
     if bank_contexts is not None:
         flat = record.select("entity", "segment", "event_start", "channel",
                              F.explode("candidates.src_w").alias("src_w"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spark_analog.defaults import BOUNDARY_SHARE, POOL_FACTOR, SCALE_FLOOR, WAVEFORM_POINTS
 from spark_analog.functions import kernels
+from spark_analog.operators.intervals import open_intervals
 from spark_analog.operators.ordered import DIRECT_ROWS, quantiles, time_rank
 from spark_analog.operators.staging import attach, stage
 
@@ -32,12 +33,13 @@ def unspoiled(windows: DataFrame, labels: DataFrame, context: int, horizon: int,
               keys=("entity",)) -> DataFrame:
     """``(keys, w)`` of windows that touch no labelled anomaly.
 
-    Each anomalous step names the windows it spoils, which turns an overlap
-    join into an equi anti join.
+    Each anomalous step spoils an interval of windows; a sweep counts how many are
+    open at a window, so a step is two rows whatever the window's length.
     """
-    bad = labels.where("label > 0").select(*keys, F.explode(F.sequence(
-        F.col("t") - horizon + 1, F.col("t") + context)).alias("w")).distinct()
-    return windows.select(*keys, "w").distinct().join(bad, [*keys, "w"], "left_anti")
+    bad = labels.where("label > 0").select(
+        *keys, (F.col("t") - horizon + 1).alias("start"), (F.col("t") + context).alias("stop"))
+    own = stage(windows.select(*keys, "w").distinct())
+    return open_intervals(own, bad, keys, "w", out="__open").where("__open = 0").select(*keys, "w")
 
 
 def empty_channels(all_windows: DataFrame, kept: DataFrame, group=GROUP) -> DataFrame:
@@ -157,19 +159,27 @@ def select_boundary(scaled: DataFrame, size: int, group=GROUP) -> DataFrame:
     """
     placed = positions(scaled, group)
     core = stage(_core(scaled, placed, size, True, group))
+    radii = scaled.select(*group, "w", F.round(_square("feat"), 9).alias("__radius"))
+    added = _edge(radii, core.select(*group, "w"), placed, size, group)
+    return core.unionByName(scaled.join(added, [*group, "w"]).select(*scaled.columns))
+
+
+def _square(feat) -> Column:
+    return F.aggregate(feat, F.lit(0.0), lambda a, x: a + x * x)
+
+
+def _edge(radii: DataFrame, core: DataFrame, placed: DataFrame, size: int, group=GROUP) -> DataFrame:
+    """``group, w`` of the windows with the largest ``__radius`` outside the core, staged."""
     core_size, edge = _sizes(size, True)
     limit = size + int(round(BOUNDARY_SHARE * size)) + 1
-    radius = F.round(F.aggregate("feat", F.lit(0.0), lambda a, x: a + x * x), 9)
     by_radius = Window.partitionBy(*group).orderBy(F.desc("__radius"), F.desc("w"))
-    outer = scaled.select(*group, "w", radius.alias("__radius")).withColumn(
-        "__rn", F.row_number().over(by_radius)).where(F.col("__rn") <= limit)
-    rest = outer.join(core.select(*group, "w"), [*group, "w"], "left_anti").withColumn(
+    outer = radii.withColumn("__rn", F.row_number().over(by_radius)).where(F.col("__rn") <= limit)
+    rest = outer.join(core, [*group, "w"], "left_anti").withColumn(
         "__rn", F.row_number().over(by_radius))
     sizes = placed.where("__pos = 0").select(*group, "__n")
     room = F.least(F.lit(size), F.col("__n")) - core_size
-    added = stage(attach(rest, sizes, group).where(
+    return stage(attach(rest, sizes, group).where(
         F.col("__rn") <= F.least(edge, room)).select(*group, "w"))
-    return core.unionByName(scaled.join(added, [*group, "w"]).select(*scaled.columns))
 
 
 SELECT = {"uniform": select_uniform, "farthest": select_farthest, "boundary": select_boundary}
@@ -207,38 +217,95 @@ def pack_bank(bank: DataFrame, scales: DataFrame, group=GROUP) -> DataFrame:
         F.flatten("__b.delta").alias("bank_delta"), "center", "scale"))
 
 
-def join_channels(windows: DataFrame, keys=("entity", "role", "segment")) -> DataFrame:
-    """All channels of a window side by side: the shape of a global memory.
+WHOLE = ("entity",)
 
-    A window counts only when every channel is complete.  Groups are bounded by
-    the number of channels.
-    """
-    rows = windows.groupBy(*keys, "w").agg(
-        F.sort_array(F.collect_list(F.struct("channel", "feat", "y", "last"))).alias("__c"),
-        F.bool_and("complete").alias("complete"), F.bool_and("known").alias("known"))
-    return rows.select(*keys, F.lit("*").alias("channel"), "w", "complete", "known",
-                       F.flatten("__c.feat").alias("feat"), F.flatten("__c.y").alias("y"),
-                       F.col("__c.channel").alias("channels"), F.col("__c.last").alias("lasts"))
 
+def whole_windows(windows: DataFrame) -> DataFrame:
+    """``entity, w`` of the windows that are complete and known in every channel, staged."""
+    usable = F.col("complete") & F.col("known")
+    return stage(windows.groupBy(*WHOLE, "w").agg(F.bool_and(usable).alias("__ok")).where("__ok").select(
+        *WHOLE, "w"))
 
-def build_global_bank(windows: DataFrame, size: int, selection: str = "boundary"
+
+def _joint_core(scaled: DataFrame, placed: DataFrame, size: int, boundary: bool) -> DataFrame:
+    """``entity, w`` of the greedy core over all channels, staged.
+
+    The products of the pool's rows are sums over channels: a task reads an entity channel by channel
+    and adds up one square table of the pool, at most 4 x size on a side.
+    """
+    core, _ = _sizes(size, boundary)
+    pool = F.least(F.col("__n"), core * POOL_FACTOR)
+    chosen = stage(placed.where(uniform_slot(F.col("__pos"), F.col("__n"), pool).isNotNull()).select(
+        *WHOLE, "w", core.cast("int").alias("__core")))
+    rows = scaled.select(*GROUP, "w", "feat").join(chosen, [*WHOLE, "w"]).repartition(*WHOLE).sortWithinPartitions(
+        *GROUP, "w").select(*GROUP, "w", "__core", "feat")
+
+    def kernel(batches):
+        part: list = []
+        entity = channel = table = w = wanted = None
+
+        def add():
+            nonlocal table, w, part
+            at = np.array([x for x, _ in part], dtype=np.int64)
+            if w is not None and not np.array_equal(at, w):
+                raise ValueError("the channels of an entity must have the same windows")
+            feat = np.array([f for _, f in part], dtype=np.float64)
+            product = feat @ feat.T
+            table, w, part = product if table is None else table + product, at, []
+
+        def close():
+            add()
+            kept = w[kernels.farthest_by(table.diagonal().copy(), lambda i: table[i], wanted)]
+            return pd.DataFrame({"entity": entity, "w": kept})
+
+        for pdf in batches:
+            for e, c, x, n, f in pdf.itertuples(index=False, name=None):
+                if part and (e, c) != (entity, channel):
+                    if e == entity:
+                        add()
+                    else:
+                        yield close()
+                        table = w = None
+                        part = []
+                entity, channel, wanted = e, c, n
+                part.append((x, f))
+        if part:
+            yield close()
+
+    return stage(rows.mapInPandas(kernel, "entity string, w bigint"))
+
+
+def _joint_choice(scaled: DataFrame, whole: DataFrame, size: int, selection: str) -> DataFrame:
+    """``entity, w`` of the slots of a global memory, staged."""
+    placed = positions(whole, WHOLE)
+    if selection == "uniform":
+        taken = uniform_slot(F.col("__pos"), F.col("__n"), F.lit(size)).isNotNull()
+        return stage(placed.where(taken).select(*WHOLE, "w"))
+    if selection == "farthest":
+        return _joint_core(scaled, placed, size, False)
+    if selection != "boundary":
+        raise ValueError(f"unknown selection {selection!r}")
+    core = _joint_core(scaled, placed, size, True)
+    radii = scaled.groupBy(*WHOLE, "w").agg(F.round(F.sum(_square("feat")), 9).alias("__radius"))
+    return core.unionByName(_edge(radii, core, placed, size, WHOLE))
+
+
+def build_global_bank(windows: DataFrame, size: int, selection: str = "boundary", most: int | None = None
                       ) -> tuple[DataFrame, DataFrame]:
-    """As ``build_bank`` with one neighbour set for all channels of an entity.
+    """As ``build_bank`` with the same windows in the slots of all channels of an entity.
 
-    ``delta`` is a map from channel to the stored future.
+    A window counts if it is complete and known in every channel.  What decides (products, radii) is a
+    sum over channels, so features stay one row per channel: ``bank``: ``entity, channel, slot, src_w,
+    feat, delta``; scales per entity and channel.
     """
-    joined = join_channels(windows)
-    kept = stage(eligible(joined).select("entity", "channel", "w", "channels", "lasts", "y",
-                                         "feat"))
-    scales = stage(pack_scale(feature_scale(kept)))
-    chosen = SELECT[selection](scale_features(kept, scales), size)
-    slot = F.row_number().over(Window.partitionBy(*GROUP).orderBy("w"))
-    h = (F.size("y") / F.size("channels")).cast("int")
-    deltas = F.transform(F.arrays_zip("lasts", F.sequence(F.lit(0), F.size("channels") - 1).alias(
-        "i")), lambda p: F.transform(F.slice("y", p["i"] * h + 1, h), lambda y: y - p["lasts"]))
-    bank = chosen.select(*GROUP, slot.alias("slot"), F.col("w").alias("src_w"), "feat",
-                         F.map_from_arrays("channels", deltas).alias("delta"))
-    return bank, scales
+    whole = whole_windows(windows)
+    kept = windows.select(*GROUP, "w", "last", "y", "feat").join(whole, [*WHOLE, "w"], "left_semi")
+    scales = stage(pack_scale(feature_scale(kept, most=most, width=WIDTH)))
+    scaled = scale_features(kept, scales)
+    choice = _joint_choice(scaled, whole, size, selection)
+    slots = stage(choice.select("*", F.row_number().over(Window.partitionBy(*WHOLE).orderBy("w")).alias("slot")))
+    bank = with_delta(scaled.join(slots, [*WHOLE, "w"]))
+    return bank.select(*GROUP, "slot", F.col("w").alias("src_w"), "feat", "delta"), scales
 
 
 def footprint(bank: DataFrame, scales: DataFrame, keys=("entity",)) -> DataFrame:

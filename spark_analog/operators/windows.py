@@ -47,19 +47,20 @@ def blocks(steps: DataFrame, context: int, horizon: int, keys=KEYS, time: str =
                           values.alias("values"))
 
 
-def legal_starts(context: int, horizon: int, stride: int = 1, cap: int | None = None,
+def legal_starts(context: int, horizon: int, stride: int | Column = 1, cap: int | None = None,
                  seed: int = 0, keys=KEYS) -> Column:
     """Window starts (offsets in the segment) that belong to a block.
 
     A stride keeps the final legal start; a cap keeps one seeded pick in each of
     ``cap`` equal bins.  Both are closed-form in the start, so no ranking is needed.
+    A stride may be a column, so that roles differ.
     """
     low = F.col("block") * F.col("block_size")
     last = F.col("length") - (context + horizon)
     high = F.least(low + F.col("block_size") - 1, last)
     starts = F.when(high >= low, F.sequence(low, high)).otherwise(
         F.array().cast("array<bigint>"))
-    if stride > 1:
+    if isinstance(stride, Column) or stride > 1:
         starts = F.filter(starts, lambda s: (s % stride == 0) | (s == last))
     if cap:
         count = F.floor(last / stride) + 1 + F.when(last % stride == 0, 0).otherwise(1)
@@ -143,7 +144,7 @@ CANDIDATES = T.ArrayType(T.StructType([
 DOUBLES = T.ArrayType(T.DoubleType())
 
 
-def scan(blocked: DataFrame, context: int, horizon: int, *, stride: int = 1,
+def scan(blocked: DataFrame, context: int, horizon: int, *, stride: int | Column = 1,
          cap: int | None = None, seed: int = 0, keys=KEYS, features: bool = False,
          contexts: bool = False, bank: DataFrame | None = None, k: int = 5,
          radius: int | None = None, model: DataFrame | None = None,
@@ -243,6 +244,97 @@ def scan(blocked: DataFrame, context: int, horizon: int, *, stride: int = 1,
     return rows.mapInArrow(kernel, schema)
 
 
+def scan_joint(blocked: DataFrame, context: int, horizon: int, bank: DataFrame, k: int = 5, *,
+               stride: int | Column = 1, radius: int | None = None, model: DataFrame | None = None) -> DataFrame:
+    """As ``scan`` with one neighbour set for all channels of an entity.
+
+    A squared distance over all channels is the sum of those in each, so nothing as wide as all
+    channels exists: the channels of a block meet in one task as raw values, each adds its part to one
+    ``[windows, slots]`` table, and the slots with the smallest sums are the neighbours of every
+    channel.  ``bank``: packed, one row per entity and channel, all with the same slots.  A window that
+    isn't finite in every channel has no neighbours.  A task holds the raw values and the bank of the
+    channels of one block, and one such table of ``CHUNK`` windows.
+    """
+    place = ["entity", "role", "segment", "block"]
+    rows = blocked.withColumn("__starts", legal_starts(context, horizon, stride)).where(
+        F.size("__starts") > 0).join(bank, ["entity", "channel"], "left")
+    if model is not None:
+        rows = rows.join(model, ["entity"], "left")
+    rows = rows.repartition(*place).sortWithinPartitions(*place, "channel")
+    fields = [rows.schema[c] for c in KEYS] + [
+        T.StructField("w", T.LongType()), T.StructField("last", T.DoubleType()),
+        T.StructField("y", DOUBLES), T.StructField("complete", T.BooleanType()),
+        T.StructField("known", T.BooleanType()), T.StructField("candidates", CANDIDATES)]
+    if model is not None:
+        fields.append(T.StructField("yhat", DOUBLES))
+    schema = T.StructType(fields)
+    arrow_schema = to_arrow_schema(schema)
+    with_model = model is not None
+
+    def one_channel(row):
+        if not row["bank_feat"].is_valid:
+            return _doubles(row["values"]), None
+        src = row["bank_w"].values.to_numpy(zero_copy_only=False)
+        return _doubles(row["values"]), (
+            _doubles(row["bank_feat"]).reshape(len(src), -1), _doubles(row["bank_delta"]).reshape(len(src), -1),
+            src, _doubles(row["center"]), _doubles(row["scale"]))
+
+    def one_block(rows):
+        channels = [one_channel(row) for row in rows]
+        banks = [b for _, b in channels if b is not None]
+        if banks and (len(banks) < len(channels) or any(not np.array_equal(b[2], banks[0][2]) for b in banks)):
+            raise ValueError("the channels of a block must share the slots of one memory")
+        start = rows[0]["start"].as_py()
+        origin = rows[0]["block"].as_py() * rows[0]["block_size"].as_py()
+        all_starts = rows[0]["__starts"].values.to_numpy(zero_copy_only=False)
+        for a in range(0, len(all_starts), CHUNK):
+            starts = all_starts[a:a + CHUNK]
+            w = starts + start + context
+            ok = np.ones(len(starts), dtype=bool)
+            squares = np.zeros((len(starts), len(banks[0][2]) if banks else 0))
+            width = 0
+            for values, memory in channels:
+                x, _ = kernels.window_views(values, context, horizon, starts - origin)
+                feat = kernels.features(x)
+                ok &= np.isfinite(x).all(axis=1) & np.isfinite(feat).all(axis=1)
+                if memory is not None:
+                    kernels.add_squares(squares, (feat - memory[3]) / memory[4], memory[0])
+                    width += feat.shape[1]
+            kk = min(k, squares.shape[1])
+            dist, idx = np.full((len(starts), kk), np.inf), np.zeros((len(starts), kk), dtype=np.int64)
+            if kk:
+                dist[ok], idx[ok] = kernels.nearest_of(squares[ok], width, kk, w[ok], banks[0][2], radius)
+            for row, (values, memory) in zip(rows, channels):
+                x, y = kernels.window_views(values, context, horizon, starts - origin)
+                last = x[:, -1].copy()
+                src, delta = (memory[2], memory[1]) if memory else (
+                    np.empty(0, dtype=np.int64), np.empty((0, horizon)))
+                cols = [pa.array(w.astype(np.int64)), pa.array(last, from_pandas=True), _lists(y),
+                        pa.array(np.isfinite(x).all(axis=1)), pa.array(np.isfinite(y).all(axis=1)),
+                        _neighbours(dist, idx, src, delta, last)]
+                if with_model:
+                    cols.append(_lists(_linear(x, _doubles(row["weights"]), context, horizon)
+                                       if row["weights"].is_valid else np.full((len(x), horizon), np.nan)))
+                lead = [pa.array([row[c].as_py()] * len(w), type=row[c].type) for c in KEYS]
+                yield pa.RecordBatch.from_arrays(lead + cols, schema=arrow_schema)
+
+    def kernel(batches):
+        held, rows = None, []
+        for batch in batches:
+            for r in range(batch.num_rows):
+                row = {c: batch.column(c)[r] for c in batch.schema.names}
+                here = tuple(row[c].as_py() for c in place)
+                if rows and here != held:
+                    yield from one_block(rows)
+                    rows = []
+                held = here
+                rows.append(row)
+        if rows:
+            yield from one_block(rows)
+
+    return rows.mapInArrow(kernel, schema)
+
+
 def _linear(x: np.ndarray, weights: np.ndarray, context: int, horizon: int) -> np.ndarray:
     """Instance-normalised linear map ``[L + 1] -> H`` and back."""
     mean = x.mean(axis=1, keepdims=True)

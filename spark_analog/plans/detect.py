@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spark_analog.defaults import (
@@ -87,7 +87,7 @@ def forecast_windows(blocked: DataFrame, s: Settings, bank: DataFrame | None,
                      model: DataFrame | None, roles=("normal", "score", "test")) -> DataFrame:
     """Windows of the given roles with ``native`` forecast and retrieval summary."""
     rows = blocked.where(F.col("role").isin(*roles))
-    seen = stepped(windows.scan(rows, s.context, s.horizon, stride=1, bank=bank, k=s.k, model=model), s)
+    seen = windows.scan(rows, s.context, s.horizon, stride=steps_apart(s), bank=bank, k=s.k, model=model)
     if model is None:
         seen = seen.withColumn("yhat", forecast.naive(s.horizon))
     seen = seen.withColumnRenamed("yhat", "native")
@@ -96,46 +96,20 @@ def forecast_windows(blocked: DataFrame, s: Settings, bank: DataFrame | None,
     return retrieve.summarise(seen, s.horizon, s.temperature)
 
 
-def stepped(seen: DataFrame, s: Settings) -> DataFrame:
+def steps_apart(s: Settings) -> int | Column:
     """Test windows every ``stride`` steps of their segment, and its last one; all others stay."""
-    if s.stride == 1:
-        return seen
-    first = F.min("w").over(Window.partitionBy("entity", "role", "segment", "channel"))
-    last = F.max("w").over(Window.partitionBy("entity", "role", "segment", "channel"))
-    return (seen.withColumn("__first", first).withColumn("__last", last)
-            .where((F.col("role") != "test") | ((F.col("w") - F.col("__first")) % s.stride == 0)
-                   | (F.col("w") == F.col("__last"))).drop("__first", "__last"))
+    return 1 if s.stride == 1 else F.when(F.col("role") == "test", F.lit(s.stride)).otherwise(F.lit(1))
 
 
 def global_windows(blocked: DataFrame, s: Settings, model: DataFrame | None,
                    roles=("normal", "score", "test")) -> DataFrame:
     """As ``forecast_windows`` with one neighbour set for all channels of an entity."""
     feats = windows.scan(blocked.where("role = 'memory'"), s.context, s.horizon, features=True)
-    bank, scales = memory.build_global_bank(feats, s.size, s.selection)
-    bank = stage(bank)
-    packed = stage(bank.groupBy("entity", "channel").agg(F.sort_array(F.collect_list(
-        F.struct("src_w", "feat"))).alias("b")).join(scales, ["entity", "channel"]).select(
-        "entity", "channel", F.col("b.src_w").alias("bank_w"),
-        F.flatten("b.feat").alias("bank_feat"), "center", "scale"))
-    seen = stage(windows.scan(blocked.where(F.col("role").isin(*roles)), s.context, s.horizon,
-                              features=True, model=model).transform(stepped, s))
-    keys = ["entity", "role", "segment"]
-    whole = memory.join_channels(seen).where("complete").withColumn("qid", F.col("w"))
-    found = stage(retrieve.knn(whole, packed, s.k, ["entity", "channel"]))
-    futures = bank.select("entity", "src_w", F.explode("delta").alias("channel", "delta"))
-    pairs = found.select("entity", "w", "rank", "src_w", "distance").join(
-        futures, ["entity", "src_w"])
-    lists = pairs.groupBy("entity", "channel", "w").agg(F.sort_array(F.collect_list(
-        F.struct("rank", "src_w", "distance", "delta"))).alias("c"))
-    joined = seen.join(lists, ["entity", "channel", "w"], "left")
-    cands = F.coalesce(F.transform("c", lambda c: F.struct(
-        c["rank"].alias("rank"), c["src_w"].alias("src_w"), c["distance"].alias("distance"),
-        F.transform(c["delta"], lambda d: d + F.col("last")).alias("future"))),
-        F.array().cast(windows.CANDIDATES))
+    bank, scales = memory.build_global_bank(feats, s.size, s.selection, most=s.train_stop or None)
+    seen = windows.scan_joint(blocked.where(F.col("role").isin(*roles)), s.context, s.horizon,
+                              memory.pack_bank(bank, scales), s.k, stride=steps_apart(s), model=model)
     native = F.col("yhat") if model is not None else forecast.naive(s.horizon)
-    out = joined.select(*keys, "channel", "w", "last", "y", "complete",
-                        cands.alias("candidates"), native.alias("native"))
-    return retrieve.summarise(out, s.horizon, s.temperature)
+    return retrieve.summarise(seen.withColumn("native", native), s.horizon, s.temperature)
 
 
 def scored_parts(frame: DataFrame, use_retrieval: bool, keys=("entity", "channel"),

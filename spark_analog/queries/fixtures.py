@@ -107,9 +107,8 @@ part("observed", "", """
          event_type as channel, value from events""")
 part("series", "observed", f"""
   select g.entity, g.t, g.channel, o.value from (
-    select e.entity, r.t::bigint as t, c.channel
-    from (select distinct entity from observed) e, (select unnest(range(max(t) + 1)) from observed) r(t),
-         (select distinct channel from observed) c) g
+    select e.entity, r.t::bigint as t, e.channel
+    from (select distinct entity, channel from observed) e, (select unnest(range(max(t) + 1)) from observed) r(t)) g
   left join (select entity, t, channel, round(avg(value) + 1.3e-9, 6) as value
              from observed group by 1, 2, 3) o using (entity, t, channel)""")
 part("labels_h", "observed", f"""
@@ -123,9 +122,8 @@ part("observed_d", "", f"""
          l_returnflag || l_linestatus as channel, l_quantity as value from lineitem""")
 part("daily", "observed_d", f"""
   select g.entity, g.t, g.channel, o.value from (
-    select e.entity, r.t::bigint as t, c.channel
-    from (select distinct entity from observed_d) e, (select unnest(range(max(t) + 1)) from observed_d) r(t),
-         (select distinct channel from observed_d) c) g
+    select e.entity, r.t::bigint as t, e.channel
+    from (select distinct entity, channel from observed_d) e, (select unnest(range(max(t) + 1)) from observed_d) r(t)) g
   left join (select entity, t, channel, round(avg(value) + 1.3e-9, 6) as value
              from observed_d group by 1, 2, 3) o using (entity, t, channel)""")
 part("score_points", "", """

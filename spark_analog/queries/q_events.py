@@ -180,9 +180,24 @@ def event_case(spark, sf):
         all_events(spark, sf).drop("event_stop"), ["entity", "segment", "event_start"])
     ctx = featured(spark, sf).where("role = 'test'")
     bank, _ = uniform_bank(spark, sf)
-    trace = two_scores(spark, sf).withColumnsRenamed({"a": "native_score", "b": "fused_score"})
     stored = memory.bank_contexts(bank, featured(spark, sf).where("role = 'memory'"))
-    return events.event_cases(at, ctx, fused(spark, sf).where("role = 'test'"), trace, stored)
+    return events.event_cases(at, ctx, fused(spark, sf).where("role = 'test'"), stored)
+
+
+@query("event_trace", sql("events extremes2 two", """
+  select e.entity, e.segment, e.event_start, ((t.t - e.interval_start) // 16)::int as chunk, t.t,
+         t.label::int as label, round(t.a + 1.3e-9, 6) + 0.0 as native_score,
+         round(t.b + 1.3e-9, 6) + 0.0 as fused_score
+  from events e join extremes2 using (entity, segment, event_start)
+  join two t on t.entity = e.entity and t.segment = e.segment
+    and t.t >= e.interval_start and t.t < e.interval_stop"""))
+def event_trace(spark, sf):
+    at = extremes(spark, sf).join(all_events(spark, sf), ["entity", "segment", "event_start"])
+    points = two_scores(spark, sf).withColumnsRenamed({"a": "native_score", "b": "fused_score"})
+    rows = events.event_traces(at, points, chunk=16).select(
+        *events.EVENT, "chunk", F.explode("trace").alias("p"))
+    return rows.select(*events.EVENT, "chunk", "p.t", "p.label", rounded("p.native_score").alias("native_score"),
+                       rounded("p.fused_score").alias("fused_score"))
 
 
 # --- sweeps --------------------------------------------------------------------------------------

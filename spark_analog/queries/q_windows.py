@@ -301,8 +301,7 @@ def bank_channel(spark, sf):
 
 @query("bank_global")
 def bank_global(spark, sf):
-    return memory.build_global_bank(memory_windows(spark, sf), M, "boundary")[0].select(
-        "entity", "slot", "src_w", "feat", "delta")
+    return memory.build_global_bank(memory_windows(spark, sf), M, "boundary", most=TRAIN)[0]
 
 
 @query("bank_prototype")
@@ -375,6 +374,23 @@ def knn_global(spark, sf):
     return vector_knn(spark, sf)
 
 
+@query("knn_global_channels", sql("scaled_feats bank", f"""
+  , d as (select q.entity, q.role, q.segment, q.w, b.src_w,
+                 round(sqrt(sum(list_distance(q.feat, b.feat) ** 2) / (21 * count(*))), 9) as distance
+          from scaled_feats q join bank b using (entity, channel)
+          where q.role in ('normal', 'score', 'test') group by 1, 2, 3, 4, 5),
+  r as (select *, row_number() over (partition by entity, role, segment, w
+                                     order by distance, src_w)::int as rank from d)
+  select entity, role, segment, channel, w, rank, src_w, round(distance + 1.3e-9, 6) + 0.0 as distance
+  from r join (select distinct entity, channel from bank) using (entity) where rank <= {K}"""))
+def knn_global_channels(spark, sf):
+    bank, scales = memory.build_global_bank(memory_windows(spark, sf), M, "uniform", most=TRAIN)
+    rows = blocked(spark, sf).where(F.col("role").isin(*QUERY_ROLES))
+    seen = windows.scan_joint(rows, L, H, memory.pack_bank(bank, scales), K)
+    return retrieve.explode_candidates(seen, [*KEYS, "w"]).select(
+        *KEYS, "w", "rank", "src_w", rounded("distance").alias("distance"))
+
+
 @query("knn_exclusion", vec_sql("abs(q.vec_id - b.vec_id) > 12"))
 def knn_exclusion(spark, sf):
     return vector_knn(spark, sf, 12)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from spark_analog.functions.columns import finite
 from spark_analog.operators.clean import number
+from spark_analog.operators.intervals import open_intervals
 from spark_analog.operators.ordered import running_sums
 
 ENCODINGS = ("utf-8", "ISO-8859-1")
@@ -137,15 +138,13 @@ def discover(spark: SparkSession, path: str, pattern: str,
 def interval_labels(points: DataFrame, manifest: DataFrame, key: str = "entity") -> DataFrame:
     """Inclusive ``[[start, end], ...]`` texts per entity to a label per point.
 
-    The intervals become the labelled points themselves, so the join is an
-    equi-join on (entity, t) and no range join is needed.
+    A sweep over borders and points counts the intervals that are open at a point.
     """
     spans = manifest.select(key, F.explode(F.from_json(
-        "anomaly_sequences", "array<array<bigint>>")).alias("__s"))
-    hits = (spans.select(key, F.explode(F.sequence(F.col("__s")[0], F.col("__s")[1])).alias("t"))
-            .distinct().withColumn("__hit", F.lit(1)))
-    return points.join(hits, [key, "t"], "left").select(
-        *points.columns, F.coalesce("__hit", F.lit(0)).alias("label"))
+        "anomaly_sequences", "array<array<bigint>>")).alias("__s")).select(
+        key, F.col("__s")[0].alias("start"), F.col("__s")[1].alias("stop"))
+    return open_intervals(points, spans, [key], out="__open").select(
+        *points.columns, (F.col("__open") > 0).cast("int").alias("label"))
 
 
 def manifest_checks(manifest: DataFrame, lengths: DataFrame) -> DataFrame:

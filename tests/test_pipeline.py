@@ -103,15 +103,38 @@ def test_boundary_memory_and_retrieval_equal_numpy(spark, blocked):
 
 def test_global_memory_uses_all_channels(spark, blocked):
     feats = windows.scan(blocked.where("role = 'memory'"), L, H, features=True)
-    bank, _ = memory.build_global_bank(feats, 20, "farthest")
-    pdf = bank.toPandas()
     series = memory_series(blocked)
-    for e, g in pdf.groupby("entity"):
-        assert len(g) == 20
-        for _, r in g.iterrows():
-            assert len(r["feat"]) == 63 and set(r["delta"]) == {"x", "y", "z"}
-            v, w = series[(e, "y")], r["src_w"]
-            assert np.allclose(r["delta"]["y"], v[w:w + H] - v[w - 1])
+    both = {k: np.lib.stride_tricks.sliding_window_view(v, L + H) for k, v in series.items()}
+    for selection in ("uniform", "farthest", "boundary"):
+        bank, scales = memory.build_global_bank(feats, 20, selection, most=STOP)
+        pdf = bank.toPandas()
+        want = {}
+        for e in ("e0", "e1"):
+            raw = np.hstack([kernels.features(both[(e, c)][:, :L]) for c in "xyz"])
+            chosen, c, sc, z = boundary(raw, 20)
+            if selection != "boundary":
+                m = 20 if selection == "uniform" else 80
+                chosen = np.floor((np.arange(m) + 0.5) * len(z) / m).astype(int)
+            if selection == "farthest":
+                chosen = np.sort(chosen[kernels.farthest(z[chosen], 20)])
+            want[e] = (z[chosen], chosen + L, c, sc)
+            for i, c in enumerate("xyz"):
+                g = pdf[(pdf["entity"] == e) & (pdf["channel"] == c)].sort_values("slot")
+                assert list(g["src_w"] - L) == list(chosen), (selection, e, c)
+                assert np.allclose(np.array(g["feat"].tolist()), z[chosen][:, 21 * i:21 * i + 21])
+                v = both[(e, c)][chosen]
+                assert np.allclose(np.array(g["delta"].tolist()), v[:, L:] - v[:, L - 1:L])
+    seen = windows.scan_joint(blocked.where("role = 'test'"), L, H, memory.pack_bank(bank, scales), 3).toPandas()
+    raw = windows.scan(blocked.where("role = 'test'"), L, H, features=True).toPandas()
+    raw = {(r["entity"], r["channel"], r["w"]): r["feat"] for _, r in raw.iterrows()}
+    assert len(seen) == len(raw) > 100
+    for _, r in seen.iterrows():
+        zb, src, c, sc = want[r["entity"]]
+        q = (np.hstack([raw[(r["entity"], x, r["w"])] for x in "xyz"]) - c) / sc
+        d = np.round(np.sqrt(((zb - q) ** 2).mean(1)), 9)
+        order = np.lexsort((src, d))[:3]
+        assert [x["src_w"] for x in r["candidates"]] == list(src[order])
+        assert np.allclose([x["distance"] for x in r["candidates"]], d[order], atol=1e-8)
 
 
 def test_detection_finds_planted_anomalies(spark):
