@@ -144,3 +144,21 @@ def test_labels_of_the_held_out_fold_and_without_id_change_nothing(corpus, monke
         cnn.fit(docs, frame, settings=s)
     seen = labels.filter(~hidden & F.col("toxic").isNotNull())
     assert shares == [pytest.approx(seen.agg(F.avg("toxic")).first()[0])] * 2
+
+
+def test_the_net_learns_from_every_labelled_text(corpus, monkeypatch):
+    docs, labels, _ = corpus
+    s, taught = cnn.Settings(clean=30, toxic=20, epochs=1, least_steps=1, words=1 << 8, prefixes=1 << 6), []
+    plain = cnn._learn_shards
+
+    def spy(rows, *rest):
+        taught.append(rows.count())
+        return plain(rows, *rest)
+
+    monkeypatch.setattr(cnn, "_learn_shards", spy)
+    net = cnn.fit(docs, labels, settings=s)
+    rows = cnn.labelled_codes(docs, labels, "toxic", s, "text", "doc_id")
+    assert len(taught) == 2 and sum(taught) == rows.filter("not held").count() > 50
+    assert set(net.cut) == set(cnn._NAMES)
+    again = cnn.fit(docs.repartition(7), labels, settings=s)
+    assert net.cut == again.cut and np.array_equal(net.word, again.word)
