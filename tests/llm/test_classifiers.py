@@ -162,3 +162,27 @@ def test_the_net_learns_from_every_labelled_text(corpus, monkeypatch):
     assert set(net.cut) == set(cnn._NAMES)
     again = cnn.fit(docs.repartition(7), labels, settings=s)
     assert net.cut == again.cut and np.array_equal(net.word, again.word)
+
+
+def test_only_codes_of_labelled_texts_meet_the_labels(corpus, monkeypatch):
+    from pyspark.sql import functions as F
+    from spark_analog.llm.common import Codes, fold
+    docs, labels, _ = corpus
+    s, staged, plain = cnn.Settings(), [], cnn.stage
+    monkeypatch.setattr(cnn, "stage", lambda frame: staged.append(frame) or plain(frame))
+    for given in (labels, labels.withColumn("doc_id", F.col("doc_id").cast("string"))):
+        rows = cnn.labelled_codes(docs, given, "toxic", s, "text", "doc_id").collect()
+        plan = staged[-1]._jdf.queryExecution().optimizedPlan().toString()
+        assert 0 <= plan.index("Join") < plan.index("MapInArrow") < plan.index("text")  # the join is above the encoding
+        codes = Codes(cnn.word_code(s))
+        texts = docs.join(labels, "doc_id").filter("toxic is not null").filter(fold("doc_id", s.folds) != 0).collect()
+        want = sorted((r.toxic, codes.of((r.text or "").encode().lower().split()).tobytes()) for r in texts)
+        assert sorted((r.y, cnn.unpack_codes(r.codes, s).tobytes()) for r in rows) == want
+
+
+def test_packed_codes_come_back():
+    for s in (cnn.Settings(), cnn.Settings(words=1 << 20)):
+        codes = cnn.Codes(cnn.word_code(s)).of("the la des grubly w1 ... été x".encode().split())
+        packed = cnn.pack_codes(codes, s)
+        assert packed.itemsize == (8 if s.words > 1 << 16 else 4)
+        assert np.array_equal(cnn.unpack_codes(packed.tobytes(), s), codes)
