@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import string
 import unicodedata
 import zlib
 from dataclasses import dataclass
@@ -31,10 +32,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spark_analog.llm.common import KEPT
+from spark_analog.llm import common
 from spark_analog.operators.staging import stage
 
 
@@ -100,49 +102,74 @@ def _tokenizer(path: str | None):
 class WordIds:
     """Ids of texts as little-endian unsigned 32-bit numbers.
 
-    A word of letters is one pre-token, so many of them are tokenised as one text and
-    parted where an id ends a word; full stops and commas after it are another. Any
+    The words of many texts are parted and told apart by Arrow; Python sees each different
+    one once. A word of letters is one pre-token, so A-Z lower-cased many of them are tokenised
+    as one text and parted where an id ends a word; ASCII punctuation after it is another. Any
     other word is tokenised on its own. Words longer than ``longest`` aren't kept."""
 
-    def __init__(self, path: str | None, most: int = 500_000, longest: int = 64):
+    def __init__(self, path: str | None, most: int = 300_000, longest: int = 64):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the threads
         self.tokenizer, self.most, self.longest = _tokenizer(path), most, longest
         self.known: dict[bytes, bytes] = {}
-        self.marks: dict[bytes, bytes] = {b"": b""}
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
         self.once: set[bytes] = set()
 
+    def of_texts(self, texts: pa.Array) -> tuple[memoryview, list[int]]:
+        """The ids of all texts (binary, no nulls), and the bytes before each text and after the last."""
+        parts = pc.ascii_split_whitespace(texts.view(pa.large_string() if pa.types.is_large_binary(texts.type)
+                                                     else pa.string()))
+        words = parts.flatten().dictionary_encode()
+        ids = self._of_words(words.dictionary).take(words.indices)
+        _, offsets, data = ids.buffers()
+        stops = np.frombuffer(offsets, np.int64)[np.asarray(parts.offsets)]
+        return memoryview(data or b""), stops.tolist()
+
     def learn(self, texts: list[list[bytes]]) -> None:
+        self._of_words(pa.array(set(itertools.chain.from_iterable(texts)), pa.binary()).view(pa.string()))
+
+    def of(self, found: list[bytes]) -> bytes:
+        return bytes(self.of_texts(pa.array([b" ".join(found)], pa.binary()))[0])
+
+    def _of_words(self, words: pa.Array) -> pa.Array:
+        """The ids of each of some different words."""
+        core = pc.ascii_rtrim(words, characters=string.punctuation)
+        letters = np.array(pc.match_substring_regex(core, "^[A-Za-zÀ-ÖØ-öø-ÿ]+$"))
+        strange = np.flatnonzero(~letters & ~np.array(pc.string_is_ascii(core)))
+        letters[strange] = [_letters(w) for w in _bytes(core.take(pa.array(strange)))]
+        keys = pc.if_else(pa.array(letters), pc.ascii_lower(core), words).dictionary_encode()
+        cut = np.where(letters, np.array(pc.binary_length(core)), np.array(pc.binary_length(words)))
+        marked = np.flatnonzero(cut < np.array(pc.binary_length(words)))
+        marks = [w[n:] for w, n in zip(_bytes(words.take(pa.array(marked))), cut[marked].tolist(), strict=True)]
+        found = _bytes(keys.dictionary)
+        plain = np.zeros(len(found), bool)
+        plain[np.array(keys.indices)] = letters
+        which = {m: k for k, m in enumerate(set(marks), 1)}
+        self._learn(dict(zip(found, plain.tolist(), strict=True)) | dict.fromkeys(which, False))
+        mark = np.zeros(len(words), np.int64)
+        mark[marked] = [which[m] for m in marks]
+        ids = self.known.__getitem__
+        return pc.binary_join_element_wise(
+            pa.array(list(map(ids, found)), pa.large_binary()).take(keys.indices),
+            pa.array([b"", *map(ids, which)], pa.large_binary()).take(pa.array(mark)),
+            pa.scalar(b"", pa.large_binary()))
+
+    def _learn(self, words: dict[bytes, bool]) -> None:
+        """``words``: is each nothing but letters?"""
         for w in self.once:
             self.known.pop(w, None)
-        every = set(itertools.chain.from_iterable(texts))
-        new = every.difference(self.known)
+        new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > self.most:
             self.known.clear()
-            new = every
+            new = list(words)
         self.once = {w for w in new if len(w) > self.longest}
-        letters: dict[bytes, bytes] = {}
-        other = []
-        for w in new:
-            core = w.rstrip(b".,")
-            if core.isalpha() or core and _letters(core):
-                letters[w] = core
-            else:
-                other.append(w)
-        cores = [c for c in set(letters.values()) if c not in self.known]
-        self.once.update(c for c in cores if len(c) > self.longest)
-        for i in range(0, len(cores), 20_000):
-            self._together(cores[i:i + 20_000])
-        for w, core in letters.items():
-            if len(w) > len(core):
-                end = w[len(core):]
-                if end not in self.marks:
-                    self.marks[end] = self._alone([end])[0]
-                self.known[w] = self.known[core] + self.marks[end]
-        for i in range(0, len(other), 20_000):
-            part = other[i:i + 20_000]
+        letters = [w for w in new if words[w]]
+        other = [w for w in new if not words[w]]
+        for i in range(0, len(letters), 1_000):
+            self._together(letters[i:i + 1_000])
+        for i in range(0, len(other), 1_000):
+            part = other[i:i + 1_000]
             self.known.update(zip(part, self._alone(part), strict=True))
 
     def _alone(self, words: list[bytes]) -> list[bytes]:
@@ -161,8 +188,14 @@ class WordIds:
         for w, a, b in zip(words, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
             self.known[w] = flat[a:b]
 
-    def of(self, found: list[bytes]) -> bytes:
-        return b"".join(map(self.known.__getitem__, found))
+
+def _bytes(words: pa.Array) -> list[bytes]:
+    """The words of a string or large string array without nulls, as they are."""
+    _, offsets, data = words.buffers()
+    kind = np.int64 if pa.types.is_large_string(words.type) else np.int32
+    at = np.frombuffer(offsets, kind)[words.offset:words.offset + len(words) + 1].tolist() if len(words) else []
+    flat = data.to_pybytes() if data else b""
+    return [flat[a:b] for a, b in itertools.pairwise(at)]
 
 
 def _letters(word: bytes) -> bool:
@@ -180,11 +213,11 @@ def word_ids(path: str | None) -> WordIds:
     return WordIds(path)
 
 
-KEPT.append(word_ids.cache_clear)
+common.KEPT.append(word_ids.cache_clear)
 
 
-#: Words tokenised together; bounds what one slice holds.
-SLICE = 300_000
+#: Bytes of texts whose words are looked up together; bounds what one slice holds.
+SLICE = 2_000_000
 
 
 def _first_pass(docs: DataFrame, s: Settings, with_ids: bool) -> DataFrame:
@@ -195,6 +228,7 @@ def _first_pass(docs: DataFrame, s: Settings, with_ids: bool) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
         task = TaskContext.get().partitionId()
+        common.release(but=word_ids.cache_clear)
         words, bins = word_ids(s.tokenizer), BestFit(s.capacity, s.open_bins)
         end = s.end_id.to_bytes(4, "little")
         wide = 4 * s.capacity
@@ -210,19 +244,16 @@ def _first_pass(docs: DataFrame, s: Settings, with_ids: bool) -> DataFrame:
         for batch in batches:
             id_type = batch.schema.field(0).type
             ids = batch.column(0).to_pylist()
-            texts = batch.column(1)
-            at = 0
+            texts = pc.fill_null(batch.column(1), b"")
+            sizes = np.cumsum(np.array(pc.binary_length(texts), np.int64))
+            at, before = 0, 0
             while at < len(ids):
-                part, size, first = [], 0, at
-                while at < len(ids) and size < SLICE:
-                    found = (texts[at].as_py() or b"").split()
-                    part.append(found)
-                    size += len(found)
-                    at += 1
-                words.learn(part)
+                first, at = at, int(np.searchsorted(sizes, before + SLICE)) + 1
+                before = sizes[min(at, len(ids)) - 1]
+                flat, stops = words.of_texts(texts[first:at])
                 rows = []
-                for doc, found in zip(ids[first:at], part, strict=True):
-                    code = words.of(found) + end
+                for doc, (a, z) in zip(ids[first:at], itertools.pairwise(stops), strict=True):
+                    code = bytes(flat[a:z]) + end
                     for k, b in enumerate(range(0, len(code), wide)):
                         own = code[b:b + wide]
                         bin_, offset = bins.put(len(own) // 4)

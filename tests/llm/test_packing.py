@@ -1,7 +1,9 @@
+import itertools
 import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -55,6 +57,43 @@ def test_words_alone_give_the_ids_of_the_text(tokenizer):
         assert np.frombuffer(ids.of(found), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_a_word_in_another_case_or_with_other_marks_is_not_tokenised_again(tokenizer):
+    ids = packing.WordIds(None)
+    text = "tree tree. Tree!! TREE.*** été Été$$$ 'tree tree2 tree's"
+    for _ in range(2):
+        ids.learn([text.encode().split()])
+    assert set(ids.known) == {b"tree", b".", b"!!", b".***", "été".encode(), "Été".encode(), b"$$$",
+                              b"'tree", b"tree2", b"tree's"}
+    assert np.frombuffer(ids.of(text.encode().split()), "<u4").tolist() == tokenizer.encode(
+        text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("kind", [pa.binary(), pa.large_binary()])
+def test_many_texts_at_once_give_the_ids_of_each(tokenizer, kind):
+    texts = ["", " \n a-b,. Ab.,\t", "x" * 100 + "! y", "<|endoftext|>!! <|ENDOFTEXT|>", "don't DON'T. 'S s'", "İ. ß_ 가!",
+             "a\u0301. a\u0338 <\u0338 \u00a0b\x1cc", "\x0b\x0c\r", "中文, 中文。", "1a. a1. ..."]
+    for most in (500, 3):
+        words = packing.WordIds(None, most=most)
+        flat, stops = words.of_texts(pa.array([b"cut", *(t.encode() for t in texts)], kind)[1:])
+        got = [np.frombuffer(bytes(flat[a:b]), "<u4").tolist() for a, b in itertools.pairwise(stops)]
+        assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_task_frees_what_others_keep_and_keeps_its_words(monkeypatch):
+    cleared = []
+    monkeypatch.setattr(packing.common, "KEPT", [lambda: cleared.append(1), packing.word_ids.cache_clear])
+    words = packing.word_ids(None)
+    packing.common.release(but=packing.word_ids.cache_clear)
+    assert cleared == [1] and packing.word_ids(None) is words
+
+
+def test_slices_of_texts_change_nothing(odd_docs, monkeypatch):
+    docs = odd_docs.coalesce(1)
+    whole = sorted(packing.pack(docs).collect())
+    monkeypatch.setattr(packing, "SLICE", 1)
+    assert sorted(packing.pack(docs).collect()) == whole
+
+
 def test_best_fit_fills_the_fullest_that_fits_and_closes_the_fullest():
     bins = packing.BestFit(10, 2)
     assert [bins.put(n) for n in (6, 7, 3, 4)] == [(0, 0), (1, 0), (1, 7), (0, 6)]
