@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from spark_analog.defaults import AGREEMENT_GRID, MEMORY_GRID, SMOOTHING_GRID, TOP_Q_GRID
 from spark_analog.functions.columns import clip, rounded
 from spark_analog.operators import evaluate, fuse, grid_search, score
 from spark_analog.operators.staging import attach, stage
@@ -287,21 +288,45 @@ def objectives(spark, sf, selection, **axes):
                                        selection=selection, **axes)
 
 
-@query("select_score_params", sql("grid_ap", """
+# All grid points of defaults.py: a score is ranked once per pair of weights, shares and widths only pick from it.
+LISTS = {name: "[" + ", ".join(map(str, grid)) + "]" for name, grid in (
+    ("q", TOP_Q_GRID), ("m", MEMORY_GRID), ("a", AGREEMENT_GRID), ("s", SMOOTHING_GRID))}
+SIZES = [len(g) for g in (TOP_Q_GRID, MEMORY_GRID, AGREEMENT_GRID, SMOOTHING_GRID)]
+part("gridded_all", "comp labels_h", f"""
+  with qs as (select unnest({LISTS['q']})::double as q, unnest(range({SIZES[0]})) as qi),
+  ms as (select unnest({LISTS['m']})::double as m, unnest(range({SIZES[1]})) as mi),
+  aggs as (select unnest({LISTS['a']})::double as a, unnest(range({SIZES[2]})) as ai),
+  rk as (select entity, segment, t, mi, ai, v,
+                row_number() over (partition by entity, segment, t, mi, ai order by v desc) as rn,
+                count(*) over (partition by entity, segment, t, mi, ai) as c
+         from (select entity, segment, t, mi, ai, residual + m * memory + a * agreement as v
+               from comp, ms, aggs where role = 'score')),
+  pt as (select entity, segment, t, mi, ai, qi, round(avg(v), 9) as score from rk, qs
+         where rn <= greatest(1, ceil(q * c)) group by 1, 2, 3, 4, 5, 6),
+  sm as ({" union all ".join(f"""
+         select entity, segment, t, mi, ai, qi, {i} as si, {"score" if w <= 1 else f"""round(avg(score) over (
+           partition by entity, segment, mi, ai, qi order by t range between {w - 1} preceding and current row), 9)"""} as score
+         from pt""" for i, w in enumerate(SMOOTHING_GRID))})
+  select entity, segment, t, ((qi * {SIZES[1]} + mi) * {SIZES[2]} + ai) * {SIZES[3]} + si as grid_id, score, label
+  from sm join labels_h using (entity, t)""")
+ap_sql("grid_ap_all", "gridded_all", "entity, grid_id")
+
+
+@query("select_score_params", sql("grid_ap_all", f"""
   , best as (select *, row_number() over (partition by entity
-                       order by round(auprc, 9) desc nulls last, grid_id) as rn from grid_ap),
+                       order by round(auprc, 9) desc nulls last, grid_id) as rn from grid_ap_all),
   p as (select entity, case when auprc is not null then grid_id end as g, auprc from best
         where rn = 1)
   select entity, g::bigint as grid_id,
-         case when g is null then 0.2 else ([0.2, 0.4, 1.0])[(g // 12 + 1)::int] end::double as top_q,
-         case when g is null then 0.25 else ([0.0, 0.25, 1.0])[(g // 4 % 3 + 1)::int] end::double
+         case when g is null then 0.2 else ({LISTS['q']})[(g // {SIZES[1] * SIZES[2] * SIZES[3]} + 1)::int] end::double as top_q,
+         case when g is null then 0.25 else ({LISTS['m']})[(g // {SIZES[2] * SIZES[3]} % {SIZES[1]} + 1)::int] end::double
            as memory_weight,
-         case when g is null then 0.25 else ([0.0, 0.25])[(g // 2 % 2 + 1)::int] end::double
+         case when g is null then 0.25 else ({LISTS['a']})[(g // {SIZES[3]} % {SIZES[2]} + 1)::int] end::double
            as agreement_weight,
-         case when g is null then 1 else ([1, 3])[(g % 2 + 1)::int] end::int as smoothing,
+         case when g is null then 1 else ({LISTS['s']})[(g % {SIZES[3]} + 1)::int] end::int as smoothing,
          round(auprc + 1.3e-9, 6) + 0.0 as objective from p"""))
 def select_score_params(spark, sf):
-    best = score.select_parameters(objectives(spark, sf, "aggregate", **AXES), **AXES)
+    best = score.select_parameters(objectives(spark, sf, "aggregate"))
     return best.withColumn("objective", rounded("objective")).withColumn(
         "grid_id", F.col("grid_id").cast("bigint"))
 
@@ -321,10 +346,8 @@ def macro_block_auprc(spark, sf):
 
 @query("select_score_params_all")
 def select_score_params_all(spark, sf):
-    """As select_score_params, over all grid points of defaults.py, as detect does; no SQL."""
-    best = score.select_parameters(objectives(spark, sf, "aggregate"))
-    return best.withColumn("objective", rounded("objective")).withColumn(
-        "grid_id", F.col("grid_id").cast("bigint"))
+    """As select_score_params, which has the SQL."""
+    return select_score_params(spark, sf)
 
 
 @query("macro_block_auprc_all")

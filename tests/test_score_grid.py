@@ -97,3 +97,34 @@ def test_blocks_pieces_and_shares_change_nothing(spark):
     one = grid_objectives(parts, labels.withColumn("label", labels.label * 0), **axes).collect()
     assert len(one) == 32 and all(r.objective is None for r in one)
     assert grid_objectives(parts.limit(0), labels, **axes).count() == 0
+
+
+def test_the_query_searches_the_whole_grid_and_so_does_its_sql(spark, monkeypatch):
+    import duckdb
+    import pandas as pd
+    rng = random.Random(4)
+    columns = ["entity", "role", "segment", "channel", "t", "residual", "memory", "agreement", "n"]
+    parts, labels = [], []
+    for entity, t in itertools.product("ab", range(30)):
+        y = int(t % 10 in (3, 4, 5, 6, 7, 8))
+        labels.append((entity, t, y))
+        for c in "xyz":  # only a large weight of the memory and a long average tell the marked steps from the others
+            parts.append((entity, "score", 0, c, t, 3 * rng.random(), 0.7 * rng.random() + 0.5 * y, 0.0, 1))
+    docs = spark.createDataFrame(parts, "entity string, role string, segment int, channel string, t long, "
+                                        "residual double, memory double, agreement double, n long")
+    marks = spark.createDataFrame(labels, "entity string, t long, label int")
+    monkeypatch.setattr(q_score, "parts", lambda spark, sf: docs)
+    monkeypatch.setattr(q_score.fx, "labels_hourly", lambda spark, sf: marks)
+    got = sorted(map(tuple, registry.QUERIES["select_score_params"](spark, "small").collect()))
+    assert got == sorted(map(tuple, registry.QUERIES["select_score_params_all"](spark, "small").collect()))
+    assert any(r[3] > 1.0 for r in got)  # a weight that the 36 points of before didn't have
+    con = duckdb.connect()
+    con.register("comp", pd.DataFrame(parts, columns=columns))
+    con.register("labels_h", pd.DataFrame(labels, columns=["entity", "t", "label"]))
+    text = registry.ORACLE["select_score_params"]
+    body = "with gridded_all as" + text.partition("gridded_all as")[2]
+    assert sorted(con.execute(body).fetchall()) == got
+    each = con.execute(body.partition("best as (")[0].rstrip(" ,\n") + " select entity, grid_id, auprc from grid_ap_all").fetchall()
+    want = {(r.entity, r.grid_id): r.objective for r in q_score.objectives(spark, "small", "aggregate").collect()}
+    assert len(each) == len(want) == 2 * 960
+    assert {(e, g): v for e, g, v in each} == pytest.approx(want, abs=1e-9)
