@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from spark_analog.defaults import (
     AGREEMENT_GRID, CDF_CLIP, DOUBLE_EPS, FALLBACK_PARAMETERS, FLOAT32_MAX, MAD_CONSISTENCY,
     MEMORY_GRID, SMOOTHING_GRID, TAIL_CAP, TOP_Q_GRID,
 )
+from spark_analog.functions import kernels
 from spark_analog.functions.columns import at_least, axis_values, clip, col, let
-from spark_analog.operators.ordered import PIECE_ROWS, quantiles, ranks_among
+from spark_analog.operators.ordered import DIRECT_ROWS, PIECE_ROWS, quantiles, ranks_among
 from spark_analog.operators.staging import attach, stage
 
 WINDOW = ("entity", "role", "segment", "channel", "w")
@@ -126,6 +130,107 @@ def components(steps: DataFrame, stats: DataFrame, keys=CHANNEL,
     return overlap_add(z, ["residual", "memory", "agreement"], group)
 
 
+#: Steps of a key whose windows meet in one task.
+SPAN = 65_536
+
+
+def point_components(frame: DataFrame, normal: DataFrame | None, stats: DataFrame, keys=CHANNEL,
+                     group=("entity", "role", "segment", "channel"), use_agreement: bool = True,
+                     most: int | None = None, span: int = SPAN) -> DataFrame:
+    """``components`` of the ``signal_steps`` of some windows; agreement may be left at 0.
+
+    Where ``most`` bounds the normal steps of a key to what fits a task, they meet there with the key's
+    windows of ``span`` steps: both are calibrated as arrays and averaged per point, and no row per
+    forecast step is sorted, joined or shuffled.  A window that reaches into the next steps is in both tasks."""
+    if most is None or most > DIRECT_ROWS:
+        steps = signal_steps(frame, normal, keys, group)
+        if not use_agreement:
+            steps = steps.withColumn("agreement", F.lit(0.0))
+        return components(steps, stats, keys, group)
+    keys, group = list(keys), list(group)
+    signals = normal is not None
+    taken = ["nearest", "divergence"] if signals else []
+    spread = [F.col("divergence")] if signals else []
+    last = F.col("w") + F.greatest(*[F.size(c) for c in (F.col("yhat"), F.col("y"), *spread)]) - 1
+    late = attach(frame.select(
+        *group, "w", "yhat", "y", *taken,
+        F.explode(F.sequence(F.floor(F.col("w") / span), F.floor(last / span))).alias("__b")), stats, keys)
+    rows = late.withColumn("__ref", F.lit(False))
+    if signals:
+        slots = stage(late.select(*keys, "__b").distinct())
+        rows = rows.unionByName(normal.select(*keys, *taken).join(slots, keys).withColumn("__ref", F.lit(True)),
+                                allowMissingColumns=True)
+    rest = [c for c in group if c not in keys]
+    schema = T.StructType([rows.schema[c] for c in group] + [T.StructField("t", T.LongType())] + [
+        T.StructField(c, T.DoubleType()) for c in ("residual", "memory", "agreement")] + [
+        T.StructField("n", T.LongType())])
+
+    def run(key, table):
+        ref = table.column("__ref").to_numpy()
+        own, block = table.filter(pa.array(~ref)), key[-1].as_py()
+        wide, there = _side_by_side([own.column(c) for c in ("yhat", "y", *taken[1:])])
+        center, scale = (own.column(c).to_numpy() for c in ("center", "scale"))
+        z = (np.abs(wide[0] - wide[1]) - center[:, None]) / (scale + DOUBLE_EPS)[:, None]
+        residual = np.where(np.isnan(z), np.nan, np.maximum(z, 0.0))
+        memory = agreement = np.zeros(residual.shape)
+        if signals:
+            normal = table.filter(pa.array(ref))
+            far = [_real(t.column("nearest"), FLOAT32_MAX) for t in (own, normal)]
+            memory = np.broadcast_to(_calibrated(*far, True)[:, None], residual.shape)
+            if use_agreement:
+                agreement = _calibrated(wide[2], _real(normal.column("divergence").combine_chunks().flatten(), np.nan), False)
+        agreement = residual * np.clip(agreement, 0.0, 1.0)
+        t = own.column("w").to_numpy()[:, None] + np.arange(residual.shape[1])
+        there &= t // span == block
+        codes = np.zeros(own.num_rows, np.int64)
+        for c in rest:
+            found = own.column(c).combine_chunks().dictionary_encode()
+            codes = codes * (len(found.dictionary) + 1) + found.indices.fill_null(len(found.dictionary)).to_numpy()
+        code, at = np.broadcast_to(codes[:, None], t.shape)[there], t[there]
+        points, first = kernels.places(code, at)
+        means = [kernels.means_at(points, values[there], len(first)) for values in (residual, memory, agreement)]
+        rows_of = own.take(pa.array(np.nonzero(there)[0][first]))
+        lead = [pa.array([key[keys.index(c)].as_py()] * len(first), key[keys.index(c)].type) if c in keys
+                else rows_of.column(c).combine_chunks() for c in group]
+        return pa.Table.from_arrays([*lead, pa.array(at[first].astype(np.int64)),
+                                     *(pa.array(mean, from_pandas=True) for mean, _ in means), pa.array(means[0][1])],
+                                    names=schema.names)
+
+    return rows.groupBy(*keys, "__b").applyInArrow(run, schema)
+
+
+def _real(column, missing: float) -> np.ndarray:
+    values = column.to_numpy(zero_copy_only=False) if isinstance(column, pa.Array) else column.to_numpy()
+    values = values.astype(np.float64)
+    return np.where(np.isnan(values), missing, values)
+
+
+def _side_by_side(columns) -> tuple[list[np.ndarray], np.ndarray]:
+    """Lists as one matrix each, NaN where missing, and the places that ``arrays_zip`` has: up to the longest list,
+    none where one is NULL."""
+    arrays = [c.combine_chunks() for c in columns]
+    sizes = np.array([_real(a.value_lengths(), -1.0) for a in arrays]).astype(np.int64).reshape(len(arrays), -1)
+    most = int(sizes.max(initial=0))
+    out = []
+    for a, size in zip(arrays, sizes):
+        m = np.full((len(a), most), np.nan)
+        m[np.arange(most) < size[:, None]] = _real(a.flatten(), np.nan)
+        out.append(m)
+    longest = np.where((sizes < 0).any(axis=0), 0, sizes.max(axis=0, initial=0))
+    return out, np.arange(most) < longest[:, None]
+
+
+def _calibrated(values: np.ndarray, reference: np.ndarray, tail: bool) -> np.ndarray:
+    """As ``calibrate``, with NaN for a missing value."""
+    ordered = np.sort(reference[~np.isnan(reference)])
+    n = len(ordered)
+    if not n:
+        return np.full(values.shape, 0.0 if tail else 0.5)
+    known = np.where(np.isnan(values), ordered[n // 2], values)  # the upper median
+    cdf = np.clip((np.searchsorted(ordered, known, "right") + 0.5) / (n + 1.0), CDF_CLIP, 1.0 - CDF_CLIP)
+    return np.clip(-np.log1p(-cdf), 0.0, TAIL_CAP) if tail else 1.0 - cdf
+
+
 def channel_lists(parts: DataFrame, group=POINT) -> DataFrame:
     """All channels of a point in one row; bounded by the number of channels."""
     return parts.groupBy(*group).agg(F.collect_list(
