@@ -88,3 +88,27 @@ def test_comparing_all_counts_as_sorting_does(monkeypatch):
     asked[:, 3] = np.nan
     parts = [kernels.at_or_above(scores[:, a:a + 500], asked) for a in range(0, 2000, 500)]
     assert (sum(parts) == kernels.at_or_above(scores, asked)).all()
+
+
+@pytest.mark.parametrize("source", ["base_memory", "memory"])
+def test_a_series_in_one_task_gives_the_same_blocks(spark, monkeypatch, source):
+    s = settings(block=16, memory_source=source)
+    series = make(spark)[0]
+    longer = series.where("t >= 0").groupBy("entity").agg(F.max("t").alias("last"))
+    series = series.join(longer, "entity").where(  # another length, and a channel that starts with a gap
+        (F.col("entity") != longer.select(F.min("entity")).first()[0]) | (F.col("t") < F.col("last") - 9)).select(
+        "entity", "t", "channel", F.when((F.col("t") > 6) | (F.col("channel") != "x"), F.col("value")).alias("value"))
+    got = plan.prepare(series, s)
+    monkeypatch.setattr(plan.memory, "GROUP_ROWS", 0)
+    want = plan.prepare(series, s)
+    assert [(c.name, c.dataType) for c in got.schema] == [(c.name, c.dataType) for c in want.schema]
+    a, b = ({tuple(r[:7]): r["values"] for r in df.collect()} for df in (want, got))
+    assert a.keys() == b.keys() and len(a) > 30
+    for key, values in a.items():
+        assert b[key] == pytest.approx(values, abs=1e-12), key
+
+
+def test_a_gap_raises_in_one_task(spark):
+    series = make(spark)[0].where("t <> 7")
+    with pytest.raises(Exception, match="must be dense"):
+        plan.prepare(series, settings())
