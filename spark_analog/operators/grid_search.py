@@ -93,7 +93,8 @@ def _block_scores(packed: np.ndarray, block: int, axes: tuple, s: Sizes, digits:
 
 def _places(blocks: DataFrame, keys: list[str], axes: tuple, s: Sizes, digits: int) -> DataFrame:
     """keys, piece, and for the piece's positives: their parts, scores, points and positives at or above, in
-    all blocks of the key and (``own_``) in those of the same part; one row per task's share of the blocks."""
+    all blocks of the key and (``own_``) in those of the same part; one row per task's share of the blocks.
+    Where one task meets all blocks of the key, it makes the rows of ``_sums`` itself."""
     width = int(np.prod([len(a) for a in axes]))
     before = Window.partitionBy(*keys).orderBy("part", "b").rowsBetween(Window.unboundedPreceding, -1)
     dealt = blocks.select(*keys, "part", "b", "positives", F.floor(
@@ -102,14 +103,14 @@ def _places(blocks: DataFrame, keys: list[str], axes: tuple, s: Sizes, digits: i
     dealt = stage(attach(dealt.drop("positives"), shares, keys))
     empty = F.lit(None).cast("binary")
     asking = (attach(blocks.select(*keys, "part", "b", "scores"), dealt, [*keys, "part", "b"])
-              .select(*keys, "piece", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"),
+              .select(*keys, "piece", "shares", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"),
                       "part", "b", "scores", empty.alias("points")))
     asked = (blocks.select(*keys, "part", "b", "points").join(dealt.select(*keys, "piece", "shares").distinct(), keys)
-             .select(*keys, "piece", F.pmod(F.xxhash64("part", "b"), F.col("shares")).alias("share"),
+             .select(*keys, "piece", "shares", F.pmod(F.xxhash64("part", "b"), F.col("shares")).alias("share"),
                      "part", "b", empty.alias("scores"), "points"))
     both = asking.unionByName(asked)
     schema = _typed(both, [*keys, "piece"], parts="binary", **dict.fromkeys(
-        ("scores", "seen", "hits", "own_seen", "own_hits"), "binary"))
+        ("scores", "seen", "hits", "own_seen", "own_hits"), "binary"), part="long", whole="binary", own="binary")
 
     def run(key, table):
         part, block = (table.column(c).to_pylist() for c in ("part", "b"))
@@ -126,28 +127,39 @@ def _places(blocks: DataFrame, keys: list[str], axes: tuple, s: Sizes, digits: i
                 seen, hits, same = seen + above, hits + hit, parts == part[i]
                 own_seen[:, same] += above[:, same]
                 own_hits[:, same] += hit[:, same]
-        return _named(_row(key[:-1], parts=parts, scores=asked_, seen=seen, hits=hits, own_seen=own_seen, own_hits=own_hits),
-                      schema)
+        if table.column("shares")[0].as_py() == 1:
+            rows = _precision(key[:-1], parts, asked_, seen, hits, own_seen, own_hits)
+        else:
+            rows = _row(key[:-1], parts=parts, scores=asked_, seen=seen, hits=hits, own_seen=own_seen, own_hits=own_hits)
+        lead = dict(zip(schema.names, rows.columns[:len(keys) + 1])) | {
+            c: rows.column(c) for c in rows.column_names[len(keys) + 1:]}
+        return pa.Table.from_arrays(
+            [lead[f.name] if f.name in lead else pa.nulls(rows.num_rows, pa.int64() if f.name == "part" else pa.binary())
+             for f in schema], names=schema.names)
 
     return both.groupBy(*keys, "piece", "share").applyInArrow(run, schema)
 
 
+def _precision(key: tuple, parts, scores, seen, hits, own_seen, own_hits) -> pa.Table:
+    """One row per part: the precision at its positives in all blocks and in the part's own, added per grid point."""
+    whole, own = (np.where(np.isnan(scores), 0.0, hit / np.maximum(all_, 1)) for hit, all_ in ((hits, seen), (own_hits, own_seen)))
+    return pa.concat_tables([_row(key, part=int(p), whole=whole[:, parts == p].sum(1), own=own[:, parts == p].sum(1))
+                             for p in np.unique(parts)])
+
+
 def _sums(places: DataFrame, keys: list[str], width: int) -> DataFrame:
     """keys, part, ``whole`` and ``own``: the precision at the positives of a piece and part, added per grid point."""
     schema = _typed(places, keys, part="long", whole="binary", own="binary")
 
     def run(key, table):
+        if table.column("whole")[0].is_valid:
+            return table.select(schema.names)
         scores = _floats(table.column("scores")[0], width)
         parts = np.frombuffer(table.column("parts")[0].as_py(), np.int64)
-
-        def at(hits, seen):
-            read = [sum(np.frombuffer(x.as_py(), np.int64).reshape(scores.shape) for x in table.column(c)) for c in (hits, seen)]
-            return np.where(np.isnan(scores), 0.0, read[0] / np.maximum(read[1], 1))
-
-        whole, own = at("hits", "seen"), at("own_hits", "own_seen")
-        rows = [_row(key[:-1], part=int(p), whole=whole[:, parts == p].sum(1), own=own[:, parts == p].sum(1))
-                for p in np.unique(parts)]
-        return _named(pa.concat_tables(rows), schema)
+        seen, hits, own_seen, own_hits = (
+            sum(np.frombuffer(x.as_py(), np.int64).reshape(scores.shape) for x in table.column(c))
+            for c in ("seen", "hits", "own_seen", "own_hits"))
+        return _named(_precision(key[:-1], parts, scores, seen, hits, own_seen, own_hits), schema)
 
     return places.groupBy(*keys, "piece").applyInArrow(run, schema)
 
