@@ -63,14 +63,33 @@ def _filled(t: np.ndarray, value: np.ndarray, known: np.ndarray, stop: int) -> t
     return out, seen
 
 
+def _runs(batches):
+    """The steps of each entity and channel in a batch as one row, ``t`` and ``value`` as lists."""
+    for batch in batches:
+        code = np.zeros(batch.num_rows, np.int64)
+        for c in ("entity", "channel"):
+            found = batch.column(c).dictionary_encode()
+            code = code * len(found.dictionary) + found.indices.to_numpy()
+        order = np.argsort(code, kind="stable")
+        first = np.flatnonzero(np.diff(code[order], prepend=-1))
+        offsets = pa.array(np.append(first, len(order)).astype(np.int32))
+        lead = pa.array(order[first])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(c).take(lead) for c in ("entity", "channel")] + [
+                pa.ListArray.from_arrays(offsets, batch.column(c).take(pa.array(order))) for c in ("t", "value")],
+            names=["entity", "channel", "t", "value"])
+
+
 def prepared_blocks(series: DataFrame, lengths: DataFrame, stop: int, context: int, horizon: int, label_block: int,
                     fraction: float = 0.2, memory_source: str = "base_memory", block: int = BLOCK) -> DataFrame:
     """Filled, scaled steps with roles as blocks: ``windows.blocks`` of the whole chain; ``lengths``: steps per entity.
 
-    All steps of an entity and channel meet in one task."""
-    rows = attach(series.select("entity", "channel", F.col("t").cast("bigint").alias("t"),
-                                F.col("value").cast("double").alias("value")).dropna(subset=["entity", "channel", "t"]),
-                  lengths, ["entity"])
+    All steps of an entity and channel meet in one task; they travel as lists."""
+    steps = series.select("entity", "channel", F.col("t").cast("bigint").alias("t"),
+                          F.col("value").cast("double").alias("value")).dropna(subset=["entity", "channel", "t"])
+    listed = T.StructType([steps.schema["entity"], steps.schema["channel"], T.StructField("t", T.ArrayType(T.LongType())),
+                           T.StructField("value", T.ArrayType(T.DoubleType()))])
+    rows = attach(steps.mapInArrow(_runs, listed), lengths, ["entity"])
     kinds = dict(entity=rows.schema["entity"].dataType, channel=rows.schema["channel"].dataType, role=T.StringType(),
                  segment=T.LongType(), start=T.LongType(), length=T.LongType(), block=T.LongType(),
                  block_size=T.IntegerType(), values=T.ArrayType(T.DoubleType()))
@@ -90,8 +109,8 @@ def prepared_blocks(series: DataFrame, lengths: DataFrame, stop: int, context: i
                 yield role, segment, start, length, k, pa.array(value[i:j], mask=~there[i:j])
 
     def run(key, table):
-        t, known = table.column("t").to_numpy(), table.column("value").is_valid().to_numpy()
-        value = table.column("value").to_numpy()
+        t, value = (table.column(c).combine_chunks().flatten() for c in ("t", "value"))
+        t, known, value = (x.to_numpy(zero_copy_only=False) for x in (t, value.is_valid(), value))
         order = np.lexsort((value, t))
         t, value, known = t[order], value[order], known[order]
         value, there = _filled(t, value, known, stop)
